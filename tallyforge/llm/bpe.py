@@ -2,7 +2,8 @@
 
 1. Each block of documents is split into pre-tokens. A block keeps its distinct words once, and every text becomes the
    sequence of its words' places in that block's list (positions): the pre-aggregation before the shuffle.
-2. The blocks' words meet in one shuffle by word; each distinct word is encoded once in the whole corpus.
+2. The blocks' words meet in one shuffle by word (packed by bucket of the word's hash); each distinct word is encoded
+   once in the whole corpus.
 3. Ids are joined back to (block, place), and the sequences of a block put them together by position.
 4. Decoding joins each id to the token-byte table; that table is bounded by the vocabulary.
 """
@@ -11,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm._common import documents, partitions, written
 
 #: Code points after which a block of documents is closed; a longer text is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
+#: Words of a chunk of texts.
+CHUNK_WORDS = 1_000_000
 
 
 def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[dict[bytes, int], str]:
@@ -70,60 +75,119 @@ def _gather(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray
     return flat[np.repeat(offsets[at] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
-_ROWS = "kind string, block bigint, place bigint, doc_id bigint, word binary, seq binary"
+_ROWS = "kind string, block bigint, part bigint, doc_ids array<bigint>, data binary"
+_NAMES = ["kind", "block", "part", "doc_ids", "data"]
 
 
-def _blocks(shared):
+def _packed(*arrays: np.ndarray | bytes) -> bytes:
+    """Whole numbers (or bytes) as one zstd frame; numbers go byte by byte, all low ones first, which compresses best."""
+    import zstandard
+
+    out = [struct.pack("<i", len(arrays))]
+    for x in arrays:
+        if isinstance(x, bytes):
+            out.append(struct.pack("<bq", 0, len(x)) + x)
+        else:
+            x = np.ascontiguousarray(x.astype("<u4"))
+            out.append(struct.pack("<bq", 1, x.nbytes) + x.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+
+
+def _unpacked(data: bytes) -> list:
+    import zstandard
+
+    raw, out, at = zstandard.ZstdDecompressor().decompress(data), [], 4
+    for _ in range(struct.unpack_from("<i", raw)[0]):
+        kind, n = struct.unpack_from("<bq", raw, at)
+        at += 9
+        x = raw[at : at + n]
+        out.append(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() if kind else x)
+        at += n
+    return out
+
+
+def _rows(kind: str, block: int, rows: list[tuple]) -> pa.RecordBatch:
+    part, ids, data = zip(*rows, strict=True)
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array([block] * n, pa.int64()), pa.array(part, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(data, pa.binary())], _NAMES)
+
+
+def _blocks(shared, buckets: int):
+    """Texts to rows of two kinds: a block's distinct words by bucket of their hash, and chunks of texts as sequences of
+    places, a place being a word's rank in its block by (bucket, first use)."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
         from pyspark import TaskContext
 
         find = _splitter(shared.value[1]).findall
-        zip_ = zstandard.ZstdCompressor(level=3).compress
-        # A task's id is unique in the job and each row of a block leaves the same task: blocks never mix, retries included.
-        block, chars, n = TaskContext.get().partitionId() << 32, 0, 0
+        # Each block's rows leave one task, and a repeated task gives them the same number: blocks never mix.
+        block = TaskContext.get().partitionId() << 32
         places: dict[str, int] = {}
-
-        def rows(kind: str, place: list, doc_id: list, word: list, seq: list) -> pa.RecordBatch:
-            k = len(place)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.string()), pa.array([block] * k, pa.int64()), pa.array(place, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(word, pa.binary()), pa.array(seq, pa.binary())], ["kind", "block", "place", "doc_id", "word", "seq"])
-
-        def words() -> pa.RecordBatch:
-            k = len(places)
-            out = rows("word", list(range(k)), [None] * k, [w.encode("utf-8", "surrogatepass") for w in places], [None] * k)
-            places.clear()
-            return out
+        ids: list = []
+        seqs: list[np.ndarray] = []
+        chars = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            words = [w.encode("utf-8", "surrogatepass") for w in places]
+            bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                own = [words[i] for i in order[cuts[k] : cuts[k + 1]].tolist()]
+                rows.append((k, None, _packed(np.array(list(map(len, own)), np.uint32), b"".join(own))))
+            if rows:
+                yield _rows("word", block, rows)
+            at, size, part = 0, 0, 0
+            for i, x in enumerate(seqs):
+                size += len(x)
+                if size > CHUNK_WORDS or i == len(seqs) - 1:
+                    here = seqs[at : i + 1]
+                    yield _rows("text", block, [(part, ids[at : i + 1], _packed(np.array(list(map(len, here)), np.uint32), rank[np.concatenate(here)]))])
+                    at, size, part = i + 1, 0, part + 1
+            places.clear(), ids.clear(), seqs.clear()
 
         for batch in it:
-            ids, seqs, nums = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                if n and chars + len(text) > BLOCK_CHARS:
-                    if ids:
-                        yield rows("text", nums, ids, [None] * len(ids), seqs)
-                        ids, seqs, nums = [], [], []
-                    yield words()
-                    block, chars, n = block + 1, 0, 0
+                if ids and chars + len(text) > BLOCK_CHARS:
+                    yield from close()
+                    block, chars = block + 1, 0
                 put = places.setdefault
-                seq = np.array([put(w, len(places)) for w in find(text)], np.uint32)
+                seqs.append(np.array([put(w, len(places)) for w in find(text)], np.uint32))
                 ids.append(doc_id)
-                nums.append(n)
-                seqs.append(zip_(seq.tobytes()))
-                n, chars = n + 1, chars + len(text)
-            if ids:
-                yield rows("text", nums, ids, [None] * len(ids), seqs)
-        if n:
-            yield words()
+                chars += len(text)
+        if ids:
+            yield from close()
 
     return run
 
 
 def _encode_words(shared):
+    """Rows (block, part, data) of words, in order of part (the bucket): each distinct word of a bucket is encoded once."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared)[0]
+        now: int | None = None
+        known: dict[bytes, bytes] = {}
         for batch in it:
-            ids = [np.array(coder._encode_single_piece(w), "<u4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
+            for block, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part != now:
+                    now, known = part, {}
+                sizes, flat = _unpacked(data.as_py())
+                ends = np.cumsum(sizes.astype(np.int64)).tolist()
+                got, at = [], 0
+                for end in ends:
+                    word = flat[at:end]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(coder._encode_single_piece(word), "<u4").tobytes()
+                    got.append(ids)
+                    at = end
+                out = _packed(np.array(list(map(len, got)), np.uint32) // 4, np.frombuffer(b"".join(got), "<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int64()), pa.array([out], pa.binary())], ["block", "part", "data"])
 
     return run
 
@@ -132,32 +196,34 @@ _DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 st
 
 
 def _put_together(shared, digests: bool):
-    """Rows of a block come with the words first; then each sequence becomes ids."""
+    """Rows of a block come with the ids of its words first, by bucket; then its sequences become ids."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unzip = zstandard.ZstdDecompressor().decompress
         _, starts, table = _coder(shared)
-        now, parts, flat, offsets = None, [], None, None
+        now, sizes, flats, words = None, [], [], None
         for batch in it:
             col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            out: list[tuple] = []
-            for block, text, doc_id, ids, seq in zip(col["block"].to_pylist(), col["is_text"].to_pylist(), col["doc_id"].to_pylist(), col["ids"].to_pylist(), col["seq"].to_pylist(), strict=True):
+            for block, text, ids, data in zip(col["block"].to_pylist(), col["is_text"].to_pylist(), col["doc_ids"], col["data"], strict=True):
                 if block != now:
-                    now, parts, flat = block, [], None
+                    now, sizes, flats, words = block, [], [], None
+                first, second = _unpacked(data.as_py())
                 if not text:
-                    parts.append(ids)
+                    sizes.append(first)
+                    flats.append(second)
                     continue
-                if flat is None:
-                    offsets, flat, parts = np.cumsum([0, *(len(x) // 4 for x in parts)]), np.frombuffer(b"".join(parts), "<u4"), []
-                got = _gather(flat, offsets, np.frombuffer(unzip(seq), np.uint32).astype(np.int64))
-                if digests:
-                    back = _gather(table, starts, got.astype(np.int64))
-                    out.append((doc_id, len(got), hashlib.sha256(got.tobytes()).hexdigest(), hashlib.sha256(back.tobytes()).hexdigest()))
-                else:
-                    out.append((doc_id, got.astype(np.int32)))
-            if out:
+                if words is None:
+                    none = [np.empty(0, np.uint32)]
+                    words = np.concatenate([[0], np.cumsum(np.concatenate(sizes or none).astype(np.int64))]), np.concatenate(flats or none)
+                    sizes, flats = [], []
+                out, at = [], 0
+                for doc_id, end in zip(ids.as_py(), np.cumsum(first.astype(np.int64)).tolist(), strict=True):
+                    got = _gather(words[1], words[0], second[at:end].astype(np.int64))
+                    at = end
+                    if digests:
+                        back = _gather(table, starts, got.astype(np.int64))
+                        out.append((doc_id, len(got), hashlib.sha256(got.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(back.tobytes()).hexdigest()))
+                    else:
+                        out.append((doc_id, got.astype(np.int32)))
                 cols = list(zip(*out, strict=True))
                 if digests:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -175,13 +241,13 @@ def encode(docs: DataFrame, *, path: str | None = None, pattern: str | None = No
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
-    rows, _ = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_blocks(shared), _ROWS), "bpe-blocks", by="kind")
-    words = rows.filter("kind = 'word'").select("word", "block", "place")
-    coded = words.select("word").distinct().mapInArrow(_encode_words(shared), "word binary, ids binary")
-    nothing = F.lit(None)
-    back = words.join(coded, "word").select("block", F.lit(False).alias("is_text"), "place", nothing.cast("bigint").alias("doc_id"), "ids", nothing.cast("binary").alias("seq"))
-    texts = rows.filter("kind = 'text'").select("block", F.lit(True).alias("is_text"), "place", "doc_id", nothing.cast("binary").alias("ids"), "seq")
-    whole = back.unionByName(texts).repartition(partitions(spark), "block").sortWithinPartitions("block", "is_text", "place")
+    buckets = partitions(spark)
+    rows, _ = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_blocks(shared, buckets), _ROWS), "bpe-blocks", by="kind")
+    words = rows.filter("kind = 'word'").select("block", "part", "data").repartition(buckets, "part").sortWithinPartitions("part", "block")
+    coded = words.mapInArrow(_encode_words(shared), "block bigint, part bigint, data binary")
+    back = coded.select("block", F.lit(False).alias("is_text"), "part", F.lit(None).cast("array<bigint>").alias("doc_ids"), "data")
+    texts = rows.filter("kind = 'text'").select("block", F.lit(True).alias("is_text"), "part", "doc_ids", "data")
+    whole = back.unionByName(texts).repartition(buckets, "block").sortWithinPartitions("block", "is_text", "part")
     return whole.mapInArrow(_put_together(shared, digests), _DIGESTS if digests else "doc_id bigint, ids array<int>")
 
 

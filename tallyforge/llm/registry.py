@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, winnowing
+from tallyforge.llm import bpe, mixing, quality, sharding, token_counts, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.query,
+    "op6_extendible_sharding": sharding.query,
     "op7_byte_bpe": bpe.query,
+    "op8_temperature_mixing": mixing.query,
+    "op9_quality_rules": quality.query,
+    "op10_separator_scan": token_counts.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_extendible_sharding": sharding.ORACLE}
