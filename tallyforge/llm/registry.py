@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, mixing, quality, sharding, token_counts, winnowing
+from tallyforge.llm import bpe, minhash, mixing, pii, quality, sharding, token_counts, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.query,
+    "op3_minhash_bayes": minhash.query,
+    "op4_pii": pii.query,
     "op6_extendible_sharding": sharding.query,
     "op7_byte_bpe": bpe.query,
     "op8_temperature_mixing": mixing.query,
