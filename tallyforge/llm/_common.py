@@ -53,6 +53,21 @@ def written(df: DataFrame, name: str, *, by: str | None = None) -> tuple[DataFra
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, name: str, key: str, n: int, *order: str) -> tuple[DataFrame, str, str]:
+    """df as a table in the shared folder, in n buckets of a key (sorted within), so that joins on it need no shuffle.
+    Also gives the table's name and its path."""
+    spark = df.sparkSession
+    table, path = f"tallyforge_{name}_{uuid.uuid4().hex[:12]}", work_path(spark, name)
+    out = df.write.option("compression", "zstd").bucketBy(n, key)
+    (out.sortBy(*order) if order else out).option("path", path).saveAsTable(table)
+    return spark.table(table), table, path
+
+
+def dropped(spark: SparkSession, table: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    remove(spark, path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tallyforge.llm import bpe, minhash, mixing, pii, quality, sharding, token_counts, winnowing
+from tallyforge.llm import bpe, lines, minhash, mixing, pii, quality, sharding, suffixes, token_counts, winnowing
 
 QUERIES = {
     "op1_winnowing": winnowing.query,
+    "op2_suffix_levels": suffixes.query,
     "op3_minhash_bayes": minhash.query,
     "op4_pii": pii.query,
+    "op5_fuzzy_lines": lines.query,
     "op6_extendible_sharding": sharding.query,
     "op7_byte_bpe": bpe.query,
     "op8_temperature_mixing": mixing.query,
