@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm._common import documents, partitions, written
+from tallyforge.llm._common import bucketed, documents, partitions
 
 #: Code points after which a block of documents is closed; a longer text is a block of its own.
 BLOCK_CHARS = 32_000_000
@@ -196,25 +196,19 @@ _DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 st
 
 
 def _put_together(shared, digests: bool):
-    """Rows of a block come with the ids of its words first, by bucket; then its sequences become ids."""
+    """Rows (block, doc_ids, sequences, ids of the block's words by bucket) to ids."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, starts, table = _coder(shared)
-        now, sizes, flats, words = None, [], [], None
+        now, words = None, None
         for batch in it:
-            col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for block, text, ids, data in zip(col["block"].to_pylist(), col["is_text"].to_pylist(), col["doc_ids"], col["data"], strict=True):
+            for block, ids, data, coded in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 if block != now:
-                    now, sizes, flats, words = block, [], [], None
-                first, second = _unpacked(data.as_py())
-                if not text:
-                    sizes.append(first)
-                    flats.append(second)
-                    continue
-                if words is None:
+                    pairs = [_unpacked(x) for x in coded.as_py() or []]
                     none = [np.empty(0, np.uint32)]
-                    words = np.concatenate([[0], np.cumsum(np.concatenate(sizes or none).astype(np.int64))]), np.concatenate(flats or none)
-                    sizes, flats = [], []
+                    now = block
+                    words = np.concatenate([[0], np.cumsum(np.concatenate([p[0] for p in pairs] or none).astype(np.int64))]), np.concatenate([p[1] for p in pairs] or none)
+                first, second = _unpacked(data.as_py())
                 out, at = [], 0
                 for doc_id, end in zip(ids.as_py(), np.cumsum(first.astype(np.int64)).tolist(), strict=True):
                     got = _gather(words[1], words[0], second[at:end].astype(np.int64))
@@ -242,13 +236,14 @@ def encode(docs: DataFrame, *, path: str | None = None, pattern: str | None = No
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(path, pattern))
     buckets = partitions(spark)
-    rows, _ = written(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_blocks(shared, buckets), _ROWS), "bpe-blocks", by="kind")
+    # One table, bucketed by block: its sequences meet the ids of their words without being shuffled.
+    made = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_blocks(shared, buckets), _ROWS)
+    rows, _, _ = bucketed(made, "bpe_blocks", "block", buckets)
     words = rows.filter("kind = 'word'").select("block", "part", "data").repartition(buckets, "part").sortWithinPartitions("part", "block")
     coded = words.mapInArrow(_encode_words(shared), "block bigint, part bigint, data binary")
-    back = coded.select("block", F.lit(False).alias("is_text"), "part", F.lit(None).cast("array<bigint>").alias("doc_ids"), "data")
-    texts = rows.filter("kind = 'text'").select("block", F.lit(True).alias("is_text"), "part", "doc_ids", "data")
-    whole = back.unionByName(texts).repartition(buckets, "block").sortWithinPartitions("block", "is_text", "part")
-    return whole.mapInArrow(_put_together(shared, digests), _DIGESTS if digests else "doc_id bigint, ids array<int>")
+    coded = coded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "data")))["data"].alias("ids"))
+    whole = rows.filter("kind = 'text'").select("block", "doc_ids", "data").join(coded, "block", "left")
+    return whole.select("block", "doc_ids", "data", "ids").mapInArrow(_put_together(shared, digests), _DIGESTS if digests else "doc_id bigint, ids array<int>")
 
 
 def decode(coded: DataFrame, *, path: str | None = None, pattern: str | None = None) -> DataFrame:
