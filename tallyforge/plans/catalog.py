@@ -177,13 +177,13 @@ def _(s, d):
 
 @_query("settings_texts", """
 SELECT s_suppkey, CAST(len(list_filter(string_split(s_name, '#'), lambda x: x <> '')) AS INTEGER) AS parts, replace(s_name, '#', '%23') AS encoded,
-       CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE s_name END AS named, CASE WHEN s_suppkey % 3 = 0 THEN 5432 WHEN s_suppkey % 3 = 1 THEN CAST(s_suppkey AS INTEGER) END AS port,
+       CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE s_name END AS named, CASE WHEN s_suppkey % 3 = 0 THEN 5432 WHEN s_suppkey % 3 = 1 THEN CAST(s_suppkey AS INTEGER) ELSE -1 END AS port,
        CAST(least(s_suppkey * 2.0, 15.0) AS DOUBLE) AS delay FROM supplier""")
 def _(s, d):
     x, k = F.col("s_name"), F.col("s_suppkey")
     named = F.when(k % 3 == 0, F.lit(" \t")).otherwise(x)
     number = F.when(k % 3 == 0, F.lit(" ")).when(k % 3 == 1, k.cast("string")).otherwise(F.lit("70000"))
-    return table_of(s, d, "supplier").select("s_suppkey", F.size(settings.split_list(F.replace(x, F.lit("#"), F.lit(" , ,")))).alias("parts"), settings.percent_encoded(x).alias("encoded"), settings.or_default(named, F.lit("none")).alias("named"), settings.port(number, 5432).alias("port"), settings.retry_delay(k).alias("delay"))
+    return table_of(s, d, "supplier").select("s_suppkey", F.size(settings.split_list(F.replace(x, F.lit("#"), F.lit(" , ,")))).alias("parts"), settings.percent_encoded(x).alias("encoded"), settings.or_default(named, F.lit("none")).alias("named"), F.coalesce(settings.port(number, 5432), F.lit(-1)).alias("port"), settings.retry_delay(k).alias("delay"))
 
 
 _OPS = ["list", "suspend", "resume", "delist", "rename", "change_ticker", "transfer", "reclassify"]
@@ -279,14 +279,15 @@ def _(s, d):
 
 
 @_query("as_of_last_purchase", """
-SELECT e.user_id AS instrument, e.ts, e.event_id AS tick_id, p.event_id AS last_id, p.value AS last_value
+SELECT e.user_id AS instrument, e.ts, e.event_id AS tick_id, coalesce(p.event_id, -1) AS last_id, coalesce(p.value, -1) AS last_value
 FROM (SELECT * FROM events WHERE event_id % 2 = 0) e LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 1) p
 ON p.user_id = e.user_id AND p.ts <= e.ts
 QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY p.ts DESC NULLS LAST, p.event_id DESC) = 1""")
 def _(s, d):
     t = ticks(s, d)
     right = t.filter("tick_id % 2 = 1").select("instrument", "ts", F.col("tick_id").alias("last_id"), F.col("price").alias("last_value"))
-    return market.as_of(t.filter("tick_id % 2 = 0").select("instrument", "ts", "tick_id"), right, "instrument", "ts", ["last_id", "last_value"], "last_id")
+    got = market.as_of(t.filter("tick_id % 2 = 0").select("instrument", "ts", "tick_id"), right, "instrument", "ts", ["last_id", "last_value"], "last_id")
+    return got.fillna(-1, ["last_id", "last_value"])
 
 
 @_query("factor_ranks", f"SELECT instrument, start, close AS value, CAST(rank() OVER (PARTITION BY start ORDER BY close DESC) AS INTEGER) AS place, round((close - avg(close) OVER (PARTITION BY start)) / nullif(stddev_pop(close) OVER (PARTITION BY start), 0), 6) AS z FROM {_BARS}")
@@ -308,11 +309,11 @@ def _(s, d):
 
 
 @_query("reconciliation", """
-SELECT coalesce(a.k, b.k) AS order_key, a.v AS left_amount, b.v AS right_amount
+SELECT coalesce(a.k, b.k) AS order_key, coalesce(a.v, -1) AS left_amount, coalesce(b.v, -1) AS right_amount
 FROM (SELECT o_orderkey AS k, CAST(count(*) AS BIGINT) AS v FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1) a
 FULL JOIN (SELECT l_orderkey AS k, count(*) AS v FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1) b ON a.k = b.k
 WHERE a.v IS NULL OR b.v IS NULL OR abs(a.v - b.v) > 4""")
 def _(s, d):
     a = table_of(s, d, "orders").filter("o_orderkey % 3 <> 0").groupBy(F.col("o_orderkey").alias("order_key")).agg(F.count(F.lit(1)).alias("amount"))
     b = table_of(s, d, "lineitem").filter("l_orderkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.count(F.lit(1)).alias("amount"))
-    return market.breaches(a, b, "order_key", 4)
+    return market.breaches(a, b, "order_key", 4).fillna(-1)
