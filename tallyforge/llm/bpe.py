@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm._common import bucketed, documents, partitions
 
@@ -266,7 +267,7 @@ def decode(coded: DataFrame, *, path: str | None = None, pattern: str | None = N
                 out.append(None if ids is None else _gather(table, starts, ids).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, kept.schema.add("decoded", "binary"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

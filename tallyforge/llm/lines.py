@@ -89,14 +89,14 @@ def deduplicated(docs: DataFrame, *, drop_empty: bool = True, **options) -> Data
     loses its last line with words goes if drop_empty; one that had none stays as it is. Rows that repeat a doc_id share
     their line places: what is first in one of them stays in each. A null text stays null.
     """
-    gone = _removed(docs, **options).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn("text", text)
+    gone = _removed(docs, **options).toDF("_tf_id", "_tf_gone")
+    rows = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_tf_id")), "left")
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_tf_gone", i))
+    none = F.col("_tf_gone").isNull()
+    rows = rows.withColumn("text", F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n")))
     if drop_empty:
-        rows = rows.filter(F.col("removed").isNull() | F.col("text").rlike(f"[^{BLANKS}]"))
-    return rows.select(docs.columns)
+        rows = rows.filter(none | F.col("text").rlike(f"[^{BLANKS}]"))
+    return rows.drop("_tf_id", "_tf_gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

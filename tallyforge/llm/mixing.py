@@ -93,16 +93,16 @@ def mixed(docs: DataFrame, *, entropy: float | None = None, repetitions: float |
     source that is due less than it has is cut to a prefix of its permutation. A null source counts as the empty one, a
     null text has no tokens.
     """
-    rows = docs.drop("mix_block", "mix_order").withColumns({"_source": _source(F.col("source")), "_bin": _bin(F.col("doc_id")), "_n": n_words(F.col("text"))})
-    by, _ = written(plan(rows.select(F.col("_source").alias("source"), F.col("_bin").alias("bin"), F.col("_n").alias("n")), entropy=entropy, repetitions=repetitions, budget=budget), "mix-plan")
-    by = by.select(F.col("source").alias("_s"), "blocks", "cut_bin", "room").toDF("_s", "_blocks", "_cut", "_room")
-    rows = rows.join(by, F.col("_source") == F.col("_s"))
-    sure = rows.filter(F.col("_blocks") + (F.col("_bin") < F.col("_cut")).cast("int") > 0).withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") + (F.col("_bin") < F.col("_cut")).cast("int") - 1)))
-    edge = rows.filter((F.col("_bin") == F.col("_cut")) & (F.col("_room") > 0))
-    order = Window.partitionBy("_source").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "_n").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("_upto", F.sum("_n").over(order)).filter(F.col("_upto") <= F.col("_room")).drop("_upto").withColumn("mix_block", F.col("_blocks"))
+    rows = docs.drop("mix_block", "mix_order").withColumns({"_tf_source": _source(F.col("source")), "_tf_bin": _bin(F.col("doc_id")), "_tf_n": n_words(F.col("text"))})
+    by, _ = written(plan(rows.select(F.col("_tf_source").alias("source"), F.col("_tf_bin").alias("bin"), F.col("_tf_n").alias("n")), entropy=entropy, repetitions=repetitions, budget=budget), "mix-plan")
+    by = by.select(F.col("source").alias("_tf_s"), "blocks", "cut_bin", "room").toDF("_tf_s", "_tf_blocks", "_tf_cut", "_tf_room")
+    rows = rows.join(by, F.col("_tf_source") == F.col("_tf_s"))
+    sure = rows.filter(F.col("_tf_blocks") + (F.col("_tf_bin") < F.col("_tf_cut")).cast("int") > 0).withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_tf_blocks") + (F.col("_tf_bin") < F.col("_tf_cut")).cast("int") - 1)))
+    edge = rows.filter((F.col("_tf_bin") == F.col("_tf_cut")) & (F.col("_tf_room") > 0))
+    order = Window.partitionBy("_tf_source").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "_tf_n").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("_tf_upto", F.sum("_tf_n").over(order)).filter(F.col("_tf_upto") <= F.col("_tf_room")).drop("_tf_upto").withColumn("mix_block", F.col("_tf_blocks"))
     both = sure.unionByName(edge)
-    return both.withColumn("mix_order", F.xxhash64("doc_id", "mix_block")).drop("_source", "_bin", "_n", "_s", "_blocks", "_cut", "_room")
+    return both.withColumn("mix_order", F.xxhash64("doc_id", "mix_block")).drop("_tf_source", "_tf_bin", "_tf_n", "_tf_s", "_tf_blocks", "_tf_cut", "_tf_room")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,15 +111,15 @@ def _spans(text: Column, joined: Column, rank: int) -> Column:
 def found(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """docs with `pii`: array of (start, rank, end, kind, score) by start, then kind as listed; a column of that name is
     replaced. A null or empty text has none. A further kind's span that overlaps a base one is left out."""
-    one = F.col("_text")
+    one = F.col("_tf_text")
     base, more = range(len(BASE)), range(len(BASE), len(KINDS))
-    rows = docs.drop("pii", "_text", "_joined", "_base", "_more").withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    rows = docs.drop("pii", "_tf_text", "_tf_joined", "_tf_base", "_tf_more").withColumn("_tf_text", F.coalesce(F.col(text), F.lit("")))
     free = F.when(F.contains(one, F.lit(_JOIN)), F.translate(one, _JOIN, "\ue001")).otherwise(one)
-    rows = rows.withColumn("_joined", F.regexp_replace(free, r"[\x20-](?=[0-9])(?<=[0-9][\x20-])", _JOIN))
-    rows = rows.withColumn("_base", F.concat(*(_spans(one, F.col("_joined"), k) for k in base)))
-    rows = rows.withColumn("_more", F.concat(*(_spans(one, F.col("_joined"), k) for k in more)))
-    apart = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.withColumn("pii", F.when(F.size("_base") + F.size("_more") > 0, F.array_sort(F.concat("_base", apart))).otherwise(F.col("_base"))).drop("_text", "_joined", "_base", "_more")
+    rows = rows.withColumn("_tf_joined", F.regexp_replace(free, r"[\x20-](?=[0-9])(?<=[0-9][\x20-])", _JOIN))
+    rows = rows.withColumn("_tf_base", F.concat(*(_spans(one, F.col("_tf_joined"), k) for k in base)))
+    rows = rows.withColumn("_tf_more", F.concat(*(_spans(one, F.col("_tf_joined"), k) for k in more)))
+    apart = F.filter("_tf_more", lambda s: ~F.exists("_tf_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return rows.withColumn("pii", F.when(F.size("_tf_base") + F.size("_tf_more") > 0, F.array_sort(F.concat("_tf_base", apart))).otherwise(F.col("_tf_base"))).drop("_tf_text", "_tf_joined", "_tf_base", "_tf_more")
 
 
 def masked(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -128,7 +128,7 @@ def masked(docs: DataFrame, *, text: str = "text") -> DataFrame:
     one = F.col(text)
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(one, a["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out")))
     end = F.aggregate("pii", zero, step)
-    return found(docs, text=text).withColumn("_end", end).withColumn(text, F.when(F.size("pii") > 0, F.concat("_end.out", F.substring(one, F.col("_end.at") + 1, F.length(one)))).otherwise(one)).drop("_end")
+    return found(docs, text=text).withColumn("_tf_end", end).withColumn(text, F.when(F.size("pii") > 0, F.concat("_tf_end.out", F.substring(one, F.col("_tf_end.at") + 1, F.length(one)))).otherwise(one)).drop("_tf_end")
 
 
 def listed(spans: Column) -> Column:

@@ -110,10 +110,10 @@ def assessed(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD
     assessed. Each repeated row is assessed by itself.
     """
     table = ratios(docs, trusted_ids(labels, max_trusted), bins=bins)
-    rows = docs.drop(*_NAMES, "_words").withColumn("_words", words_of(F.col("text")))
-    rows = rows.withColumns(statistics(F.col("text"), F.col("_words")) | {"llr": score(F.col("_words"), table)})
+    rows = docs.drop(*_NAMES, "_tf_words").withColumn("_tf_words", words_of(F.col("text")))
+    rows = rows.withColumns(statistics(F.col("text"), F.col("_tf_words")) | {"llr": score(F.col("_tf_words"), table)})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.drop("_words").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return rows.drop("_tf_words").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

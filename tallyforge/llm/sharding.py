@@ -77,16 +77,16 @@ def assigned(docs: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     names = ["n_bytes", "shard", "depth", "shard_bytes", "fits"]
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     _, cells = directory(docs.select(id_hash(F.col("doc_id")).alias("hash"), size.alias("n_bytes")), limit=limit)
-    rows = docs.drop(*names).withColumns({"n_bytes": size, "_hash": id_hash(F.col("doc_id"))})
+    rows = docs.drop(*names).withColumns({"n_bytes": size, "_tf_hash": id_hash(F.col("doc_id"))})
     depths = sorted(r[0] for r in cells.select("cell_depth").distinct().collect())
+    own = [F.col(c).alias(f"_tf_{c}") for c in ("cell", "depth", "prefix", "shard_bytes", "fits")]
     out = None
-    for d in depths:  # one, or one more for each round of splitting beyond the histogram
-        part = cells.filter(F.col("cell_depth") == d).select(F.col("cell").alias("_cell"), "depth", "prefix", "shard_bytes", "fits")
-        here = rows.join(part, _prefix(F.col("_hash"), d) == F.col("_cell"))
+    for d in depths or [BITS]:  # one, or one more for each round of splitting beyond the histogram
+        here = rows.join(cells.filter(F.col("cell_depth") == d).select(*own), _prefix(F.col("_tf_hash"), d) == F.col("_tf_cell"))
         out = here if out is None else out.unionByName(here)
-    if out is None:
-        out = rows.join(cells.select(F.col("cell").alias("_cell"), "depth", "prefix", "shard_bytes", "fits"), F.col("_hash") == F.col("_cell"))
-    return out.withColumn("shard", bits(F.col("depth"), F.col("prefix"))).drop("_hash", "_cell", "prefix")
+    shard = bits(F.col("_tf_depth"), F.col("_tf_prefix"))
+    out = out.withColumns({"shard": shard, "depth": F.col("_tf_depth"), "shard_bytes": F.col("_tf_shard_bytes"), "fits": F.col("_tf_fits")})
+    return out.drop("_tf_hash", "_tf_cell", "_tf_depth", "_tf_prefix", "_tf_shard_bytes", "_tf_fits")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

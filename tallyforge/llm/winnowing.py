@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyforge.llm._common import documents, partitions
 
@@ -98,8 +99,8 @@ def fingerprints(docs: DataFrame, *, text: str = "text", k: int = K, w: int = W)
             pairs = pa.StructArray.from_arrays([pa.array(flat["hash"].astype(np.int64)), pa.array(flat["pos"].astype(np.int64))], ["hash", "pos"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pairs)], [*batch.schema.names, "fingerprint"])
 
-    schema = kept.schema.add("fingerprint", "array<struct<hash:bigint,pos:bigint>>")
-    return kept.mapInArrow(run, schema)
+    pair = T.StructType([T.StructField("hash", T.LongType()), T.StructField("pos", T.LongType())])
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("fingerprint", T.ArrayType(pair))]))
 
 
 def _blocks(ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
