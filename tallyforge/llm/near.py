@@ -4,9 +4,9 @@ Items are texts, named by a 64-bit hash of the text. Steps:
 
 1. `entries` packs each item's banded MinHash keys into blobs by bucket; `groups` finds the keys that several items
    share. Blobs are read one after another, and a bucket keeps one item a key, so a hot key needs no more memory.
-2. `Linker` compares each group's members with the group's first item (star pairs, not all pairs). Where a group still
-   holds several components, its members are compared with its medoid, and what is then left across components is
-   compared exhaustively behind a 64-bit sketch: no pair is lost that shares a band.
+2. `Linker` compares each group's members with the group's first item (star pairs, not all pairs). Groups that then
+   still hold several components connect their members to families, in which what is left across components is compared
+   block by block behind a 64-bit sketch: no link is lost between items that share a band.
 3. Each pair is verified sequentially: batches of the signature narrow the posterior of the similarity (uniform prior),
    and a pair is dropped as soon as P(similarity >= threshold) falls under `miss`; survivors are compared on full sets.
 4. `components` is a distributed union-find (alternating large and small stars) over the links.
@@ -42,22 +42,27 @@ def multipliers(n: int) -> np.ndarray:
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
     """MinHash signatures (rows of n uint32) of non-empty sets of 64-bit hashes."""
     out, at = np.empty((len(sets), n), np.uint32), 0
-    family = multipliers(n)
     while at < len(sets):
         to, size = at, 0
-        while to < len(sets) and (to == at or size + len(sets[to]) <= 1 << 15):  # a chunk stays in the cache
+        while to < len(sets) and (to == at or size + len(sets[to]) <= CHUNK):
             size += len(sets[to])
             to += 1
-        flat = (np.concatenate(sets[at:to]) >> _U(32)).astype(np.uint32)
-        cuts = np.cumsum([0, *(len(s) for s in sets[at : to - 1])])
-        held = np.empty_like(flat)
-        for k in range(n):
-            np.multiply(flat, family[k], out=held)
-            out[at:to, k] = np.minimum.reduceat(held, cuts)
+        out[at:to] = flat_signatures(np.concatenate(sets[at:to]), np.cumsum([0, *(len(s) for s in sets[at : to - 1])]), n)
         at = to
     return out
 
 
+def flat_signatures(flat: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Signatures of sets that lie one after another, each from its start; hashes may repeat within a set."""
+    out, family = np.empty((len(starts), n), np.uint32), multipliers(n)
+    high = (flat >> _U(32)).astype(np.uint32)
+    held = np.empty_like(high)
+    for k in range(n):
+        np.multiply(high, family[k], out=held)
+        out[:, k] = np.minimum.reduceat(held, starts)
+    return out
+
+
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """64-bit keys (items x bands) of signatures cut into bands of equal rows."""
     rows = sig.shape[1] // bands
@@ -83,8 +88,10 @@ def blobs(ids: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple[int, by
     return [(b, flat[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-#: Entries that are sorted at once.
-AT_ONCE = 4_000_000
+#: Hashes of a chunk that stays in the cache.
+CHUNK = 1 << 15
+#: Entries that are sorted at once; items of a block in which all are compared.
+AT_ONCE, BLOCK = 4_000_000, 1_000
 
 
 def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,15 +103,22 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def absorb() -> Iterator[pa.RecordBatch]:
         nonlocal keys, reps, told, held, size
-        x = np.unique(np.frombuffer(b"".join(held), _ENTRY))
+        x = np.frombuffer(b"".join(held), _ENTRY)
         held, size = [], 0
-        first = np.flatnonzero(np.concatenate(([True], x["key"][1:] != x["key"][:-1])))
-        at = np.searchsorted(keys, x["key"][first])
-        old = (at < len(keys)) & (keys[np.minimum(at, max(len(keys) - 1, 0))] == x["key"][first]) if len(keys) else np.zeros(len(first), bool)
-        fresh = first[~old]
-        keys, reps, told = np.concatenate((keys, x["key"][fresh])), np.concatenate((reps, x["id"][fresh])), np.concatenate((told, np.zeros(len(fresh), bool)))
+        order = np.argsort(x["key"], kind="stable")
+        key, ids = x["key"][order], x["id"][order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        low = np.minimum.reduceat(ids, first)  # a new key's item is its smallest id
+        at = np.searchsorted(keys, key[first])
+        old = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key[first]) if len(keys) else np.zeros(len(first), bool)
+        several = np.repeat(old | (np.diff(np.append(first, len(key))) > 1), np.diff(np.append(first, len(key))))
+        keys, reps, told = np.concatenate((keys, key[first][~old])), np.concatenate((reps, low[~old])), np.concatenate((told, np.zeros((~old).sum(), bool)))
         order = np.argsort(keys, kind="stable")
         keys, reps, told = keys[order], reps[order], told[order]
+        x = np.empty(several.sum(), _ENTRY)
+        x["key"], x["id"] = key[several], ids[several]
+        x = x[np.lexsort((x["id"], x["key"]))]
+        x = x[np.concatenate(([True], (x["key"][1:] != x["key"][:-1]) | (x["id"][1:] != x["id"][:-1])))[: len(x)]]
         at = np.searchsorted(keys, x["key"])
         other = x["id"] != reps[at]
         g, ids, to = at[other], x["id"][other], reps[at[other]]
@@ -191,10 +205,12 @@ class Linker:
     def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable[[int, int, int], bool], threshold: float = 0.8, miss: float = 1e-7):
         self.found, self.shingles, self.n, self.linked, self.threshold, self.miss = found, shingles, n, linked, threshold, miss
         self.spark = found.sparkSession
-        # One text an id, put together before the shuffle; then only those of candidates are kept.
-        one = texts.groupBy("id").agg(F.first("text").alias("text"))
-        wanted = found.select("id").distinct()
-        self.items, _ = written(one.join(wanted, "id", "left_semi").mapInArrow(self._described(), "id bigint, text string, size bigint, sketch bigint, sig binary"), "candidates")
+        # A semi-join of two plain shuffles first, which adaptive execution can split where one text is very common.
+        wanted, _ = written(found.select("id").distinct(), "wanted")
+        some, path = written(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi"), "wanted-texts")
+        one = some.groupBy("id").agg(F.first("text").alias("text"))
+        self.items, _ = written(one.mapInArrow(self._described(), "id bigint, text string, size bigint, sketch bigint, sig binary"), "candidates")
+        remove(self.spark, path)
 
     def _described(self):
         shingles, n = self.shingles, self.n
@@ -242,67 +258,87 @@ class Linker:
         remove(self.spark, path)
         return links
 
-    def _open(self, links: DataFrame) -> DataFrame | None:
-        """(g, id, rep, label, sketch, size) of the groups that hold several components; None if there are none."""
+    def _open(self, links: DataFrame) -> DataFrame:
+        """(id, rep, label) of the members of the groups that hold several components."""
         label = components(links)
         named = self.found.select("g", "id", "rep").distinct().join(label, "id", "left").select("g", "id", "rep", F.coalesce("root", "id").alias("label"))
-        several = named.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b")
-        left, _ = written(named.join(several.select("g", "n"), "g"), "open-groups")
-        return None if left.isEmpty() else left
+        several = named.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("g")
+        left, _ = written(named.join(several, "g", "left_semi").select("id", "rep", "label").distinct(), "open-groups")
+        return left
 
-    def _across(self, rows: DataFrame, medoid: bool) -> DataFrame:
-        """Pairs across the components of a group: with the medoid only, or all that sizes and sketches allow."""
-        threshold, bits = self.threshold, min(64, self.n)
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """Links across the components of each family, that is of items which open groups connect.
+
+        A family is cut into blocks of about BLOCK items, and each two blocks meet in one task, where pairs are tested and
+        compared without being written out: an item is copied once for each block of its family.
+        """
+        threshold, miss, n, shingles, linked, bits = self.threshold, self.miss, self.n, self.shingles, self.linked, min(64, self.n)
         # Bits agree with probability (1 + similarity) / 2; six standard deviations below that for a pair at the threshold.
         p = (1 + threshold) / 2
         most = bits * (1 - p) + 6 * (bits * p * (1 - p)) ** 0.5
 
-        def pairs(ids, labels, reps, marks, sizes) -> Iterator[pa.RecordBatch]:
-            marks = marks.view(np.uint64)
-            if medoid:
-                ones = ((marks[:, None] >> np.arange(64, dtype=np.uint64)) & _U(1)).sum(axis=0) * 2 > len(marks)
-                middle = (ones.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)
-                sources = [int(np.lexsort((ids, np.bitwise_count(marks ^ middle)))[0])]
-            else:
-                values, counts = np.unique(labels, return_counts=True)
-                sources = np.flatnonzero(labels != values[np.argmax(counts)]).tolist()
-            done = np.zeros(len(ids), bool)
-            for i in sources:
-                done[i] = True
-                fit = (labels != labels[i]) & ~done & (ids != reps[i]) & (reps != ids[i])
+        def compared(ids, labels, marks, sizes, sigs, texts, sides) -> list[tuple[int, int]]:
+            own, out, sets = {}, [], {}
+            for x in np.unique(labels).tolist():
+                own[x] = x
+
+            def find(x: int) -> int:
+                while own[x] != x:
+                    own[x] = own[own[x]]
+                    x = own[x]
+                return x
+
+            def of(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = shingles(texts[i])
+                return sets[i]
+
+            cross = sides.any() and not sides.all()
+            for i in np.flatnonzero(~sides).tolist() if cross else range(len(ids)):
+                fit = (labels != labels[i]) & (sides if cross else np.arange(len(ids)) > i)
                 fit &= np.minimum(sizes, sizes[i]) >= (threshold - 1e-9) * np.maximum(sizes, sizes[i])
                 fit &= np.bitwise_count(marks ^ marks[i]) <= most
-                to = ids[fit]
-                if len(to):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(to, ids[i])), pa.array(np.maximum(to, ids[i]))], ["x", "y"])
+                at = np.flatnonzero(fit)
+                if len(at):
+                    at = at[survivors(np.broadcast_to(sigs[i], (len(at), n)), sigs[at], threshold=threshold, miss=miss)]
+                for j in at.tolist():
+                    a, b = find(int(labels[i])), find(int(labels[j]))
+                    if a != b and linked(len(np.intersect1d(of(i), of(j), assume_unique=True)), len(of(i)), len(of(j))):
+                        own[a] = b
+                        out.append((int(ids[i]), int(ids[j])))
+            return out
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, parts = None, []
+            now, held = None, []
+
+            def close() -> pa.RecordBatch:
+                ids, labels, marks, sizes, sig, texts, sides = zip(*held, strict=True)
+                links = compared(np.array(ids), np.array(labels), np.array(marks, np.int64).view(np.uint64), np.array(sizes), np.frombuffer(b"".join(sig), np.uint16).reshape(-1, n), texts, np.array(sides))
+                return pa.RecordBatch.from_arrays([pa.array([k[c] for k in links], pa.int64()) for c in (0, 1)], ["x", "y"])
+
             for batch in it:
-                cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("g", "id", "label", "rep", "sketch", "size")]
-                cuts = np.flatnonzero(np.diff(cols[0])) + 1
-                for at, to in zip([0, *cuts], [*cuts, len(cols[0])], strict=True):
-                    if at == to:
-                        continue
-                    if cols[0][at] != now:
-                        if parts:
-                            yield from pairs(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-                        now, parts = cols[0][at], []
-                    parts.append([c[at:to] for c in cols[1:]])
-            if parts:
-                yield from pairs(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-
-        marked = rows.join(self.items.select("id", "sketch", "size"), "id").repartition(partitions(self.spark), "g").sortWithinPartitions("g", "id")
-        return marked.mapInArrow(run, "x bigint, y bigint").distinct()
+                col = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "i", "j", "id", "label", "sketch", "size", "sig", "text", "side")]
+                for root, i, j, *rest in zip(*col, strict=True):
+                    if (root, i, j) != now:
+                        if held:
+                            yield close()
+                        now, held = (root, i, j), []
+                    held.append(tuple(rest))
+            if held:
+                yield close()
+
+        family, _ = written(rows.select("id", "label").distinct().join(components(rows, x="id", y="rep"), "id"), "families")
+        blocks = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        placed = family.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        copies = placed.join(self.items, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        copies = copies.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.col("own") > F.col("i"))
+        dealt = copies.select("root", "i", "j", "id", "label", "sketch", "size", "sig", "text", "side").repartition(partitions(self.spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+        links, _ = written(dealt.mapInArrow(run, "x bigint, y bigint"), "links")
+        return links
 
     def links(self) -> DataFrame:
-        """All links (x, y) between different texts that share a band."""
+        """All links (x, y) that connect different texts which share a band (links within what they connect may lack)."""
         stars = self.found.filter("id <> rep").select(F.least("id", "rep").alias("x"), F.greatest("id", "rep").alias("y")).distinct()
         got = self.verified(stars)
         rest = self._open(got)
-        if rest is not None and rest.agg(F.max("n")).first()[0] > 64:
-            got, _ = written(got.unionByName(self.verified(self._across(rest, medoid=True))), "links")
-            rest = self._open(got)
-        if rest is not None:
-            got = got.unionByName(self.verified(self._across(rest, medoid=False)))
-        return got
+        return got if rest.isEmpty() else got.unionByName(self._across(rest))
