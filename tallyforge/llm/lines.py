@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash.
 
-Lines (trimmed, A-Z as a-z) are sets of byte shingles. 14 bands of 5 rows find a pair of similarity 0.8 with probability
-0.996 and one of 0.9 with all but 5e-6; candidates are verified on full sets, a distributed union-find makes components,
+Lines, trimmed, are sets of byte shingles. 20 bands of 5 rows find a pair of similarity 0.8 with probability 0.9996 and
+one of 0.9 with all but 2e-8; candidates are verified on full sets, a distributed union-find makes components,
 and the first line of each (by doc_id, then place) stays. See tallyforge.llm.near.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from tallyforge.llm import near
 from tallyforge.llm._common import BLANKS, documents, partitions, written
 
 #: Bands and rows of each; bytes of a shingle, a power of two.
-BANDS, ROWS, BYTES = 14, 5, 8
+BANDS, ROWS, BYTES = 20, 5, 8
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = near.mixed(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
@@ -41,44 +42,73 @@ def _windows(raw: bytes, size: int = BYTES) -> np.ndarray:
     return near.mixed(h)
 
 
+def _sets(data: np.ndarray, offsets: np.ndarray, size: int = BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, starts) of the shingles of lines that lie one after another, a chunk of lines at a time; shingles may
+    repeat. Lines under `size` bytes are left to `_windows`."""
+    at, lines = 0, len(offsets) - 1
+    while at < lines:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + near.CHUNK, "right")) - 1)
+        cuts = offsets[at : to + 1] - offsets[at]
+        raw = data[offsets[at] : offsets[to]]
+        long = np.diff(cuts) >= size
+        if long.all():  # hashed together; those of shingles that cross into the next line are taken out
+            h, m, b = _TABLE[raw], 1, _BASE
+            while m < size:
+                h, m, b = h[:-m] * _U(b) + h[m:], 2 * m, b * b % (1 << 64)
+            keep = np.ones(len(h), bool)
+            for k in range(1, size):
+                keep[cuts[1:-1] - k] = False
+            yield near.mixed(h[keep]), cuts[:-1] - np.arange(to - at) * (size - 1)
+        else:
+            parts = [_windows(raw[a:b].tobytes(), size) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
+        at = to
+
+
 def _entries(buckets: int):
-    """(id, line) to blobs of band keys. MinHashes don't need distinct shingles, so sets aren't sorted here."""
+    """(id, line) to blobs of band keys, one entry for the copies of a line in a batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sets = [_windows(x.as_py().encode("utf-8", "surrogatepass")) for x in batch.column(1)]
-            if sets:
-                keys = near.band_keys(near.signatures(sets, BANDS * ROWS), BANDS)
-                out = near.blobs(batch.column(0).to_numpy(), keys, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["bucket", "data"])
+            ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            if not len(ids):
+                continue
+            size = pa.compute.binary_length(batch.column(1)).to_numpy()[first]
+            order = np.argsort(size < BYTES, kind="stable")  # short lines apart, so that all others are hashed together
+            ids, first = ids[order], first[order]
+            text = batch.column(1).take(pa.array(first)).cast(pa.large_string())
+            data = np.frombuffer(text.buffers()[2], np.uint8)
+            sig = [near.flat_signatures(flat, starts, BANDS * ROWS) for flat, starts in _sets(data, np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1])]
+            out = near.blobs(ids, near.band_keys(np.concatenate(sig), BANDS), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["bucket", "data"])
 
     return run
 
 
 def plain(line: Column) -> Column:
-    """A line as it is compared: without blanks around it, A-Z as a-z."""
-    return F.translate(F.regexp_replace(line, f"^[{BLANKS}]+|[{BLANKS}]+$", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A line as it is compared: without ASCII blanks around it."""
+    return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def marked(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """(doc_id, line, root, first) of the lines that have a near duplicate or a copy: their component, and whether they
-    are the one that stays. Lines are numbered from 0; blank lines never count."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
+def places(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFrame:
+    """(doc_id, line, root) of every line with words: its place, counted from 0, and its component; written."""
+    buckets = partitions(docs.sparkSession)
     split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
     lines = split.withColumn("text", plain(F.col("raw"))).filter("text <> ''").select("doc_id", "line", F.xxhash64("text").alias("id"), "text")
     found, _ = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary"), buckets), "line-groups")
     linker = near.Linker(found, lines.select("id", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, miss=miss)
     roots = near.components(linker.links())
     placed = lines.select("doc_id", "line", "id").join(roots, "id", "left").select("doc_id", "line", F.coalesce("root", "id").alias("root"))
-    placed, _ = written(placed, "line-places")
-    first = placed.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("root", "a")
-    return placed.join(first, "root").select("doc_id", "line", "root", (F.col("doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("line") == F.col("a.line"))).alias("first"))
+    return written(placed, "line-places")[0]
 
 
-def _removed(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, removed): places of the lines that go, in order, for each doc_id that has some."""
-    gone = marked(docs, **options).filter(~F.col("first"))
+def removed(placed: DataFrame) -> DataFrame:
+    """(doc_id, removed): places of the lines that go, in order, for each doc_id that has some. The first line of a
+    component stays."""
+    several = placed.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written, so that the join on it has two plain shuffles, which adaptive execution can split at a common line.
+    several, _ = written(several.select("root", "first"), "line-firsts")
+    gone = placed.join(several, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
@@ -89,7 +119,7 @@ def deduplicated(docs: DataFrame, *, drop_empty: bool = True, **options) -> Data
     loses its last line with words goes if drop_empty; one that had none stays as it is. Rows that repeat a doc_id share
     their line places: what is first in one of them stays in each. A null text stays null.
     """
-    gone = _removed(docs, **options).toDF("_tf_id", "_tf_gone")
+    gone = removed(places(docs, **options)).toDF("_tf_id", "_tf_gone")
     rows = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_tf_id")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_tf_gone", i))
     none = F.col("_tf_gone").isNull()
@@ -102,7 +132,7 @@ def deduplicated(docs: DataFrame, *, drop_empty: bool = True, **options) -> Data
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its lines with words, how many go, and their places."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))).cast("bigint")
-    rows = docs.select("doc_id", n.alias("n_lines")).join(_removed(docs), "doc_id", "left")
-    places = F.coalesce(F.array_join(F.transform("removed", lambda i: i.cast("string")), ","), F.lit(""))
-    return rows.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), places.alias("removed_lines"))
+    placed = places(docs)
+    rows = docs.select("doc_id").join(placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines")), "doc_id", "left").join(removed(placed), "doc_id", "left")
+    shown = F.coalesce(F.array_join(F.transform("removed", lambda i: i.cast("string")), ","), F.lit(""))
+    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), shown.alias("removed_lines"))

@@ -4,7 +4,8 @@ Items are texts, named by a 64-bit hash of the text. Steps:
 
 1. `entries` packs each item's banded MinHash keys into blobs by bucket; `groups` finds the keys that several items
    share. Blobs are read one after another, and a bucket keeps one item a key, so a hot key needs no more memory.
-2. `Linker` compares each group's members with the group's first item (star pairs, not all pairs). Groups that then
+2. `Linker` compares each item with the first item of the groups that it is in, with the one that it shares most groups
+   with (star pairs, not all pairs). Groups that then
    still hold several components connect their members to families, in which what is left across components is compared
    block by block behind a 64-bit sketch: no link is lost between items that share a band.
 3. Each pair is verified sequentially: batches of the signature narrow the posterior of the similarity (uniform prior),
@@ -88,6 +89,8 @@ def blobs(ids: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple[int, by
     return [(b, flat[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
+#: Ids that may be broadcast; edges that one task may unite.
+SMALL, AT_ONCE_EDGES = 1_000_000, 500_000
 #: Hashes of a chunk that stays in the cache.
 CHUNK = 1 << 15
 #: Entries that are sorted at once; items of a block in which all are compared.
@@ -170,14 +173,37 @@ def survivors(a: np.ndarray, b: np.ndarray, *, threshold: float, miss: float, st
     return alive
 
 
-def components(links: DataFrame, *, x: str = "x", y: str = "y") -> DataFrame:
+def _united(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) to (id, root) by union-find."""
+    own: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while own[x] != x:
+            own[x] = own[own[x]]
+            x = own[x]
+        return x
+
+    for batch in it:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(own.setdefault(u, u)), find(own.setdefault(v, v))
+            own[max(a, b)] = min(a, b)
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(map(find, own), pa.int64())], ["id", "root"])
+
+
+def components(links: DataFrame, *, x: str = "x", y: str = "y", at_once: int | None = None) -> DataFrame:
     """(id, root) of every linked id; root is the smallest id of its component.
 
     Alternating large and small stars; each pass is written to the shared folder. A node of any degree is handled by
-    aggregation and an equi-join, which adaptive execution can split.
+    aggregation and an equi-join, which adaptive execution can split. A graph whose edges number `at_once` at most
+    (AT_ONCE_EDGES, 16 bytes each) is united in one task instead of some forty stages, with the same result.
     """
     spark = links.sparkSession
     edges, path = written(links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u <> v").distinct(), "edges")
+    if edges.count() <= (AT_ONCE_EDGES if at_once is None else at_once):
+        roots, _ = written(edges.coalesce(1).mapInArrow(_united, "id bigint, root bigint"), "roots")
+        remove(spark, path)
+        return roots
     seen = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -205,9 +231,11 @@ class Linker:
     def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable[[int, int, int], bool], threshold: float = 0.8, miss: float = 1e-7):
         self.found, self.shingles, self.n, self.linked, self.threshold, self.miss = found, shingles, n, linked, threshold, miss
         self.spark = found.sparkSession
-        # A semi-join of two plain shuffles first, which adaptive execution can split where one text is very common.
+        # Up to SMALL ids go to every executor (16 bytes each); beyond, a semi-join of two plain shuffles, which adaptive
+        # execution can split where one text is very common.
         wanted, _ = written(found.select("id").distinct(), "wanted")
-        some, path = written(texts.join(wanted.hint("shuffle_hash"), "id", "left_semi"), "wanted-texts")
+        hint = "broadcast" if wanted.count() <= SMALL else "shuffle_hash"
+        some, path = written(texts.join(wanted.hint(hint), "id", "left_semi"), "wanted-texts")
         one = some.groupBy("id").agg(F.first("text").alias("text"))
         self.items, _ = written(one.mapInArrow(self._described(), "id bigint, text string, size bigint, sketch bigint, sig binary"), "candidates")
         remove(self.spark, path)
@@ -294,18 +322,23 @@ class Linker:
                 return sets[i]
 
             cross = sides.any() and not sides.all()
-            for i in np.flatnonzero(~sides).tolist() if cross else range(len(ids)):
-                fit = (labels != labels[i]) & (sides if cross else np.arange(len(ids)) > i)
-                fit &= np.minimum(sizes, sizes[i]) >= (threshold - 1e-9) * np.maximum(sizes, sizes[i])
-                fit &= np.bitwise_count(marks ^ marks[i]) <= most
-                at = np.flatnonzero(fit)
-                if len(at):
-                    at = at[survivors(np.broadcast_to(sigs[i], (len(at), n)), sigs[at], threshold=threshold, miss=miss)]
-                for j in at.tolist():
-                    a, b = find(int(labels[i])), find(int(labels[j]))
-                    if a != b and linked(len(np.intersect1d(of(i), of(j), assume_unique=True)), len(of(i)), len(of(j))):
-                        own[a] = b
-                        out.append((int(ids[i]), int(ids[j])))
+            left, right = (np.flatnonzero(~sides), np.flatnonzero(sides)) if cross else (np.arange(len(ids)),) * 2
+            for at in range(0, len(left), 256):
+                rows = left[at : at + 256]
+                fit = labels[rows][:, None] != labels[right]
+                if not cross:
+                    fit &= rows[:, None] < right
+                fit &= np.minimum(sizes[rows][:, None], sizes[right]) >= (threshold - 1e-9) * np.maximum(sizes[rows][:, None], sizes[right])
+                fit &= np.bitwise_count(marks[rows][:, None] ^ marks[right]) <= most
+                i, j = np.nonzero(fit)
+                for to in range(0, len(i), 20_000):
+                    x, y = rows[i[to : to + 20_000]], right[j[to : to + 20_000]]
+                    keep = survivors(sigs[x], sigs[y], threshold=threshold, miss=miss)
+                    for u, v in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                        a, b = find(int(labels[u])), find(int(labels[v]))
+                        if a != b and linked(len(np.intersect1d(of(u), of(v), assume_unique=True)), len(of(u)), len(of(v))):
+                            own[a] = b
+                            out.append((int(ids[u]), int(ids[v])))
             return out
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +371,9 @@ class Linker:
 
     def links(self) -> DataFrame:
         """All links (x, y) that connect different texts which share a band (links within what they connect may lack)."""
-        stars = self.found.filter("id <> rep").select(F.least("id", "rep").alias("x"), F.greatest("id", "rep").alias("y")).distinct()
+        shared = self.found.filter("id <> rep").groupBy("id", "rep").agg(F.count(F.lit(1)).alias("n"))
+        most = shared.groupBy("id").agg(F.max_by("rep", F.struct("n", "rep")).alias("rep"))
+        stars = most.select(F.least("id", "rep").alias("x"), F.greatest("id", "rep").alias("y")).distinct()
         got = self.verified(stars)
         rest = self._open(got)
         return got if rest.isEmpty() else got.unionByName(self._across(rest))
