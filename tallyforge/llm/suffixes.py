@@ -117,7 +117,8 @@ def _anchored(length: int, gram: int):
 
 
 def recurring(members: DataFrame, *, batches: int = BATCHES) -> tuple[DataFrame, list[str]]:
-    """(key) of the suffixes that occur twice or more, found by the logarithmic family; and the paths that hold them."""
+    """(key) of the suffixes that occur twice or more, found by the logarithmic family, and the paths that hold them. A
+    key may come once for each scan that met it; a semi-join on plain rows lets adaptive execution split a hot key."""
     spark = members.sparkSession
     n = partitions(spark)
     levels: list[tuple[int, DataFrame, str, str]] = []  # (rank, array, table, path), largest first
@@ -141,7 +142,7 @@ def recurring(members: DataFrame, *, batches: int = BATCHES) -> tuple[DataFrame,
                 dropped(spark, *x[2:])
     for x in levels:
         dropped(spark, *x[2:])
-    return hits.distinct(), paths
+    return hits, paths
 
 
 def _contexts(length: int):
