@@ -104,7 +104,8 @@ def clustered(docs: DataFrame, *, words: int = WORDS, percent: int = 80, miss: f
     own = made.filter("kind = 'doc'").select("doc_id", "id", F.col("size").alias("n_shingles"))
     # Texts without words share an id, but no component.
     own = own.join(roots, "id", "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")))
-    least = own.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join on it has two plain shuffles, which adaptive execution can split at a large component.
+    least, _ = written(own.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     out = own.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

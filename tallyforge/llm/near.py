@@ -294,7 +294,7 @@ class Linker:
         left, _ = written(named.join(several, "g", "left_semi").select("id", "rep", "label").distinct(), "open-groups")
         return left
 
-    def _across(self, rows: DataFrame) -> DataFrame:
+    def _across(self, rows: DataFrame, stars: DataFrame) -> DataFrame:
         """Links across the components of each family, that is of items which open groups connect.
 
         A family is cut into blocks of about BLOCK items, and each two blocks meet in one task, where pairs are tested and
@@ -361,7 +361,11 @@ class Linker:
                 yield close()
 
         family, _ = written(rows.select("id", "label").distinct().join(components(rows, x="id", y="rep"), "id"), "families")
-        blocks = family.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        # A family of two whose pair was a star pair has been compared.
+        pairs = rows.filter("id <> rep").select("id", F.least("id", "rep").alias("x"), F.greatest("id", "rep").alias("y"))
+        met = pairs.join(stars, ["x", "y"], "left_semi").select("id", F.lit(1).alias("met")).distinct()
+        sizes = family.join(met, "id", "left").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("met").alias("met"))
+        blocks = sizes.filter("n > 2 or met is null").select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         placed = family.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         copies = placed.join(self.items, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         copies = copies.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.col("own") > F.col("i"))
@@ -373,7 +377,7 @@ class Linker:
         """All links (x, y) that connect different texts which share a band (links within what they connect may lack)."""
         shared = self.found.filter("id <> rep").groupBy("id", "rep").agg(F.count(F.lit(1)).alias("n"))
         most = shared.groupBy("id").agg(F.max_by("rep", F.struct("n", "rep")).alias("rep"))
-        stars = most.select(F.least("id", "rep").alias("x"), F.greatest("id", "rep").alias("y")).distinct()
+        stars, _ = written(most.select(F.least("id", "rep").alias("x"), F.greatest("id", "rep").alias("y")).distinct(), "stars")
         got = self.verified(stars)
         rest = self._open(got)
-        return got if rest.isEmpty() else got.unionByName(self._across(rest))
+        return got if rest.isEmpty() else got.unionByName(self._across(rest, stars))
