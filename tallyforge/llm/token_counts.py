@@ -115,7 +115,9 @@ def counted(docs: DataFrame, *, path: str | None = None, pattern: str | None = N
     folder = work_path(docs.sparkSession, "tokens")
     manifest, separator, kind = write_tokens(docs, folder, path=path, pattern=pattern)
     got = count_tokens(manifest.filter("ordinal = -1").select("file", "tokens"), folder, separator, kind)
-    return manifest.filter("ordinal >= 0").select("file", "ordinal", "doc_id").join(got, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # The manifest compresses to next to nothing on disk, so its size there must not make it a broadcast.
+    named = manifest.filter("ordinal >= 0").select("file", "ordinal", "doc_id").hint("merge")
+    return named.join(got, ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
