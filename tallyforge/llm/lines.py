@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash.
 
-Lines, trimmed, are sets of byte shingles. 20 bands of 5 rows find a pair of similarity 0.8 with probability 0.9996 and
+Lines, trimmed and with A-Z as a-z, are sets of byte shingles. 20 bands of 5 rows find a pair of similarity 0.8 with probability 0.9996 and
 one of 0.9 with all but 2e-8; candidates are verified on full sets, a distributed union-find makes components,
 and the first line of each (by doc_id, then place) stays. See tallyforge.llm.near.
 """
@@ -23,6 +23,7 @@ BANDS, ROWS, BYTES = 20, 5, 8
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = near.mixed(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
+_TABLE[65:91] = _TABLE[97:123]  # A-Z count as a-z
 
 
 def shingles(line: str, size: int = BYTES) -> np.ndarray:
@@ -86,7 +87,7 @@ def _entries(buckets: int):
 
 
 def plain(line: Column) -> Column:
-    """A line as it is compared: without ASCII blanks around it."""
+    """A line as it is named: without ASCII blanks around it. Names keep the case; shingles count A-Z as a-z."""
     return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
