@@ -2,8 +2,10 @@
 
 Words and pairs of neighbouring words are hashed into a fixed number of bins. Two multinomials are counted: one over
 trusted documents (a bounded sample of the labelled ones, `max_trusted`), one over every document of the corpus. A
-document's score is the mean over its n-grams of log(p_trusted / p_corpus); it passes at `threshold` or above. The table
-of ratios is bounded by the number of bins. DataFrame functions only.
+document's score is the mean over its n-grams of log(p_trusted / p_corpus); it passes at `threshold` or above. A bin's
+trusted count is drawn towards what the corpus lets expect, so that a bin that trusted text is too scarce to show scores
+about 0. Labelled documents are scored without the trusted ones of their own fold, and the threshold comes from these
+scores. The tables of ratios are bounded by the number of bins. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm._common import BLANKS, documents, let, words_of
+from tallyforge.llm._common import BLANKS, documents, let, words_of, written
 
-#: Bins of the hashed n-grams; trusted documents at most (lowest hashes of their ids); added to each bin's count.
+#: Bins of the hashed n-grams; documents of a label at most (lowest hashes of their ids); added to each bin's count.
 BINS, MAX_TRUSTED, SMOOTHING = 1 << 14, 20_000, 1.0
-#: Mean log ratio per n-gram under which a document is rejected.
-THRESHOLD = -0.05
+#: Parts of the labelled documents, each scored without its own.
+FOLDS = 4
+#: Words under which the base rule rejects.
+LEAST_WORDS = 50
 
 
 def _bin(bins: int, *words: Column) -> Column:
@@ -75,45 +79,86 @@ def trusted_ids(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
     return ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
 
 
-def ratios(docs: DataFrame, trusted: DataFrame, *, bins: int = BINS, smoothing: float = SMOOTHING) -> list[float]:
-    """log(p_trusted / p_corpus) of each bin. Without trusted text all are 0, and nothing is rejected."""
-    flagged = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(trusted), F.col("id") == F.col("trusted_id"), "left")
-    grams = flagged.select(F.col("trusted_id").isNotNull().cast("int").alias("t"), F.explode(_grams(words_of(F.col("text")), bins)).alias("bin"))
-    counts = {r["bin"]: (r["t"], r["n"]) for r in grams.groupBy("bin").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
-    good, every = sum(t for t, _ in counts.values()), sum(n for _, n in counts.values())
-    if not good:
-        return [0.0] * bins
-    both = (counts.get(b, (0, 0)) for b in range(bins))
-    return [math.log((t + smoothing) / (good + smoothing * bins)) - math.log((n + smoothing) / (every + smoothing * bins)) for t, n in both]
+def marked(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
+    """(marked_id, good, fold) of labelled documents, `most` of each label at most; good wins. Folds count from 1."""
+    good = trusted_ids(labels, most).select(F.col("trusted_id").alias("marked_id"), F.lit(1).alias("good"))
+    bad = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("marked_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"))
+    bad = bad.filter("good = 0").orderBy(F.xxhash64("marked_id"), "marked_id").limit(most)
+    return good.unionByName(bad).withColumn("fold", (F.pmod(F.xxhash64("marked_id", F.lit(FOLDS)), F.lit(FOLDS)) + 1).cast("int"))
 
 
-def score(words: Column, table: list[float]) -> Column:
-    """Mean log ratio of a text's n-grams in their order; 0 without words."""
-    bins = len(table)
-    held = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
+def ratios(docs: DataFrame, marks: DataFrame, *, bins: int = BINS, smoothing: float = SMOOTHING) -> list[list[float]]:
+    """log(p_trusted / p_corpus) of each bin: by all trusted documents, then without each fold. Without trusted text all
+    are 0, and nothing is rejected.
+
+    The ratio is (t + smoothing) / (e + smoothing) for t n-grams counted and e expected at the corpus's share.
+    """
+    flagged = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(marks.filter("good = 1")), F.col("id") == F.col("marked_id"), "left")
+    grams = flagged.select("fold", F.explode(_grams(words_of(F.col("text")), bins)).alias("bin"))
+    sums = [F.count(F.when(F.col("fold") == k, 1)).alias(f"t{k}") for k in range(1, FOLDS + 1)]
+    counts = {r["bin"]: (r["n"], *(r[f"t{k}"] for k in range(1, FOLDS + 1))) for r in grams.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+    none = (0,) * (FOLDS + 1)
+    every, out = sum(x[0] for x in counts.values()), []
+    for left_out in range(FOLDS + 1):
+        used = [k for k in range(1, FOLDS + 1) if k != left_out]
+        good = sum(x[k] for x in counts.values() for k in used)
+        both = ((sum(x[k] for k in used), x[0]) for x in (counts.get(b, none) for b in range(bins)))
+        out.append([math.log((t + smoothing) / (good * n / every + smoothing)) if good else 0.0 for t, n in both])
+    return out
+
+
+def score(words: Column, tables: list[list[float]], fold: Column) -> Column:
+    """Mean log ratio of a text's n-grams in their order, by the table of its fold (null: by all); 0 without words."""
+    bins = len(tables[0])
+    held = F.split(F.lit(",".join(repr(x) for table in tables for x in table)), ",").cast("array<double>")
     zero = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0.0).alias("s"))
+    start = F.coalesce(fold, F.lit(0)) * bins
 
     def add(a: Column, w: Column) -> Column:
-        pair = F.when(a["w"].isNull(), F.lit(0.0)).otherwise(F.get(held, _bin(bins, a["w"], w)))
-        return F.struct(w.alias("w"), (a["s"] + F.get(held, _bin(bins, w)) + pair).alias("s"))
+        pair = F.when(a["w"].isNull(), F.lit(0.0)).otherwise(F.get(held, start + _bin(bins, a["w"], w)))
+        return F.struct(w.alias("w"), (a["s"] + F.get(held, start + _bin(bins, w)) + pair).alias("s"))
 
     return let(words, lambda w: F.when(F.size(w) > 0, F.aggregate(w, zero, add)["s"] / (2 * F.size(w) - 1)).otherwise(F.lit(0.0)))
 
 
+def parting(good: list[float], bad: list[float]) -> float:
+    """The threshold that best parts held-out scores: the one with the largest sum of the share of good ones that it
+    keeps and of bad ones that it rejects, in the middle of its gap; of equal ones the lowest. Without bad ones, the
+    lowest good score; without good ones nothing is rejected."""
+    if not good or not bad:
+        return min(good, default=-math.inf)
+    best, at, won = 0.0, -math.inf, 0.0
+    scores = sorted([(x, 1) for x in good] + [(x, 0) for x in bad])
+    for k, (x, is_good) in enumerate(scores):
+        won += -1 / len(good) if is_good else 1 / len(bad)
+        above = scores[k + 1][0] if k + 1 < len(scores) else math.inf
+        if above > x and won > best + 1e-12:
+            best, at = won, (x + above) / 2
+    return at
+
+
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
-def assessed(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, bins: int = BINS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+def assessed(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, bins: int = BINS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """docs with the base statistics, `base_failed`, `llr` and `kept`; columns of those names are replaced.
 
     A null text is empty: no words, so it fails the base rule (under 50 words). Null ids are never trusted but are
-    assessed. Each repeated row is assessed by itself.
+    assessed. Each repeated row is assessed by itself. Without a threshold, the one that best parts the held-out scores of
+    labelled documents of 50 words or more is taken.
     """
-    table = ratios(docs, trusted_ids(labels, max_trusted), bins=bins)
-    rows = docs.drop(*_NAMES, "_tf_words").withColumn("_tf_words", words_of(F.col("text")))
-    rows = rows.withColumns(statistics(F.col("text"), F.col("_tf_words")) | {"llr": score(F.col("_tf_words"), table)})
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.drop("_tf_words").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    marks, _ = written(marked(labels, max_trusted), "quality-marks")
+    tables = ratios(docs, marks, bins=bins)
+    held = F.broadcast(marks.toDF("_tf_id", "_tf_good", "_tf_fold"))
+    same = docs["doc_id"].cast("bigint") == held["_tf_id"]
+    if threshold is None:
+        seen = docs.join(held, same).select("_tf_good", "_tf_fold", words_of(F.col("text")).alias("_tf_words")).filter(F.size("_tf_words") >= LEAST_WORDS)
+        seen = seen.select("_tf_good", score(F.col("_tf_words"), tables, F.col("_tf_fold")).alias("llr")).collect()
+        threshold = parting([r["llr"] for r in seen if r["_tf_good"]], [r["llr"] for r in seen if not r["_tf_good"]])
+    rows = docs.join(held, same, "left").drop(*_NAMES, "_tf_words").withColumn("_tf_words", words_of(F.col("text")))
+    rows = rows.withColumns(statistics(F.col("text"), F.col("_tf_words")) | {"llr": score(F.col("_tf_words"), tables, F.col("_tf_fold"))})
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return rows.drop("_tf_words", "_tf_id", "_tf_good", "_tf_fold").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
