@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash.
 
-Lines, trimmed and with A-Z as a-z, are sets of byte shingles. 20 bands of 5 rows find a pair of similarity 0.8 with probability 0.9996 and
+Lines, trimmed and with A-Z as a-z, are sets of shingles of five code points. 20 bands of 5 rows find a pair of similarity 0.8 with probability 0.9996 and
 one of 0.9 with all but 2e-8; candidates are verified on full sets, a distributed union-find makes components,
 and the first line of each (by doc_id, then place) stays. See tallyforge.llm.near.
 """
@@ -18,48 +18,63 @@ from pyspark.sql import functions as F
 from tallyforge.llm import near
 from tallyforge.llm._common import BLANKS, documents, partitions, written
 
-#: Bands and rows of each; bytes of a shingle, a power of two.
-BANDS, ROWS, BYTES = 20, 5, 8
+#: Bands and rows of each; code points of a shingle.
+BANDS, ROWS, POINTS = 20, 5, 5
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
-_TABLE = near.mixed(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
+_TABLE = near.mixed(np.arange(1, 0x110001, dtype=np.uint64) * _U(_BASE))
 _TABLE[65:91] = _TABLE[97:123]  # A-Z count as a-z
 
 
-def shingles(line: str, size: int = BYTES) -> np.ndarray:
-    """Sorted distinct hashes of a line's byte shingles; a shorter line is one shingle, an empty one has none."""
+def shingles(line: str, size: int = POINTS) -> np.ndarray:
+    """Sorted distinct hashes of a line's shingles; a shorter line is one shingle, an empty one has none."""
     return np.unique(_windows(line.encode("utf-8", "surrogatepass"), size))
 
 
-def _windows(raw: bytes, size: int = BYTES) -> np.ndarray:
-    h, m, b = _TABLE[np.frombuffer(raw, np.uint8)], 1, _BASE
+def _points(raw: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes."""
+    if not (raw & 0x80).any():
+        return raw
+    return np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` hashes: doubled while that fits, then one more at a time."""
+    first, m, b = h, 1, _BASE
+    while 2 * m <= size:
+        h, m, b = h[:-m] * _U(b) + h[m:], 2 * m, b * b % (1 << 64)
+    for k in range(m, size):
+        h = h[:-1] * _U(_BASE) + first[k:]
+    return near.mixed(h)
+
+
+def _windows(raw: bytes, size: int = POINTS) -> np.ndarray:
+    h = _TABLE[_points(np.frombuffer(raw, np.uint8))]
     if len(h) < size:  # all of it as one
         one = np.zeros(min(len(h), 1), np.uint64)
         for i in range(len(h)):
             one = near.mixed(one * _U(_BASE) + h[i])
         return one
-    while m < size:
-        h, m, b = h[:-m] * _U(b) + h[m:], 2 * m, b * b % (1 << 64)
-    return near.mixed(h)
+    return _rolled(h, size)
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray, size: int = BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _sets(data: np.ndarray, offsets: np.ndarray, size: int = POINTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, starts) of the shingles of lines that lie one after another, a chunk of lines at a time; shingles may
-    repeat. Lines under `size` bytes are left to `_windows`."""
+    repeat. Lines under `size` code points are left to `_windows`."""
     at, lines = 0, len(offsets) - 1
     while at < lines:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + near.CHUNK, "right")) - 1)
         cuts = offsets[at : to + 1] - offsets[at]
         raw = data[offsets[at] : offsets[to]]
-        long = np.diff(cuts) >= size
-        if long.all():  # hashed together; those of shingles that cross into the next line are taken out
-            h, m, b = _TABLE[raw], 1, _BASE
-            while m < size:
-                h, m, b = h[:-m] * _U(b) + h[m:], 2 * m, b * b % (1 << 64)
+        points = _points(raw)
+        # Where the lines begin, in code points.
+        begun = cuts if len(points) == len(raw) else np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[cuts]
+        if (np.diff(begun) >= size).all():  # hashed together; those of shingles that cross into the next line are taken out
+            h = _rolled(_TABLE[points], size)
             keep = np.ones(len(h), bool)
             for k in range(1, size):
-                keep[cuts[1:-1] - k] = False
-            yield near.mixed(h[keep]), cuts[:-1] - np.arange(to - at) * (size - 1)
+                keep[begun[1:-1] - k] = False
+            yield h[keep], begun[:-1] - np.arange(to - at) * (size - 1)
         else:
             parts = [_windows(raw[a:b].tobytes(), size) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
@@ -74,8 +89,8 @@ def _entries(buckets: int):
             ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             if not len(ids):
                 continue
-            size = pa.compute.binary_length(batch.column(1)).to_numpy()[first]
-            order = np.argsort(size < BYTES, kind="stable")  # short lines apart, so that all others are hashed together
+            size = pa.compute.utf8_length(batch.column(1)).to_numpy()[first]
+            order = np.argsort(size < POINTS, kind="stable")  # short lines apart, so that all others are hashed together
             ids, first = ids[order], first[order]
             text = batch.column(1).take(pa.array(first)).cast(pa.large_string())
             data = np.frombuffer(text.buffers()[2], np.uint8)
