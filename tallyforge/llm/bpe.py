@@ -239,7 +239,7 @@ def encode(docs: DataFrame, *, path: str | None = None, pattern: str | None = No
     buckets = partitions(spark)
     # One table, bucketed by block: its sequences meet the ids of their words without being shuffled.
     made = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_blocks(shared, buckets), _ROWS)
-    rows, _, _ = bucketed(made, "bpe_blocks", "block", buckets)
+    rows, _ = bucketed(made, "bpe_blocks", "block", buckets)
     words = rows.filter("kind = 'word'").select("block", "part", "data").repartition(buckets, "part").sortWithinPartitions("part", "block")
     coded = words.mapInArrow(_encode_words(shared), "block bigint, part bigint, data binary")
     coded = coded.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "data")))["data"].alias("ids"))

@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import near
-from tallyforge.llm._common import BLANKS, documents, partitions, written
+from tallyforge.llm._common import BLANKS, documents, remove, written
+from tallyforge.llm.hashing import BASE, mixed, rolled, table
 
 #: Bands and rows of each; code points of a shingle.
 BANDS, ROWS, POINTS = 20, 5, 5
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_TABLE = near.mixed(np.arange(1, 0x110001, dtype=np.uint64) * _U(_BASE))
+_TABLE = table(0x110000)
 _TABLE[65:91] = _TABLE[97:123]  # A-Z count as a-z
 
 
@@ -38,24 +38,14 @@ def _points(raw: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _rolled(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of `size` hashes: doubled while that fits, then one more at a time."""
-    first, m, b = h, 1, _BASE
-    while 2 * m <= size:
-        h, m, b = h[:-m] * _U(b) + h[m:], 2 * m, b * b % (1 << 64)
-    for k in range(m, size):
-        h = h[:-1] * _U(_BASE) + first[k:]
-    return near.mixed(h)
-
-
 def _windows(raw: bytes, size: int = POINTS) -> np.ndarray:
     h = _TABLE[_points(np.frombuffer(raw, np.uint8))]
     if len(h) < size:  # all of it as one
         one = np.zeros(min(len(h), 1), np.uint64)
         for i in range(len(h)):
-            one = near.mixed(one * _U(_BASE) + h[i])
+            one = mixed(one * _U(BASE) + h[i])
         return one
-    return _rolled(h, size)
+    return rolled(h, size)
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, size: int = POINTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,7 +60,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int = POINTS) -> Iterator
         # Where the lines begin, in code points.
         begun = cuts if len(points) == len(raw) else np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[cuts]
         if (np.diff(begun) >= size).all():  # hashed together; those of shingles that cross into the next line are taken out
-            h = _rolled(_TABLE[points], size)
+            h = rolled(_TABLE[points], size)
             keep = np.ones(len(h), bool)
             for k in range(1, size):
                 keep[begun[1:-1] - k] = False
@@ -106,34 +96,43 @@ def plain(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
+def split(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, id, chk, text) of every line with words: its place, counted from 0, and its name."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
+    return rows.withColumn("text", plain(F.col("raw"))).filter("text <> ''").select("doc_id", "line", *near.names(F.col("text")), "text")
+
+
 def places(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """(doc_id, line, root) of every line with words: its place, counted from 0, and its component; written."""
-    buckets = partitions(docs.sparkSession)
-    split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    lines = split.withColumn("text", plain(F.col("raw"))).filter("text <> ''").select("doc_id", "line", F.xxhash64("text").alias("id"), "text")
-    found, _ = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary"), buckets), "line-groups")
-    linker = near.Linker(found, lines.select("id", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, miss=miss)
-    roots = near.components(linker.links())
-    placed = lines.select("doc_id", "line", "id").join(roots, "id", "left").select("doc_id", "line", F.coalesce("root", "id").alias("root"))
-    return written(placed, "line-places")[0]
+    """(doc_id, line, rid, rchk) of every line with words: its place and the name of its component; written."""
+    spark = docs.sparkSession
+    lines, one = written(split(docs), "lines")
+    buckets = near.bucket_count(spark, lines.count(), BANDS)
+    found, two = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary")), "line-groups")
+    linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, miss=miss)
+    placed = lines.select("doc_id", "line", "id", "chk").join(linker.named(), ["id", "chk"], "left").select("doc_id", "line", F.coalesce("rid", "id").alias("rid"), F.coalesce("rchk", "chk").alias("rchk"))
+    out, _ = written(placed, "line-places")
+    remove(spark, one, two)
+    return out
 
 
 def removed(placed: DataFrame) -> DataFrame:
     """(doc_id, removed): places of the lines that go, in order, for each doc_id that has some. The first line of a
     component stays."""
-    several = placed.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = placed.groupBy("rid", "rchk").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Written, so that the join on it has two plain shuffles, which adaptive execution can split at a common line.
-    several, _ = written(several.select("root", "first"), "line-firsts")
-    gone = placed.join(several, "root").filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
+    several, _ = written(several.select("rid", "rchk", "first"), "line-firsts")
+    gone = placed.join(several, ["rid", "rchk"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, *, drop_empty: bool = True, **options) -> DataFrame:
-    """docs with the texts that are left, all columns as they were.
+def deduplicated(docs: DataFrame, *, drop_empty: bool = True, told: bool = False, **options) -> DataFrame:
+    """docs with the texts that are left, all columns as they were; with `told` also `removed_lines`, the places of the
+    lines that went (null: none).
 
     Of each component of near-equal lines one line stays, the first by doc_id (null first) and place. A document that
-    loses its last line with words goes if drop_empty; one that had none stays as it is. Rows that repeat a doc_id share
-    their line places: what is first in one of them stays in each. A null text stays null.
+    loses its last line with words goes if drop_empty; one that had none stays as it is. Rows that repeat a doc_id (null
+    ones too) share their line places: what is first in one of them stays in each, and what goes in one goes in each. A
+    null text stays null.
     """
     gone = removed(places(docs, **options)).toDF("_tf_id", "_tf_gone")
     rows = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_tf_id")), "left")
@@ -142,13 +141,12 @@ def deduplicated(docs: DataFrame, *, drop_empty: bool = True, **options) -> Data
     rows = rows.withColumn("text", F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n")))
     if drop_empty:
         rows = rows.filter(none | F.col("text").rlike(f"[^{BLANKS}]"))
-    return rows.drop("_tf_id", "_tf_gone")
+    return rows.withColumn("removed_lines", F.col("_tf_gone")).drop("_tf_id", "_tf_gone") if told else rows.drop("_tf_id", "_tf_gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document: its lines with words, how many go, and their places."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    placed = places(docs)
-    rows = docs.select("doc_id").join(placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines")), "doc_id", "left").join(removed(placed), "doc_id", "left")
-    shown = F.coalesce(F.array_join(F.transform("removed", lambda i: i.cast("string")), ","), F.lit(""))
-    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"), shown.alias("removed_lines"))
+    """For each document: its lines with words that are left, how many went and their places, and the text's SHA-256."""
+    rows = deduplicated(documents(spark, sf_dir).select("doc_id", "text"), drop_empty=False, told=True)
+    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(f"[^{BLANKS}]")))
+    shown = F.coalesce(F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ","), F.lit(""))
+    return rows.select("doc_id", left.cast("bigint").alias("n_left"), F.coalesce(F.size("removed_lines"), F.lit(0)).cast("bigint").alias("n_removed"), shown.alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -1,16 +1,17 @@
 """Near-duplicate linking shared by documents and lines.
 
-Items are texts, named by a 64-bit hash of the text. Steps:
+Items are texts. A text's name is 128 bits (`names`); banding runs on its first half, and what shares a band is told apart
+by both, so that no two texts are taken for one. Steps:
 
-1. `entries` packs each item's banded MinHash keys into blobs by bucket; `groups` finds the keys that several items
-   share. Blobs are read one after another, and a bucket keeps one item a key, so a hot key needs no more memory.
+1. `blobs` packs each item's banded MinHash keys by bucket; `groups` finds the keys that several items share. Blobs are
+   read one after another, and a bucket keeps one item a key; buckets are as many as keep each at ENTRIES keys.
 2. `Linker` compares each item with the first item of the groups that it is in, with the one that it shares most groups
-   with (star pairs, not all pairs). Groups that then
-   still hold several components connect their members to families, in which what is left across components is compared
-   block by block behind a 64-bit sketch: no link is lost between items that share a band.
+   with (star pairs, not all pairs). Groups that then still hold several components are open: in each, the items outside
+   its largest component meet the others in cells of BLOCK by BLOCK items, behind a 64-bit sketch. No link is lost between
+   items that share a band.
 3. Each pair is verified sequentially: batches of the signature narrow the posterior of the similarity (uniform prior),
    and a pair is dropped as soon as P(similarity >= threshold) falls under `miss`; survivors are compared on full sets.
-4. `components` is a distributed union-find (alternating large and small stars) over the links.
+4. `components` is a distributed union-find (alternating large and small stars) over the links, at every size.
 """
 
 from __future__ import annotations
@@ -20,24 +21,32 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm._common import partitions, remove, written
+from tallyforge.llm.hashing import BASE, mixed
 
-_ENTRY = np.dtype([("key", "<u4"), ("id", "<i8")])
+_ENTRY = np.dtype([("key", "<u8"), ("id", "<i8")])
 _U = np.uint64
 
+#: Hashes of a chunk that stays in the cache; entries of a bucket; entries that are sorted at once; items of a side of a
+#: cell; edges that a task unites before it hands them on.
+CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES = 1 << 15, 2_000_000, 2_000_000, 128, 1_000_000
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+
+def names(text: Column) -> list[Column]:
+    """A text's name: two 64-bit hashes of different seeds, as columns id and chk."""
+    return [F.xxhash64(text).alias("id"), F.xxhash64(F.lit(1), text).alias("chk")]
+
+
+def bucket_count(spark: SparkSession, items: int, bands: int) -> int:
+    return max(partitions(spark), -(-items * bands // ENTRIES))
 
 
-#: Odd multipliers of the hash family (as many as asked for, from one rule).
 def multipliers(n: int) -> np.ndarray:
-    return (mixed(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.uint32) | np.uint32(1)
+    """Odd multipliers of the hash family (as many as asked for, from one rule)."""
+    return (mixed(np.arange(1, n + 1, dtype=np.uint64) * _U(BASE)) >> _U(32)).astype(np.uint32) | np.uint32(1)
 
 
 def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
@@ -69,7 +78,7 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     rows = sig.shape[1] // bands
     h = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=np.uint64)), (len(sig), bands)).copy()
     for r in range(rows):
-        h = mixed(h * _U(0x9E3779B97F4A7C15) + sig[:, r : rows * bands : rows].astype(np.uint64))
+        h = mixed(h * _U(BASE) + sig[:, r : rows * bands : rows].astype(np.uint64))
     return h
 
 
@@ -80,29 +89,21 @@ def sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def blobs(ids: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """Entries by bucket; a bucket is chosen by a key's high half, its low half stays in the entry."""
+    """Entries (64-bit key, id) by bucket of the key's high half."""
     flat = np.empty(keys.size, _ENTRY)
-    flat["key"], flat["id"] = (keys & _U(0xFFFFFFFF)).ravel(), np.repeat(ids, keys.shape[1])
+    flat["key"], flat["id"] = keys.ravel(), np.repeat(ids, keys.shape[1])
     bucket = ((keys >> _U(32)) % _U(buckets)).ravel().astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     flat, cuts = flat[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
     return [(b, flat[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
-#: Ids that may be broadcast; edges that one task may unite.
-SMALL, AT_ONCE_EDGES = 1_000_000, 500_000
-#: Hashes of a chunk that stays in the cache.
-CHUNK = 1 << 15
-#: Entries that are sorted at once; items of a block in which all are compared.
-AT_ONCE, BLOCK = 4_000_000, 1_000
-
-
 def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blobs in order of bucket to (g, id, rep): the members of each key that several items share."""
     now: int | None = None
     held: list[bytes] = []
     size = 0
-    keys, reps, told = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, bool)
+    keys, reps, told = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
 
     def absorb() -> Iterator[pa.RecordBatch]:
         nonlocal keys, reps, told, held, size
@@ -130,7 +131,7 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told[begun] = True
         g, ids, to = np.concatenate((g, begun)), np.concatenate((ids, reps[begun])), np.concatenate((to, reps[begun]))
         if len(g):
-            yield pa.RecordBatch.from_arrays([pa.array((np.int64(now) << 32) | keys[g].astype(np.int64)), pa.array(ids), pa.array(to)], ["g", "id", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[g].view(np.int64)), pa.array(ids), pa.array(to)], ["g", "id", "rep"])
 
     for batch in it:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -138,16 +139,16 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield from absorb()
                 if bucket != now:
-                    now, keys, reps, told = bucket, np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, bool)
+                    now, keys, reps, told = bucket, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
             held.append(data.as_py())
             size += len(held[-1]) // _ENTRY.itemsize
     if held:
         yield from absorb()
 
 
-def groups(entries: DataFrame, buckets: int) -> DataFrame:
-    """(g, id, rep) from blobs (bucket, data)."""
-    dealt = entries.select("bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket", F.xxhash64("data"))
+def groups(entries: DataFrame) -> DataFrame:
+    """(g, id, rep) from blobs (bucket, data), which Spark sorts by bucket and streams."""
+    dealt = entries.select("bucket", "data").repartition(partitions(entries.sparkSession), "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_grouped, "g bigint, id bigint, rep bigint")
 
 
@@ -173,88 +174,110 @@ def survivors(a: np.ndarray, b: np.ndarray, *, threshold: float, miss: float, st
     return alive
 
 
-def _united(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) to (id, root) by union-find."""
-    own: dict[int, int] = {}
+class Union:
+    """Union-find over whole numbers; the smallest of a set is its root."""
+
+    def __init__(self):
+        self.own: dict[int, int] = {}
 
-    def find(x: int) -> int:
+    def find(self, x: int) -> int:
+        own = self.own
+        own.setdefault(x, x)
         while own[x] != x:
             own[x] = own[own[x]]
             x = own[x]
         return x
 
+    def unite(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.own[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _contracted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a task to stars (u, v) with v the smallest node that u reaches there; at most EDGES nodes are held."""
+    held = Union()
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in held.own if (r := held.find(x)) != x]
+        held.own.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
     for batch in it:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = find(own.setdefault(u, u)), find(own.setdefault(v, v))
-            own[max(a, b)] = min(a, b)
-    if own:
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(map(find, own), pa.int64())], ["id", "root"])
+            held.unite(u, v)
+        if len(held.own) > EDGES:
+            yield stars()
+    if held.own:
+        yield stars()
 
 
-def components(links: DataFrame, *, x: str = "x", y: str = "y", at_once: int | None = None) -> DataFrame:
+def components(links: DataFrame, *, x: str = "x", y: str = "y") -> DataFrame:
     """(id, root) of every linked id; root is the smallest id of its component.
 
-    Alternating large and small stars; each pass is written to the shared folder. A node of any degree is handled by
-    aggregation and an equi-join, which adaptive execution can split. A graph whose edges number `at_once` at most
-    (AT_ONCE_EDGES, 16 bytes each) is united in one task instead of some forty stages, with the same result.
+    Alternating large and small stars; each task contracts its edges to stars first, so rounds are few, and each round
+    is written to the shared folder. A node of any degree is handled by aggregation and an equi-join, which adaptive
+    execution can split.
     """
     spark = links.sparkSession
-    edges, path = written(links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u <> v").distinct(), "edges")
-    if edges.count() <= (AT_ONCE_EDGES if at_once is None else at_once):
-        roots, _ = written(edges.coalesce(1).mapInArrow(_united, "id bigint, root bigint"), "roots")
-        remove(spark, path)
-        return roots
-    seen = None
+    shape = "u bigint, v bigint"
+    edges, path = written(links.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u <> v").mapInArrow(_contracted, shape), "edges")
     while True:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Done when the edges are stars: each node has one root, and no root has one itself.
+        roles = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        if roles.groupBy("n").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 or up = 1 and root = 1").isEmpty():
+            break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges, new = written(small, "edges")
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v")
+        edges, new = written(small.mapInArrow(_contracted, shape), "edges")
         remove(spark, path)
         path = new
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
 class Linker:
-    """Links the items of `groups` whose exact similarity is the threshold or more.
+    """Links the items of `found` (see `groups`) whose exact similarity is the threshold or more.
 
-    texts: (id, text) of all items, rows may repeat. shingles: sorted distinct 64-bit hashes of a text. n: hashes of a
-    signature; linked(common, a, b): the exact rule on the sizes of the common part and both sets.
+    texts: (id, chk, text) of all items, rows may repeat. shingles: sorted distinct 64-bit hashes of a text. n: hashes of
+    a signature; linked(common, a, b): the exact rule on the sizes of the common part and both sets. Within, an item has
+    a number of its own, `no`.
     """
 
     def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable[[int, int, int], bool], threshold: float = 0.8, miss: float = 1e-7):
-        self.found, self.shingles, self.n, self.linked, self.threshold, self.miss = found, shingles, n, linked, threshold, miss
-        self.spark = found.sparkSession
-        # Up to SMALL ids go to every executor (16 bytes each); beyond, a semi-join of two plain shuffles, which adaptive
-        # execution can split where one text is very common.
-        wanted, _ = written(found.select("id").distinct(), "wanted")
-        hint = "broadcast" if wanted.count() <= SMALL else "shuffle_hash"
-        some, path = written(texts.join(wanted.hint(hint), "id", "left_semi"), "wanted-texts")
-        one = some.groupBy("id").agg(F.first("text").alias("text"))
-        self.items, _ = written(one.mapInArrow(self._described(), "id bigint, text string, size bigint, sketch bigint, sig binary"), "candidates")
-        remove(self.spark, path)
+        self.shingles, self.n, self.linked, self.threshold, self.miss = shingles, n, linked, threshold, miss
+        self.spark, self.paths = found.sparkSession, []
+        # Two plain shuffles, which adaptive execution can split where one text is very common.
+        some = self._written(texts.join(found.select("id"), "id", "left_semi"), "wanted-texts")
+        one = self._written(some.groupBy("id", "chk").agg(F.first("text").alias("text")).withColumn("no", F.monotonically_increasing_id()), "numbered")
+        self.items = self._written(one.mapInArrow(self._described(), "id bigint, chk bigint, no bigint, text string, size bigint, sketch bigint, sig binary"), "candidates")
+        named = self.items.select("id", "no")
+        found = found.join(named, "id").select("g", "no", "rep").join(named.toDF("rep", "rep_no"), "rep").select("g", "no", F.col("rep_no").alias("rep"))
+        self.found = self._written(found, "numbered-groups")
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = written(df, name)
+        self.paths.append(path)
+        return out
 
     def _described(self):
         shingles, n = self.shingles, self.n
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                sets = [shingles(x.as_py()) for x in batch.column(1)]
+                col = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+                sets = [shingles(x.as_py()) for x in col["text"]]
                 sig = signatures(sets, n) if sets else np.empty((0, n), np.uint32)
                 short = sig.astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch(sig)), pa.array([r.tobytes() for r in short], pa.binary())], ["id", "text", "size", "sketch", "sig"])
+                yield pa.RecordBatch.from_arrays([col["id"], col["chk"], col["no"], col["text"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch(sig)), pa.array([r.tobytes() for r in short], pa.binary())], ["id", "chk", "no", "text", "size", "sketch", "sig"])
 
         return run
 
     def _both(self, pairs: DataFrame, *cols: str) -> DataFrame:
         for side in "xy":
-            own = self.items.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols))
+            own = self.items.select(F.col("no").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols))
             pairs = pairs.join(own, side)
         return pairs
 
@@ -282,102 +305,108 @@ class Linker:
 
         near = self._both(pairs, "size", "sig").filter(F.least("size_x", "size_y") >= (threshold - 1e-9) * F.greatest("size_x", "size_y"))
         left, path = written(near.select("x", "y", "sig_x", "sig_y").mapInArrow(prune, "x bigint, y bigint"), "survivors")
-        links, _ = written(self._both(left, "text").mapInArrow(exact, "x bigint, y bigint"), "links")
+        links = self._written(self._both(left, "text").mapInArrow(exact, "x bigint, y bigint"), "links")
         remove(self.spark, path)
         return links
 
-    def _open(self, links: DataFrame) -> DataFrame:
-        """(id, rep, label) of the members of the groups that hold several components."""
-        label = components(links)
-        named = self.found.select("g", "id", "rep").distinct().join(label, "id", "left").select("g", "id", "rep", F.coalesce("root", "id").alias("label"))
-        several = named.groupBy("g").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("g")
-        left, _ = written(named.join(several, "g", "left_semi").select("id", "rep", "label").distinct(), "open-groups")
-        return left
-
-    def _across(self, rows: DataFrame, stars: DataFrame) -> DataFrame:
-        """Links across the components of each family, that is of items which open groups connect.
-
-        A family is cut into blocks of about BLOCK items, and each two blocks meet in one task, where pairs are tested and
-        compared without being written out: an item is copied once for each block of its family.
-        """
+    def _open(self, labels: DataFrame) -> DataFrame:
+        """(g, no, label, most) of the members of groups that hold several components; most: the largest one's label."""
+        named = self.found.join(labels.toDF("no", "label"), "no", "left").select("g", "no", F.coalesce("label", "no").alias("label")).distinct()
+        named = self._written(named, "labelled-groups")
+        sizes = named.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+        several = sizes.filter("k > 1").select("g", F.col("most.label").alias("most"), F.col("n").alias("all"), (F.col("n") - F.col("most.n")).alias("rest"))
+        return self._written(named.join(several, "g"), "open-groups")
+
+    def _cells(self, rows: DataFrame) -> DataFrame:
+        """The members of open groups (g, no, label, most, all, rest), dealt into cells (g, i, j): on side 0 a block of
+        those outside the largest component, on side 1 a block of the whole group, each block of about BLOCK items. Every
+        two items of different components of a group meet in a cell."""
+        block = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        place = lambda n: F.pmod(F.xxhash64("no"), block(n)).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), block(n) - 1))
+        left = rows.filter("label <> most").select("g", place("rest").alias("i"), upto("all").alias("j"), F.lit(0).alias("side"), "no", "label")
+        right = rows.select("g", upto("rest").alias("i"), place("all").alias("j"), F.lit(1).alias("side"), "no", "label")
+        return left.unionByName(right)
+
+    def _across(self, rows: DataFrame) -> DataFrame:
+        """Links between the components of each open group. A first pass over sketches and signatures finds the items of
+        a cell that some other one may be linked with; only these meet again, with their texts."""
         threshold, miss, n, shingles, linked, bits = self.threshold, self.miss, self.n, self.shingles, self.linked, min(64, self.n)
         # Bits agree with probability (1 + similarity) / 2; six standard deviations below that for a pair at the threshold.
         p = (1 + threshold) / 2
         most = bits * (1 - p) + 6 * (bits * p * (1 - p)) ** 0.5
 
-        def compared(ids, labels, marks, sizes, sigs, texts, sides) -> list[tuple[int, int]]:
-            own, out, sets = {}, [], {}
-            for x in np.unique(labels).tolist():
-                own[x] = x
-
-            def find(x: int) -> int:
-                while own[x] != x:
-                    own[x] = own[own[x]]
-                    x = own[x]
-                return x
-
-            def of(i: int) -> np.ndarray:
-                if i not in sets:
-                    sets[i] = shingles(texts[i])
-                return sets[i]
-
-            cross = sides.any() and not sides.all()
-            left, right = (np.flatnonzero(~sides), np.flatnonzero(sides)) if cross else (np.arange(len(ids)),) * 2
-            for at in range(0, len(left), 256):
-                rows = left[at : at + 256]
-                fit = labels[rows][:, None] != labels[right]
-                if not cross:
-                    fit &= rows[:, None] < right
-                fit &= np.minimum(sizes[rows][:, None], sizes[right]) >= (threshold - 1e-9) * np.maximum(sizes[rows][:, None], sizes[right])
-                fit &= np.bitwise_count(marks[rows][:, None] ^ marks[right]) <= most
-                i, j = np.nonzero(fit)
-                for to in range(0, len(i), 20_000):
-                    x, y = rows[i[to : to + 20_000]], right[j[to : to + 20_000]]
-                    keep = survivors(sigs[x], sigs[y], threshold=threshold, miss=miss)
-                    for u, v in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
-                        a, b = find(int(labels[u])), find(int(labels[v]))
-                        if a != b and linked(len(np.intersect1d(of(u), of(v), assume_unique=True)), len(of(u)), len(of(v))):
-                            own[a] = b
-                            out.append((int(ids[u]), int(ids[v])))
+        def pairs(cell: dict) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of a cell (side 0, side 1) that outlast the sketch and the sequential test."""
+            left, right = np.flatnonzero(cell["side"] == 0), np.flatnonzero(cell["side"] == 1)
+            fit = cell["label"][left][:, None] != cell["label"][right]
+            size = cell["size"]
+            fit &= np.minimum(size[left][:, None], size[right]) >= (threshold - 1e-9) * np.maximum(size[left][:, None], size[right])
+            marks = cell["sketch"].view(np.uint64)
+            fit &= np.bitwise_count(marks[left][:, None] ^ marks[right]) <= most
+            i, j = np.nonzero(fit)
+            sig = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(-1, n)
+            keep = survivors(sig[left[i]], sig[right[j]], threshold=threshold, miss=miss)
+            return left[i[keep]], right[j[keep]]
+
+        def first(cell: dict) -> list[tuple]:
+            return [(int(cell["g"][k]), int(cell["i"][k]), int(cell["j"][k]), int(cell["side"][k]), int(cell["no"][k]), int(cell["label"][k])) for k in np.unique(np.concatenate(pairs(cell))).tolist()]
+
+        def second(cell: dict) -> list[tuple]:
+            held, sets, out = Union(), {}, []
+
+            def of(k: int) -> np.ndarray:
+                if k not in sets:
+                    sets[k] = shingles(cell["text"][k])
+                return sets[k]
+
+            for a, b in zip(*(x.tolist() for x in pairs(cell)), strict=True):
+                one, two = int(cell["label"][a]), int(cell["label"][b])
+                if held.find(one) != held.find(two) and linked(len(np.intersect1d(of(a), of(b), assume_unique=True)), len(of(a)), len(of(b))):
+                    held.unite(one, two)
+                    out.append((int(cell["no"][a]), int(cell["no"][b])))
             return out
 
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, held = None, []
-
-            def close() -> pa.RecordBatch:
-                ids, labels, marks, sizes, sig, texts, sides = zip(*held, strict=True)
-                links = compared(np.array(ids), np.array(labels), np.array(marks, np.int64).view(np.uint64), np.array(sizes), np.frombuffer(b"".join(sig), np.uint16).reshape(-1, n), texts, np.array(sides))
-                return pa.RecordBatch.from_arrays([pa.array([k[c] for k in links], pa.int64()) for c in (0, 1)], ["x", "y"])
-
-            for batch in it:
-                col = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("root", "i", "j", "id", "label", "sketch", "size", "sig", "text", "side")]
-                for root, i, j, *rest in zip(*col, strict=True):
-                    if (root, i, j) != now:
-                        if held:
-                            yield close()
-                        now, held = (root, i, j), []
-                    held.append(tuple(rest))
-            if held:
-                yield close()
-
-        family, _ = written(rows.select("id", "label").distinct().join(components(rows, x="id", y="rep"), "id"), "families")
-        # A family of two whose pair was a star pair has been compared.
-        pairs = rows.filter("id <> rep").select("id", F.least("id", "rep").alias("x"), F.greatest("id", "rep").alias("y"))
-        met = pairs.join(stars, ["x", "y"], "left_semi").select("id", F.lit(1).alias("met")).distinct()
-        sizes = family.join(met, "id", "left").groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("met").alias("met"))
-        blocks = sizes.filter("n > 2 or met is null").select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        placed = family.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        copies = placed.join(self.items, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        copies = copies.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).withColumn("side", F.col("own") > F.col("i"))
-        dealt = copies.select("root", "i", "j", "id", "label", "sketch", "size", "sig", "text", "side").repartition(partitions(self.spark), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-        links, _ = written(dealt.mapInArrow(run, "x bigint, y bigint"), "links")
-        return links
-
-    def links(self) -> DataFrame:
-        """All links (x, y) that connect different texts which share a band (links within what they connect may lack)."""
-        shared = self.found.filter("id <> rep").groupBy("id", "rep").agg(F.count(F.lit(1)).alias("n"))
-        most = shared.groupBy("id").agg(F.max_by("rep", F.struct("n", "rep")).alias("rep"))
-        stars, _ = written(most.select(F.least("id", "rep").alias("x"), F.greatest("id", "rep").alias("y")).distinct(), "stars")
-        got = self.verified(stars)
-        rest = self._open(got)
-        return got if rest.isEmpty() else got.unionByName(self._across(rest, stars))
+        def by_cell(rows: DataFrame, names: list[str], each: Callable[[dict], list[tuple]], shape: str) -> DataFrame:
+            made = [x.split()[0] for x in shape.split(", ")]
+
+            def closed(held: list[tuple]) -> dict:
+                return {c: v if c in ("sig", "text") else np.array(v, np.int64) for c, v in zip(names, zip(*held, strict=True), strict=True)}
+
+            def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                now, held, out = None, [], []
+                for batch in it:
+                    for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+                        if row[:3] != now:
+                            if held:
+                                out += each(closed(held))
+                            now, held = row[:3], []
+                        held.append(row)
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], made)
+                        out = []
+                if held and (out := out + each(closed(held))):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], made)
+
+            return rows.select(*names).repartition(partitions(self.spark), "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, shape)
+
+        key, drawn = ["g", "i", "j", "side", "no", "label"], ["size", "sketch", "sig"]
+        some = by_cell(self._cells(rows).join(self.items.select("no", *drawn), "no"), [*key, *drawn], first, "g bigint, i bigint, j bigint, side bigint, no bigint, label bigint")
+        some = self._written(some, "cells")
+        return self._written(by_cell(some.join(self.items.select("no", *drawn, "text"), "no"), [*key, *drawn, "text"], second, "x bigint, y bigint"), "links")
+
+    def named(self) -> DataFrame:
+        """(id, chk, rid, rchk) of every item that has links, written: its name, and that of the smallest name of its
+        component. Links within what others connect may not have been looked at."""
+        shared = self.found.filter("no <> rep").groupBy("no", "rep").agg(F.count(F.lit(1)).alias("n"))
+        most = shared.groupBy("no").agg(F.max_by("rep", F.struct("n", "rep")).alias("rep"))
+        stars = most.select(F.least("no", "rep").alias("x"), F.greatest("no", "rep").alias("y")).distinct()
+        labels = components(self.verified(stars))
+        rest = self._open(labels)
+        # The components so far are edges too, so that those of all links start from stars.
+        labels = components(labels.toDF("x", "y").unionByName(self._across(rest)))
+        own = self.items.select("id", "chk", "no").join(labels.toDF("no", "root"), "no").select("id", "chk", "root")
+        low = own.groupBy("root").agg(F.min(F.struct("id", "chk")).alias("low")).select("root", F.col("low.id").alias("rid"), F.col("low.chk").alias("rchk"))
+        out, _ = written(own.join(low, "root").select("id", "chk", "rid", "rchk"), "components")
+        remove(self.spark, *self.paths)
+        return out

@@ -7,18 +7,25 @@ bytes in it (the rightmost of equal ones), so equal windows have equal anchors a
 run of window starts. That keeps about two suffixes for each `length - GRAM` bytes; an array of all suffixes would be
 eight times the corpus.
 
-1. Documents are dealt into batches. A batch's suffix array holds the keys of its anchors' suffixes (first 8 bytes,
-   then a digest of the first GRAM bytes), sorted.
-2. A new array is merge-scanned (a sort-merge join of sorted buckets) against each existing level for keys that occur
-   again; then it joins the family, and levels of equal size merge, so that a key is rewritten log2(batches) times.
-3. Anchors whose key occurs again are compared exactly. Equal contexts (all windows an anchor owns) settle whole runs at
-   once. Where one key has several contexts, the windows of one anchor for each context are compared with each other.
+1. A batch's suffix array (`Family.add`) has its anchors' suffixes in the order of their bytes (GRAM of them, which is
+   where matching starts), each with its count and first position. Arrays are tables in sorted buckets.
+2. The new array is merge-scanned (a sort-merge join of buckets that are neither shuffled nor sorted again) against each
+   level for suffixes that both have; then it joins the family, and levels of equal rank merge, so that a suffix is
+   rewritten log2(batches) times. A family lives in a folder and can be opened again to add batches to it.
+3. Matches of GRAM bytes are extended to `length` (`_extended`), in rounds that halve what is unknown twice: a run of
+   windows that one anchor owns is told by the bytes that all its windows share. Runs whose whole context occurs again are
+   settled at once; runs whose shared bytes occur nowhere else are done; the others are cut into four, whose windows share
+   more bytes, until single windows are left. No run meets others in one task: rounds are aggregations and equi-joins.
 4. Spans are put together by document and cut out of the text.
+
+Strings are compared by two 64-bit hashes of different bases, together with the places of their windows.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,42 +33,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm._common import bucketed, documents, dropped, partitions, remove, written
-from tallyforge.llm.near import mixed
+from tallyforge.llm._common import bucketed, documents, file_system, partitions, reopened, remove, work_path, written
+from tallyforge.llm.hashing import Powers, Sums, mixed, table
 
-#: Bytes of a repeated string; of the gram that anchors hash (a sum of two powers of two); batches of the corpus.
-LENGTH, GRAM, BATCHES = 200, 48, 4
+#: Bytes of a repeated string; of the gram at which a suffix is indexed; batches of the corpus.
+LENGTH, GRAM, BATCHES = 200, 32, 4
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_TABLES = [table(256, b) for b in _BASES]
+_POWERS = [Powers(b) for b in _BASES]
 _BITS = 20
 _SPAN = 1 << _BITS
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_POWERS[0]) < n:
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(1 << (n - 1).bit_length(), b, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x)
-    return _POWERS
 
+def _sums(raw: np.ndarray) -> list[Sums]:
+    return [Sums(t[raw], p) for t, p in zip(_TABLES, _POWERS, strict=True)]
 
-def _sums(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums from which `_hashed` takes the hash of any part of raw."""
-    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(_TABLE[raw] * _powers(len(raw) + 1)[0][: len(raw)])))
 
+def _digests(sums: list[Sums], start: np.ndarray, end: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each part, together with what tells its place."""
+    place = mixed(place.astype(np.uint64) + _U(1))
+    return [mixed(s.of(start, end) + place).view(np.int64) for s in sums]
 
-def _hashed(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (sums[end] - sums[start]) * _powers(len(sums))[1][start]
 
-
-def anchors(raw: np.ndarray, sums: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(raw: np.ndarray, sums: Sums, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window start, windows) of a text of at least `length` bytes, by window start."""
     starts = np.arange(len(raw) - gram + 1)
-    h = mixed(_hashed(sums, starts, starts + gram))
+    h = mixed(sums.of(starts, starts + gram))
     w = length - gram + 1
     out: list[list[np.ndarray]] = [[], [], []]
     for at in range(0, len(h) - w + 1, _SPAN - w + 1):
@@ -79,159 +77,200 @@ def anchors(raw: np.ndarray, sums: np.ndarray, length: int = LENGTH, gram: int =
     return tuple(np.concatenate(x) for x in out)
 
 
-_MEMBER = "doc bigint, mark int, start int, windows int, offset int, head bigint, key bigint, context bigint"
+_SUFFIX = "suffix binary, n bigint, doc bigint, at int"
+_MEMBER = "suffix binary, doc bigint, mark bigint, at int, low int, high int, c1 bigint, c2 bigint"
+
+
+def _columns(shape: str) -> tuple[list[str], list[pa.DataType]]:
+    kinds = {"binary": pa.binary(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    parts = [x.split() for x in shape.split(", ")]
+    return [n for n, _ in parts], [kinds[k] for _, k in parts]
+
+
+def _batch(shape: str, cols: list) -> pa.RecordBatch:
+    names, kinds = _columns(shape)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def _anchored(length: int, gram: int):
-    """(doc, mark, text) to its anchors: first window start, windows, the anchor's offset from it, and the digests."""
+    """(doc, mark, text) to its anchors: place, suffix, and the run of windows by how far before the anchor they begin
+    (low to high), with the digest of their bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            parts, docs, marks, size = [], [], [], 0
+            parts, size = [], 0
             for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 raw = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
                 if len(raw) < length:
                     continue
                 sums = _sums(raw)
-                at, start, n = anchors(raw, sums, length, gram)
-                key = mixed(_hashed(sums, at, at + gram))
-                # The context counts with the places of its windows about the anchor.
-                context = mixed(_hashed(sums, start, start + n - 1 + length) + mixed((at - start).astype(np.uint64) << _U(32) | n.astype(np.uint64)))
-                eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)[at]).view(">u8").ravel()
-                parts.append((start, n, at - start, eight.astype(np.uint64).view(np.int64), key.view(np.int64), context.view(np.int64)))
-                docs.append(np.full(len(at), doc))
-                marks.append(np.full(len(at), mark, np.int32))
+                at, start, n = anchors(raw, sums[0], length, gram)
+                high = at - start
+                low = high - (n - 1)
+                suffix = np.lib.stride_tricks.sliding_window_view(raw, gram)[at]
+                context = _digests(sums, start, start + n - 1 + length, high << 16 | low)
+                parts.append((suffix, np.full(len(at), doc), np.full(len(at), mark), at, low, high, *context))
                 size += len(at)
-                if size > 200_000:
-                    yield batch_of(docs, marks, parts)
-                    parts, docs, marks, size = [], [], [], 0
+                if size > 100_000:
+                    yield packed(parts)
+                    parts, size = [], 0
             if parts:
-                yield batch_of(docs, marks, parts)
-
-    def batch_of(docs, marks, parts) -> pa.RecordBatch:
-        cols = [np.concatenate(docs), np.concatenate(marks), *(np.concatenate(c) for c in zip(*parts, strict=True))]
-        kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(cols, kinds, strict=True)], [x.strip().split()[0] for x in _MEMBER.split(",")])
+                yield packed(parts)
 
-    return run
-
-
-def recurring(members: DataFrame, *, batches: int = BATCHES) -> tuple[DataFrame, list[str]]:
-    """(key) of the suffixes that occur twice or more, found by the logarithmic family, and the paths that hold them. A
-    key may come once for each scan that met it; a semi-join on plain rows lets adaptive execution split a hot key."""
-    spark = members.sparkSession
-    n = partitions(spark)
-    levels: list[tuple[int, DataFrame, str, str]] = []  # (rank, array, table, path), largest first
-    hits, paths = None, []
-    for batch in range(batches):
-        own = members.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == batch)
-        array = (0, *bucketed(own.groupBy("key").agg(F.min("head").alias("head"), F.count(F.lit(1)).alias("n")), "suffixes", "key", n, "head", "key"))
-        found = array[1].filter("n > 1").select("key")
-        for _, level, _, _ in levels:
-            found = found.unionByName(array[1].join(level, "key", "left_semi").select("key"))
-        here, path = written(found, "suffix-hits")
-        paths.append(path)
-        hits = here if hits is None else hits.unionByName(here)
-        levels.append(array)
-        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:
-            one, two = levels.pop(), levels.pop()
-            if batch < batches - 1:  # after the last batch nothing is scanned against the family
-                both = two[1].select("key", "head").unionByName(one[1].select("key", "head"))
-                levels.append((one[0] + 1, *bucketed(both.groupBy("key").agg(F.min("head").alias("head")), "suffixes", "key", n, "head", "key")))
-            for x in (one, two):
-                dropped(spark, *x[2:])
-    for x in levels:
-        dropped(spark, *x[2:])
-    return hits, paths
-
-
-def _contexts(length: int):
-    """(doc, mark, text, reps) to the bytes that each representative's windows cover."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out: list[tuple] = []
-            for doc, mark, text, reps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                raw = text.as_py().encode("utf-8", "surrogatepass")
-                out += [(r["key"], doc, mark, r["start"], r["single"], r["hot"], raw[r["start"] : r["start"] + r["windows"] - 1 + length]) for r in reps]
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "doc", "mark", "start", "single", "hot", "bytes"])
+    def packed(parts) -> pa.RecordBatch:
+        suffix, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+        ends = np.arange(len(suffix) + 1, dtype=np.int32) * gram
+        return _batch(_MEMBER, [pa.Array.from_buffers(pa.binary(), len(suffix), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(suffix))]), *rest])
 
     return run
 
 
-_BYTES = "key bigint, doc bigint, mark int, start int, single boolean, hot boolean, bytes binary"
-_SPANS = "doc bigint, mark int, start int, end int"
-
-
-def _windows(raw: bytes, length: int) -> np.ndarray:
-    sums = _sums(np.frombuffer(raw, np.uint8))
-    starts = np.arange(len(raw) - length + 1)
-    return mixed(_hashed(sums, starts, starts + length))
+@contextlib.contextmanager
+def _sorted_scans(spark: SparkSession):
+    """Lets scans of buckets of one file each tell that they are sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def _spans_of(flags: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
-    return [(start + a, start + b - 1 + length) for a, b in edges.reshape(-1, 2).tolist()]
+class Family:
+    """Suffix arrays in levels, in a folder that driver and executors share (by default a new one for this application).
 
+    The folder's last manifest names the levels, so that a family can be opened again, and a call that failed leaves the
+    family as it was. All batches of a family have one number of buckets and one gram.
+    """
 
-def _compared(length: int):
-    """Contexts in order of key to the spans of single ones whose windows occur in another context of their key."""
+    def __init__(self, spark: SparkSession, folder: str | None = None, *, buckets: int | None = None):
+        self.spark, self.folder = spark, folder or work_path(spark, "suffix-family")
+        files, at = file_system(spark, f"{self.folder}/levels-*.json")
+        held = sorted(x.getPath().toString() for x in files.globStatus(at) or [])
+        state = json.loads(spark.read.text(held[-1], wholetext=True).first()[0]) if held else {"turn": 0, "buckets": buckets or partitions(spark), "levels": []}
+        self.turn, self.buckets = state["turn"], state["buckets"]
+        self.levels: list[tuple[int, str]] = [tuple(x) for x in state["levels"]]  # (rank, path), largest first
+
+    def array(self, path: str) -> DataFrame:
+        return reopened(self.spark, path, _SUFFIX, "suffix", self.buckets)
+
+    def _built(self, counted: DataFrame) -> str:
+        one = counted.groupBy("suffix").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "at")).alias("p")).select("suffix", "n", "p.doc", "p.at")
+        return bucketed(one, "suffixes", "suffix", self.buckets, "suffix", folder=self.folder)[1]
+
+    def add(self, members: DataFrame, *, last: bool = False) -> DataFrame:
+        """Adds a batch's suffixes (suffix, doc, at); gives those (suffix) that the batch holds twice or a level holds
+        too, written. A suffix may come once for each scan that met it. `last`: nothing will be added, so that levels
+        need not merge."""
+        spark, new = self.spark, self._built(members.select("suffix", F.lit(1).cast("bigint").alias("n"), "doc", "at"))
+        array = self.array(new)
+        with _sorted_scans(spark):
+            found = array.filter("n > 1").select("suffix")
+            for _, path in self.levels:
+                found = found.unionByName(array.select("suffix").join(self.array(path).select("suffix"), "suffix", "left_semi"))
+            hits, _ = written(found, "suffix-hits")
+        old, self.levels = [], [*self.levels, (0, new)]
+        while not last and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, self._built(self.array(two).unionByName(self.array(one)))))
+            old += [one, two]
+        self._commit()
+        remove(spark, *old)
+        return hits
+
+    def _commit(self) -> None:
+        self.turn += 1
+        state = json.dumps({"turn": self.turn, "buckets": self.buckets, "levels": self.levels})
+        files, at = file_system(self.spark, f"{self.folder}/levels-{self.turn:08d}.json")
+        _, new = file_system(self.spark, f"{self.folder}/.new-levels")
+        out = files.create(new, True)
+        out.write(state.encode())
+        out.close()
+        if not files.rename(new, at):
+            raise RuntimeError(f"another writer has added to {self.folder}")
+
+
+_PIECE = "piece bigint, doc bigint, mark bigint, at int, low int, high int, single boolean, bytes binary"
+_RUN = "k1 bigint, k2 bigint, c1 bigint, c2 bigint, piece bigint, low int, high int, single boolean"
+
+
+def _pieces(length: int):
+    """(doc, mark, text, runs) to the bytes that each run's windows cover."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-
-        def close() -> list[tuple]:
-            hashes = [_windows(x[3], length) for x in held]
-            values, back, counts = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-            twice, at, out = counts[back] > 1, 0, []
-            for (doc, mark, start, _, single), h in zip(held, hashes, strict=True):
-                if single:
-                    out += [(doc, mark, a, b) for a, b in _spans_of(twice[at : at + len(h)], start, length)]
-                at += len(h)
-            return out
-
-        def rows(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), *[pa.int32()] * 3], strict=True)], ["doc", "mark", "start", "end"])
-
         for batch in it:
             out: list[tuple] = []
-            col = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "doc", "mark", "start", "bytes", "single")]
-            for key, *rest in zip(*col, strict=True):
-                if key != now:
-                    if held:
-                        out += close()
-                    now, held = key, []
-                held.append(tuple(rest))
+            for doc, mark, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
+                out += [(0, doc, mark, r["at"], r["low"], r["high"], r["single"], raw[r["at"] - r["high"] : r["at"] - r["low"] + length]) for r in runs]
             if out:
-                yield rows(out)
-        if held and (out := close()):
-            yield rows(out)
+                yield _batch(_PIECE, list(zip(*out, strict=True)))
 
     return run
 
 
-def _exploded(length: int):
-    """Contexts to packed windows, for keys of very many contexts: (window, doc, mark, at, single)."""
+def _cut_runs(width: int, length: int, gram: int):
+    """(piece, low, high, single, top, bytes) to its runs within `width` offsets, with the digests of the bytes that all
+    windows of those offsets share (k1, k2) and of all bytes that the run's own windows have (c1, c2)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            col = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc", "mark", "start", "single", "bytes")]
-            for doc, mark, start, single, raw in zip(*col, strict=True):
-                h = _windows(raw, length).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(n, doc)), pa.array(np.full(n, mark, np.int32)), pa.array(np.arange(start, start + n, dtype=np.int32)), pa.array(np.full(n, single))], ["window", "doc", "mark", "at", "single"])
+            if not batch.num_rows:
+                continue
+            piece, low, high, single, top = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            data = batch.column(5)
+            ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+            sums = _sums(np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+            anchor = ends[:-1] - ends[0] + top  # where the anchor would be, from the start of all pieces
+            first = low // width
+            many = high // width - first + 1
+            of = np.repeat(np.arange(len(piece)), many)
+            node = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            a, b = node * width, np.minimum(node * width + width - 1, length - gram)
+            lo, hi = np.maximum(low[of], a), np.minimum(high[of], b)
+            key = _digests(sums, anchor[of] - a, anchor[of] - b + length, node)
+            context = _digests(sums, anchor[of] - hi, anchor[of] - lo + length, hi << 16 | lo)
+            yield _batch(_RUN, [*key, *context, piece[of], lo.astype(np.int32), hi.astype(np.int32), single[of]])
 
     return run
 
 
-#: Contexts of one key from which its windows are shuffled by themselves instead of being held together.
-HOT = 10_000
-
-
-def _cut(length: int, texts: bool):
+def _settled(rows: DataFrame, key: list[str], own: list[str], name: str) -> tuple[DataFrame, DataFrame, str]:
+    """Of runs (key, c1, c2, own, low, high, single): those whose context occurs again, and one run of each context of the
+    keys that have several, single if it is not settled yet. Also gives a path that both read."""
+    context = [*key, "c1", "c2"]
+    counted, path = written(rows.groupBy(*context).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*own, "low", "high", "single")).alias("rep")), name)
+    again = rows.filter("single").join(counted.filter("n > 1").select(*context), context, "left_semi").select(*own, "low", "high")
+    several = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(*key)
+    rest = counted.join(several, key).select(*(F.col(f"rep.{c}").alias(c) for c in (*own, "low", "high")), ((F.col("n") == 1) & F.col("rep.single")).alias("single"))
+    return again, rest, path
+
+
+def _extended(rows: DataFrame, shared: DataFrame, *, length: int, gram: int) -> tuple[DataFrame, list[str]]:
+    """(doc, mark, start, end) of the windows of `shared` anchors that occur again, and the paths that it reads."""
+    spans = lambda df: df.select("doc", "mark", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
+    again, rest, path = _settled(shared.withColumn("single", F.lit(True)), ["key"], ["doc", "mark", "at"], "suffix-contexts")
+    out, paths = spans(again), [path]
+    by_doc = rest.groupBy("doc", "mark").agg(F.collect_list(F.struct("at", "low", "high", "single")).alias("runs"))
+    cut = rows.join(by_doc, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(_pieces(length), _PIECE)
+    pieces, path = written(cut.withColumn("piece", F.monotonically_increasing_id()), "suffix-pieces")
+    paths.append(path)
+    held, at = pieces.select("piece", F.col("high").alias("top"), "bytes"), pieces.select("piece", "doc", "mark", "at")
+    now, width = pieces.select("piece", "low", "high", "single"), 1
+    while width * 4 <= length - gram:
+        width *= 4
+    while width:
+        made = now.join(held, "piece").select("piece", "low", "high", "single", "top", "bytes").mapInArrow(_cut_runs(width, length, gram), _RUN)
+        made, path = written(made, "suffix-runs")
+        again, now, other = _settled(made, ["k1", "k2"], ["piece"], "suffix-contexts")
+        paths += [path, other]
+        out = out.unionByName(spans(again.join(at, "piece")))
+        width //= 4
+    return out, paths
+
+
+def _cut(texts: bool):
     """(doc, text, spans) to the result of each row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,43 +296,40 @@ def _cut(length: int, texts: bool):
     return run
 
 
-def removed(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, texts: bool = False, hot: int = HOT) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc, mark, text): rows of one id are told apart by a hash of their text."""
+    text: Column = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_VOID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+_VOID = -(2**63)
+
+
+def removed(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of each row; kept is the SHA-256 of the bytes left, or the bytes.
 
     Matches lie within one document each, occurrences may overlap and may be in the same document, and strings are
     judged on the input. A null text is empty; a text under `length` bytes loses nothing; of repeated rows each loses
-    what it shares with the others, which is all of it from `length` bytes on.
+    what it shares with the others, which is all of it from `length` bytes on. Rows without an id are told apart by 64
+    bits of their text.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
-    void = -(2**63)
-    text: Column = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(void)).alias("doc"), F.hash(text).alias("mark"), text.alias("text"))
-    members, all_path = written(rows.mapInArrow(_anchored(length, gram), _MEMBER), "suffix-anchors")
-    hits, paths = recurring(members, batches=batches)
-    shared, _ = written(members.drop("head").join(hits, "key", "left_semi"), "suffix-shared")
-    for path in (all_path, *paths):
-        remove(spark, path)
-
-    contexts = shared.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "mark", "start", "windows", "offset")).alias("rep"))
-    contexts, _ = written(contexts, "suffix-contexts")
-    whole = shared.join(contexts.filter("n > 1").select("key", "context"), ["key", "context"], "left_semi")
-    whole = whole.select("doc", "mark", "start", (F.col("start") + F.col("windows") - 1 + length).alias("end"))
-
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    reps = contexts.join(several, "key").select("key", "rep.*", (F.col("n") == 1).alias("single"), (F.col("k") > hot).alias("hot"))
-    by_doc = reps.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "start", "windows", "single", "hot")).alias("reps"))
-    pieces = rows.join(by_doc, ["doc", "mark"]).select("doc", "mark", "text", "reps").mapInArrow(_contexts(length), _BYTES)
-    pieces, _ = written(pieces, "suffix-pieces")
-    near = pieces.filter("not hot").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compared(length), _SPANS)
-    spans = whole.unionByName(near)
-    if not pieces.filter("hot").isEmpty():
-        windows = pieces.filter("hot").mapInArrow(_exploded(length), "window bigint, doc bigint, mark int, at int, single boolean")
-        twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-        spans = spans.unionByName(windows.filter("single").join(twice, "window", "left_semi").select("doc", "mark", F.col("at").alias("start"), (F.col("at") + length).alias("end")))
+    spark, rows = docs.sparkSession, _rows(docs)
+    members, path = written(rows.mapInArrow(_anchored(length, gram), _MEMBER).withColumn("key", F.xxhash64("suffix")), "suffix-anchors")
+    family, hits = Family(spark), None
+    for batch in range(batches):
+        own = members.filter(F.pmod(F.xxhash64("doc", "mark"), F.lit(batches)) == batch)
+        found = family.add(own, last=batch == batches - 1)
+        hits = found if hits is None else hits.unionByName(found)
+    remove(spark, family.folder)
+    # By a digest of the suffix, of which members have 8 bytes instead of GRAM; what shares it is told apart by context.
+    # Plain rows on both sides, so that adaptive execution can split a hot suffix.
+    hit = hits.select(F.xxhash64("suffix").alias("key"))
+    shared, _ = written(members.drop("suffix").join(hit, "key", "left_semi"), "suffix-shared")
+    remove(spark, path)
+    spans, _ = _extended(rows, shared, length=length, gram=gram)
     spans = spans.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = rows.join(spans, ["doc", "mark"], "left").select("doc", "text", "spans").mapInArrow(_cut(length, texts), f"doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'binary' if texts else 'string'}")
-    return out.select(F.when(F.col("doc") != void, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    out = rows.join(spans, ["doc", "mark"], "left").select("doc", "text", "spans").mapInArrow(_cut(texts), f"doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept {'binary' if texts else 'string'}")
+    return out.select(F.when(F.col("doc") != _VOID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

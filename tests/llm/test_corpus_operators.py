@@ -45,7 +45,7 @@ def repeats():
     return [(i, t, None) for i, t in enumerate(texts + [base[k : k + 230] + str(k) * 100 for k in range(0, 600, 29)])]
 
 
-@pytest.mark.parametrize("options", [{"batches": 5}, {"batches": 3, "hot": 2}])
+@pytest.mark.parametrize("options", [{"batches": 5}, {"batches": 1}, {"batches": 2, "gram": 48}])
 def test_removed_bytes(spark, options):
     made = repeats()
     got = {r.doc_id: tuple(r)[1:] for r in suffixes.removed(frame(spark, made), **options).collect()}
@@ -62,7 +62,7 @@ def test_removed_of_awkward_rows(spark, rows):
 
 def test_anchors_own_every_window():
     raw = np.frombuffer((prose(random.Random(1), 900) + "a" * 700).encode(), np.uint8)
-    at, start, n = suffixes.anchors(raw, suffixes._sums(raw))
+    at, start, n = suffixes.anchors(raw, suffixes._sums(raw)[0])
     assert start[0] == 0 and (start[1:] == start[:-1] + n[:-1]).all() and start[-1] + n[-1] == len(raw) - 199
     assert (at >= start + n - 1).all() and (at + suffixes.GRAM <= start + 200).all()
 
@@ -101,10 +101,11 @@ def family(seed=4):
 
 @pytest.mark.parametrize("n", [2, 5])
 def test_components(spark, rows, n, monkeypatch):
-    if n == 2:  # as with tables beyond the sizes that are handled at once
-        monkeypatch.setattr(near, "SMALL", 0)
-        monkeypatch.setattr(near, "AT_ONCE_EDGES", 0)
+    if n == 2:  # as with large tables
         monkeypatch.setattr(near, "AT_ONCE", 50)
+        monkeypatch.setattr(near, "BLOCK", 8)
+        monkeypatch.setattr(near, "EDGES", 5)
+        monkeypatch.setattr(near, "ENTRIES", 100)
     for case in (rows, family()):
         got = minhash.clustered(frame(spark, case), words=n).collect()
         want = brute_components(case, n)
@@ -147,14 +148,15 @@ def test_sequential_test_keeps_similar_pairs():
         assert len(near.survivors(a, b, threshold=0.8, miss=1e-7)) / 4000 == keeps
 
 
-def test_union_find(spark):
+def test_union_find(spark, monkeypatch):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 200)] + [(rng.randint(400, 500), rng.randint(400, 500)) for _ in range(80)]
-    edges = spark.createDataFrame(pairs, "x bigint, y bigint")
+    edges = spark.createDataFrame(pairs, "x bigint, y bigint").repartition(5)
     want = union_find(pairs, {n for p in pairs for n in p})
     want = {n: r for n, r in want.items() if sum(v == r for v in want.values()) > 1}
-    for at_once in (0, 1000):
-        assert {r.id: r.root for r in near.components(edges, at_once=at_once).collect()} == want
+    for most in (3, 1000):  # nodes that a task holds
+        monkeypatch.setattr(near, "EDGES", most)
+        assert {r.id: r.root for r in near.components(edges).collect()} == want
     assert near.components(edges.limit(0)).isEmpty()
 
 
@@ -162,12 +164,12 @@ def test_union_find(spark):
 
 
 def brute_lines(rows):
-    """Places of the lines that go, by doc_id; rows that repeat an id share them."""
+    """Places of the lines that go, by doc_id; rows that repeat an id share them. Five code points, A-Z as a-z."""
     all_ = [(i, k, x.strip(BLANK)) for i, t, _ in rows for k, x in enumerate((t or "").split("\n")) if x.strip(BLANK)]
 
     def grams(x):
-        b = x.encode()
-        return frozenset([b]) if len(b) < 8 else frozenset(b[i : i + 8] for i in range(len(b) - 7))
+        x = x.translate(LOWER)
+        return frozenset([x]) if len(x) < 5 else frozenset(x[i : i + 5] for i in range(len(x) - 4))
 
     distinct = sorted({x for _, _, x in all_})
     sets = [grams(x) for x in distinct]
@@ -203,15 +205,16 @@ def test_lines(spark, tmp_path):
     got = lines.deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted(repr((r.doc_id, r.text)) for r in got.collect()) == sorted(map(repr, want))
-    told = {r.doc_id: (r.n_lines, r.n_removed, r.removed_lines) for r in lines.query(spark, saved(spark, [r for r in made if r[0] is not None], tmp_path)).collect()}
-    gone = brute_lines([r for r in made if r[0] is not None])
-    assert told == {i: (sum(bool(x.strip(BLANK)) for x in (t or "").split("\n")), len(gone[i]), ",".join(map(str, sorted(gone[i])))) for i, t, _ in made if i is not None}
+    told = sorted(repr(tuple(r)) for r in lines.query(spark, saved(spark, made, tmp_path)).collect())
+    full = {(i, t): t if t is None or not gone[i] else kept(i, t) for i, t, _ in made}
+    left = lambda t: sum(bool(x.strip(BLANK)) for x in (t or "").split("\n"))
+    assert told == sorted(repr((i, left(full[i, t]), len(gone[i]), ",".join(map(str, sorted(gone[i]))), sha((full[i, t] or "").encode()))) for i, t, _ in made)
     assert lines.deduplicated(frame(spark, [])).isEmpty()
 
 
 def test_lines_are_hashed_alike_together_and_alone():
     texts = [prose(random.Random(k), 1 + k % 40).replace("\n", " ") for k in range(60)] + ["12345678", "é" * 4, "x" * 70_000]
-    raw = [t.encode() for t in texts if len(t.encode()) >= 8]
+    raw = [t.encode() for t in texts if len(t) >= 5]
     got = [x for flat, starts in lines._sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])) for x in np.split(flat, starts[1:])]
     assert len(got) == len(raw) and all((a == lines._windows(b)).all() for a, b in zip(got, raw, strict=True))
 
