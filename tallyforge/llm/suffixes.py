@@ -168,7 +168,7 @@ class Family:
         with _sorted_scans(spark):
             found = array.filter("n > 1").select("suffix")
             for _, path in self.levels:
-                found = found.unionByName(array.select("suffix").join(self.array(path).select("suffix"), "suffix", "left_semi"))
+                found = found.unionByName(array.select("suffix").join(self.array(path).select("suffix").hint("merge"), "suffix", "left_semi"))
             hits, _ = written(found, "suffix-hits")
         old, self.levels = [], [*self.levels, (0, new)]
         while not last and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
