@@ -6,9 +6,9 @@ by both, so that no two texts are taken for one. Steps:
 1. `blobs` packs each item's banded MinHash keys by bucket; `groups` finds the keys that several items share. Blobs are
    read one after another, and a bucket keeps one item a key; buckets are as many as keep each at ENTRIES keys.
 2. `Linker` compares each item with the first item of the groups that it is in, with the one that it shares most groups
-   with (star pairs, not all pairs). Groups that then still hold several components are open: in each, the items outside
-   its largest component meet the others in cells of BLOCK by BLOCK items, behind a 64-bit sketch. No link is lost between
-   items that share a band.
+   with (star pairs, not all pairs). Groups that then still hold several components are open: two items are one more pair;
+   of more, the items outside the largest component meet the others in cells of BLOCK by BLOCK items, behind a 64-bit
+   sketch. No link is lost between items that share a band.
 3. Each pair is verified sequentially: batches of the signature narrow the posterior of the similarity (uniform prior),
    and a pair is dropped as soon as P(similarity >= threshold) falls under `miss`; survivors are compared on full sets.
 4. `components` is a distributed union-find (alternating large and small stars) over the links, at every size.
@@ -73,12 +73,20 @@ def flat_signatures(flat: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
-    """64-bit keys (items x bands) of signatures cut into bands of equal rows."""
-    rows = sig.shape[1] // bands
+def banded(n: int, bands: int, rows: int) -> np.ndarray:
+    """Which of n hashes each band takes (bands x rows): one shuffled order of all after another is cut into bands, so that
+    hashes are used about equally often and two bands have few in common."""
+    turns = -(-bands * rows // n)
+    order = [np.argsort(mixed(np.arange(t * n + 1, (t + 1) * n + 1, dtype=np.uint64) * _U(BASE))) if t else np.arange(n) for t in range(turns)]
+    return np.concatenate(order)[: bands * rows].reshape(bands, rows)
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int | None = None) -> np.ndarray:
+    """64-bit keys (items x bands) of signatures; without `rows` each hash is in one band."""
+    of = banded(sig.shape[1], bands, rows or sig.shape[1] // bands)
     h = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=np.uint64)), (len(sig), bands)).copy()
-    for r in range(rows):
-        h = mixed(h * _U(BASE) + sig[:, r : rows * bands : rows].astype(np.uint64))
+    for r in range(of.shape[1]):
+        h = mixed(h * _U(BASE) + sig[:, of[:, r]].astype(np.uint64))
     return h
 
 
@@ -314,18 +322,18 @@ class Linker:
         named = self.found.join(labels.toDF("no", "label"), "no", "left").select("g", "no", F.coalesce("label", "no").alias("label")).distinct()
         named = self._written(named, "labelled-groups")
         sizes = named.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-        several = sizes.filter("k > 1").select("g", F.col("most.label").alias("most"), F.col("n").alias("all"), (F.col("n") - F.col("most.n")).alias("rest"))
+        several = sizes.filter("k > 1").select("g", F.col("most.label").alias("most"), F.col("n").alias("whole"), (F.col("n") - F.col("most.n")).alias("rest"))
         return self._written(named.join(several, "g"), "open-groups")
 
     def _cells(self, rows: DataFrame) -> DataFrame:
-        """The members of open groups (g, no, label, most, all, rest), dealt into cells (g, i, j): on side 0 a block of
+        """The members of open groups (g, no, label, most, whole, rest), dealt into cells (g, i, j): on side 0 a block of
         those outside the largest component, on side 1 a block of the whole group, each block of about BLOCK items. Every
         two items of different components of a group meet in a cell."""
         block = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
         place = lambda n: F.pmod(F.xxhash64("no"), block(n)).cast("int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), block(n) - 1))
-        left = rows.filter("label <> most").select("g", place("rest").alias("i"), upto("all").alias("j"), F.lit(0).alias("side"), "no", "label")
-        right = rows.select("g", upto("rest").alias("i"), place("all").alias("j"), F.lit(1).alias("side"), "no", "label")
+        left = rows.filter("label <> most").select("g", place("rest").alias("i"), upto("whole").alias("j"), F.lit(0).alias("side"), "no", "label")
+        right = rows.select("g", upto("rest").alias("i"), place("whole").alias("j"), F.lit(1).alias("side"), "no", "label")
         return left.unionByName(right)
 
     def _across(self, rows: DataFrame) -> DataFrame:
@@ -400,11 +408,13 @@ class Linker:
         component. Links within what others connect may not have been looked at."""
         shared = self.found.filter("no <> rep").groupBy("no", "rep").agg(F.count(F.lit(1)).alias("n"))
         most = shared.groupBy("no").agg(F.max_by("rep", F.struct("n", "rep")).alias("rep"))
-        stars = most.select(F.least("no", "rep").alias("x"), F.greatest("no", "rep").alias("y")).distinct()
+        stars = self._written(most.select(F.least("no", "rep").alias("x"), F.greatest("no", "rep").alias("y")).distinct(), "stars")
         labels = components(self.verified(stars))
         rest = self._open(labels)
+        pairs = rest.filter("whole = 2").groupBy("g").agg(F.min("no").alias("x"), F.max("no").alias("y")).select("x", "y").distinct()
+        more = self.verified(pairs.join(stars, ["x", "y"], "left_anti"))
         # The components so far are edges too, so that those of all links start from stars.
-        labels = components(labels.toDF("x", "y").unionByName(self._across(rest)))
+        labels = components(labels.toDF("x", "y").unionByName(more).unionByName(self._across(rest.filter("whole > 2"))))
         own = self.items.select("id", "chk", "no").join(labels.toDF("no", "root"), "no").select("id", "chk", "root")
         low = own.groupBy("root").agg(F.min(F.struct("id", "chk")).alias("low")).select("root", F.col("low.id").alias("rid"), F.col("low.chk").alias("rchk"))
         out, _ = written(own.join(low, "root").select("id", "chk", "rid", "rchk"), "components")
