@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash.
 
-Lines, trimmed and with A-Z as a-z, are sets of shingles of five code points. 32 bands of 7 of 128 hashes find a pair of
-similarity 0.8 with probability 0.998 and one of 0.85 with 0.99996 (simulated); candidates are verified on full sets, a
+Lines, trimmed and with A-Z as a-z, are sets of shingles of five code points. 20 bands of 6 rows find a pair of similarity
+0.8 with probability 0.998 and one of 0.85 with 0.9999; candidates are verified on full sets, a
 distributed union-find makes components, and the first line of each (by doc_id, then place) stays. See
 tallyforge.llm.near.
 """
@@ -20,8 +20,8 @@ from tallyforge.llm import near
 from tallyforge.llm._common import BLANKS, documents, remove, written
 from tallyforge.llm.hashing import BASE, mixed, rolled, table
 
-#: Hashes of a signature; bands and rows of each (a hash is in one or two bands); code points of a shingle.
-HASHES, BANDS, ROWS, POINTS = 128, 32, 7, 5
+#: Bands and rows of each; code points of a shingle.
+BANDS, ROWS, POINTS = 20, 6, 5
 _U = np.uint64
 _TABLE = table(0x110000)
 _TABLE[65:91] = _TABLE[97:123]  # A-Z count as a-z
@@ -85,8 +85,8 @@ def _entries(buckets: int):
             ids, first = ids[order], first[order]
             text = batch.column(1).take(pa.array(first)).cast(pa.large_string())
             data = np.frombuffer(text.buffers()[2], np.uint8)
-            sig = [near.flat_signatures(flat, starts, HASHES) for flat, starts in _sets(data, np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1])]
-            out = near.blobs(ids, near.band_keys(np.concatenate(sig), BANDS, ROWS), buckets)
+            sig = [near.flat_signatures(flat, starts, BANDS * ROWS) for flat, starts in _sets(data, np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1])]
+            out = near.blobs(ids, near.band_keys(np.concatenate(sig), BANDS), buckets)
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["bucket", "data"])
 
     return run
@@ -106,13 +106,14 @@ def split(docs: DataFrame) -> DataFrame:
 def places(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """(doc_id, line, rid, rchk) of every line with words: its place and the name of its component; written."""
     spark = docs.sparkSession
-    lines, one = written(split(docs), "lines")
-    buckets = near.bucket_count(spark, lines.count(), BANDS)
-    found, two = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary")), "line-groups")
-    linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=HASHES, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, miss=miss)
+    lines = split(docs)
+    most = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    buckets = near.bucket_count(spark, most, BANDS)
+    found, path = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary")), "line-groups")
+    linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, miss=miss)
     placed = lines.select("doc_id", "line", "id", "chk").join(linker.named(), ["id", "chk"], "left").select("doc_id", "line", F.coalesce("rid", "id").alias("rid"), F.coalesce("rchk", "chk").alias("rchk"))
     out, _ = written(placed, "line-places")
-    remove(spark, one, two)
+    remove(spark, path)
     return out
 
 

@@ -27,12 +27,16 @@ from pyspark.sql import functions as F
 from tallyforge.llm._common import partitions, remove, written
 from tallyforge.llm.hashing import BASE, mixed
 
-_ENTRY = np.dtype([("key", "<u8"), ("id", "<i8")])
+#: Of a band key, 48 bits beside its bucket: two keys of a bucket of ENTRIES meet by chance with probability 0.007.
+_ENTRY = np.dtype([("low", "<u4"), ("more", "<u2"), ("id", "<i8")])
+_KEY = np.dtype([("key", "<u8"), ("id", "<i8")])
 _U = np.uint64
 
 #: Hashes of a chunk that stays in the cache; entries of a bucket; entries that are sorted at once; items of a side of a
 #: cell; edges that a task unites before it hands them on.
 CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES = 1 << 15, 2_000_000, 2_000_000, 128, 1_000_000
+#: Ids that may be broadcast (16 bytes each); more are joined by two shuffles.
+SMALL = 1_000_000
 
 
 def names(text: Column) -> list[Column]:
@@ -73,20 +77,12 @@ def flat_signatures(flat: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def banded(n: int, bands: int, rows: int) -> np.ndarray:
-    """Which of n hashes each band takes (bands x rows): one shuffled order of all after another is cut into bands, so that
-    hashes are used about equally often and two bands have few in common."""
-    turns = -(-bands * rows // n)
-    order = [np.argsort(mixed(np.arange(t * n + 1, (t + 1) * n + 1, dtype=np.uint64) * _U(BASE))) if t else np.arange(n) for t in range(turns)]
-    return np.concatenate(order)[: bands * rows].reshape(bands, rows)
-
-
-def band_keys(sig: np.ndarray, bands: int, rows: int | None = None) -> np.ndarray:
-    """64-bit keys (items x bands) of signatures; without `rows` each hash is in one band."""
-    of = banded(sig.shape[1], bands, rows or sig.shape[1] // bands)
+def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
+    """64-bit keys (items x bands) of signatures cut into bands of equal rows."""
+    rows = sig.shape[1] // bands
     h = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=np.uint64)), (len(sig), bands)).copy()
-    for r in range(of.shape[1]):
-        h = mixed(h * _U(BASE) + sig[:, of[:, r]].astype(np.uint64))
+    for r in range(rows):
+        h = mixed(h * _U(BASE) + sig[:, r : rows * bands : rows].astype(np.uint64))
     return h
 
 
@@ -97,10 +93,10 @@ def sketch(sig: np.ndarray) -> np.ndarray:
 
 
 def blobs(ids: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """Entries (64-bit key, id) by bucket of the key's high half."""
+    """Entries (key, id) by bucket of the key."""
     flat = np.empty(keys.size, _ENTRY)
-    flat["key"], flat["id"] = keys.ravel(), np.repeat(ids, keys.shape[1])
-    bucket = ((keys >> _U(32)) % _U(buckets)).ravel().astype(np.int64)
+    flat["low"], flat["more"], flat["id"] = keys.ravel() & _U(0xFFFFFFFF), (keys.ravel() >> _U(32)) & _U(0xFFFF), np.repeat(ids, keys.shape[1])
+    bucket = (mixed(keys) % _U(buckets)).ravel().astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     flat, cuts = flat[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
     return [(b, flat[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
@@ -117,8 +113,9 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal keys, reps, told, held, size
         x = np.frombuffer(b"".join(held), _ENTRY)
         held, size = [], 0
-        order = np.argsort(x["key"], kind="stable")
-        key, ids = x["key"][order], x["id"][order]
+        key = x["more"].astype(np.uint64) << _U(32) | x["low"]
+        order = np.argsort(key, kind="stable")
+        key, ids = key[order], x["id"][order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         low = np.minimum.reduceat(ids, first)  # a new key's item is its smallest id
         at = np.searchsorted(keys, key[first])
@@ -127,7 +124,7 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, reps, told = np.concatenate((keys, key[first][~old])), np.concatenate((reps, low[~old])), np.concatenate((told, np.zeros((~old).sum(), bool)))
         order = np.argsort(keys, kind="stable")
         keys, reps, told = keys[order], reps[order], told[order]
-        x = np.empty(several.sum(), _ENTRY)
+        x = np.empty(several.sum(), _KEY)
         x["key"], x["id"] = key[several], ids[several]
         x = x[np.lexsort((x["id"], x["key"]))]
         x = x[np.concatenate(([True], (x["key"][1:] != x["key"][:-1]) | (x["id"][1:] != x["id"][:-1])))[: len(x)]]
@@ -139,7 +136,7 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told[begun] = True
         g, ids, to = np.concatenate((g, begun)), np.concatenate((ids, reps[begun])), np.concatenate((to, reps[begun]))
         if len(g):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[g].view(np.int64)), pa.array(ids), pa.array(to)], ["g", "id", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array((keys[g] ^ _U((now << 48) % (1 << 64))).view(np.int64)), pa.array(ids), pa.array(to)], ["g", "id", "rep"])
 
     for batch in it:
         for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -257,8 +254,9 @@ class Linker:
     def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable[[int, int, int], bool], threshold: float = 0.8, miss: float = 1e-7):
         self.shingles, self.n, self.linked, self.threshold, self.miss = shingles, n, linked, threshold, miss
         self.spark, self.paths = found.sparkSession, []
-        # Two plain shuffles, which adaptive execution can split where one text is very common.
-        some = self._written(texts.join(found.select("id"), "id", "left_semi"), "wanted-texts")
+        # Beyond SMALL two plain shuffles, which adaptive execution can split where one text is very common.
+        wanted = self._written(found.select("id").distinct(), "wanted")
+        some = self._written(texts.join(wanted.hint("broadcast" if wanted.count() <= SMALL else "merge"), "id", "left_semi"), "wanted-texts")
         one = self._written(some.groupBy("id", "chk").agg(F.first("text").alias("text")).withColumn("no", F.monotonically_increasing_id()), "numbered")
         self.items = self._written(one.mapInArrow(self._described(), "id bigint, chk bigint, no bigint, text string, size bigint, sketch bigint, sig binary"), "candidates")
         named = self.items.select("id", "no")
