@@ -53,17 +53,17 @@ _CODERS: dict[int, Any] = {}
 
 
 def _coder(shared) -> tuple[Any, np.ndarray, np.ndarray]:
-    """Of a broadcast (ranks, pattern): the encoder and the token-byte table (offsets, bytes); built once a worker."""
+    """Of a broadcast (ranks, pattern): the encoder, which takes a pre-token as a whole, and the token-byte table (offsets, bytes); built once a worker."""
     key = shared.id if hasattr(shared, "id") else id(shared)
     if key not in _CODERS:
         import tiktoken
 
-        ranks, pattern = shared.value
+        ranks, _ = shared.value
         table = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             table[i] = token
         _CODERS.clear()
-        _CODERS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), np.cumsum([0, *map(len, table)]), np.frombuffer(b"".join(table), np.uint8)
+        _CODERS[key] = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), np.cumsum([0, *map(len, table)]), np.frombuffer(b"".join(table), np.uint8)
     return _CODERS[key]
 
 
@@ -184,7 +184,7 @@ def _encode_words(shared):
                     word = flat[at:end]
                     ids = known.get(word)
                     if ids is None:
-                        ids = known[word] = np.array(coder._encode_single_piece(word), "<u4").tobytes()
+                        ids = known[word] = np.array(coder.encode_ordinary(word.decode()), "<u4").tobytes()
                     got.append(ids)
                     at = end
                 out = _packed(np.array(list(map(len, got)), np.uint32) // 4, np.frombuffer(b"".join(got), "<u4"))

@@ -72,6 +72,25 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int = POINTS) -> Iterator
         at = to
 
 
+def described(texts: pa.Array, n: int, *, sized: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Set sizes (if wanted) and signatures of non-empty lines; short ones apart, so that all others are hashed together."""
+    sizes, sig = np.empty(len(texts), np.int64), np.empty((len(texts), n), np.uint32)
+    order = np.argsort(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False) < POINTS, kind="stable")
+    text = texts.take(pa.array(order)).cast(pa.large_string())
+    at = 0
+    for flat, starts in _sets(np.frombuffer(text.buffers()[2] or b"", np.uint8), np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1]) if len(text) else ():
+        own = order[at : at + len(starts)]
+        at += len(starts)
+        sig[own] = near.flat_signatures(flat, starts, n)
+        if not sized:
+            continue
+        line = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
+        by = np.lexsort((flat, line))
+        new = np.concatenate(([True], (flat[by][1:] != flat[by][:-1]) | (line[by][1:] != line[by][:-1])))
+        sizes[own] = np.add.reduceat(new.astype(np.int64), starts)
+    return sizes, sig
+
+
 def _entries(buckets: int):
     """(id, line) to blobs of band keys, one entry for the copies of a line in a batch."""
 
@@ -80,13 +99,8 @@ def _entries(buckets: int):
             ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             if not len(ids):
                 continue
-            size = pa.compute.utf8_length(batch.column(1)).to_numpy()[first]
-            order = np.argsort(size < POINTS, kind="stable")  # short lines apart, so that all others are hashed together
-            ids, first = ids[order], first[order]
-            text = batch.column(1).take(pa.array(first)).cast(pa.large_string())
-            data = np.frombuffer(text.buffers()[2], np.uint8)
-            sig = [near.flat_signatures(flat, starts, BANDS * ROWS) for flat, starts in _sets(data, np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1])]
-            out = near.blobs(ids, near.band_keys(np.concatenate(sig), BANDS), buckets)
+            _, sig = described(batch.column(1).take(pa.array(first)), BANDS * ROWS, sized=False)
+            out = near.blobs(ids, near.band_keys(sig, BANDS), buckets)
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["bucket", "data"])
 
     return run
@@ -110,7 +124,7 @@ def places(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFra
     most = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     buckets = near.bucket_count(spark, most, BANDS)
     found, path = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary")), "line-groups")
-    linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, miss=miss)
+    linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, described=described, miss=miss)
     placed = lines.select("doc_id", "line", "id", "chk").join(linker.named(), ["id", "chk"], "left").select("doc_id", "line", F.coalesce("rid", "id").alias("rid"), F.coalesce("rchk", "chk").alias("rchk"))
     out, _ = written(placed, "line-places")
     remove(spark, path)
@@ -152,3 +166,36 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(f"[^{BLANKS}]")))
     shown = F.coalesce(F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ","), F.lit(""))
     return rows.select("doc_id", left.cast("bigint").alias("n_left"), F.coalesce(F.size("removed_lines"), F.lit(0)).cast("bigint").alias("n_removed"), shown.alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: Exact sets; pairs share one of the rarest shingles that any pair at the threshold must share. For small tables.
+ORACLE = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+raw AS (SELECT doc_id, unnest(parts) AS part, unnest(range(0, len(parts))) AS line FROM docs),
+lines AS (SELECT doc_id, line, trim(part, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM raw),
+named AS (SELECT doc_id, line, dense_rank() OVER (ORDER BY t) AS k, t FROM lines WHERE t <> ''),
+plain AS (SELECT k, translate(any_value(t), '{_LETTERS}', '{_LETTERS.lower()}') AS t FROM named GROUP BY k),
+shingled AS (SELECT DISTINCT k, CASE WHEN length(t) < 5 THEN t ELSE substr(t, i, 5) END AS s FROM (SELECT k, t, unnest(range(1, greatest(length(t) - 4, 1) + 1)) AS i FROM plain)),
+numbered AS (SELECT k, dense_rank() OVER (ORDER BY s) AS s, count(*) OVER (PARTITION BY s) AS often FROM shingled),
+sets AS (SELECT k, list(s) AS set, count(*) AS n FROM numbered GROUP BY k),
+ranked AS (SELECT k, s, row_number() OVER (PARTITION BY k ORDER BY often, s) AS r FROM numbered),
+prefix AS (SELECT k, s, n FROM ranked JOIN sets USING (k) WHERE r <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.k AS x, b.k AS y FROM prefix a JOIN prefix b ON a.s = b.s AND a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links AS (
+  SELECT x, y FROM (SELECT x, y, a.n + b.n AS n, len(list_intersect(a.set, b.set)) AS c FROM pairs JOIN sets a ON a.k = x JOIN sets b ON b.k = y)
+  WHERE 100 * c >= 80 * (n - c)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached AS (SELECT k, k AS other FROM plain UNION SELECT r.k, b.y FROM reached r JOIN ways b ON b.x = r.other),
+rooted AS (SELECT k, min(other) AS root FROM reached GROUP BY k),
+firsts AS (SELECT doc_id, line, row_number() OVER (PARTITION BY root ORDER BY doc_id, line) AS turn FROM named JOIN rooted USING (k)),
+gone AS (SELECT doc_id, list(DISTINCT line ORDER BY line) AS removed FROM firsts WHERE turn > 1 GROUP BY doc_id),
+kept AS (
+  SELECT d.doc_id, coalesce(removed, []) AS removed,
+         CASE WHEN removed IS NULL THEN coalesce(text, '') ELSE array_to_string([p FOR p, i IN parts IF NOT list_contains(removed, i - 1)], chr(10)) END AS text
+  FROM docs d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS BIGINT) AS n_left,
+       CAST(len(removed) AS BIGINT) AS n_removed, array_to_string(removed, ',') AS removed_lines, sha256(text) AS kept_sha256
+FROM kept
+"""

@@ -124,3 +124,25 @@ def deduplicated(docs: DataFrame, *, words: int = WORDS, percent: int = 80, miss
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(documents(spark, sf_dir), words=2)
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: Exact sets, all pairs that share a shingle, and reachability; for tables of a few thousand documents.
+ORACLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT DISTINCT rid, CASE WHEN len(w) < 2 THEN w ELSE w[i:i + 1] END AS s
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w), 2))) AS i FROM docs WHERE len(w) > 0)),
+numbered AS (SELECT rid, dense_rank() OVER (ORDER BY s) AS s FROM shingled),
+sizes AS (SELECT rid, count(*) AS n FROM numbered GROUP BY rid),
+common AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM numbered a JOIN numbered b ON a.s = b.s AND a.rid < b.rid GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.rid = x JOIN sizes b ON b.rid = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached AS (SELECT rid, rid AS other FROM docs UNION SELECT r.rid, b.y FROM reached r JOIN ways b ON b.x = r.other),
+least AS (SELECT r.rid, min(d.doc_id) AS component_id FROM reached r JOIN docs d ON d.rid = r.other GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM docs JOIN least USING (rid) LEFT JOIN sizes USING (rid)
+"""

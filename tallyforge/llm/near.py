@@ -243,15 +243,21 @@ def components(links: DataFrame, *, x: str = "x", y: str = "y") -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
+def _one_by_one(texts: pa.Array, n: int, shingles: Callable[[str], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    sets = [shingles(x.as_py()) for x in texts]
+    return np.array([len(s) for s in sets], np.int64), signatures(sets, n) if sets else np.empty((0, n), np.uint32)
+
+
 class Linker:
     """Links the items of `found` (see `groups`) whose exact similarity is the threshold or more.
 
-    texts: (id, chk, text) of all items, rows may repeat. shingles: sorted distinct 64-bit hashes of a text. n: hashes of
-    a signature; linked(common, a, b): the exact rule on the sizes of the common part and both sets. Within, an item has
+    texts: (id, chk, text) of all items, rows may repeat. shingles: sorted distinct 64-bit hashes of a text. described:
+    set sizes and signatures of many texts. n: hashes of a signature; linked(common, a, b): the exact rule on the sizes of the common part and both sets. Within, an item has
     a number of its own, `no`.
     """
 
-    def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable[[int, int, int], bool], threshold: float = 0.8, miss: float = 1e-7):
+    def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable[[int, int, int], bool], described: Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]] | None = None, threshold: float = 0.8, miss: float = 1e-7):
+        self.flat = described or (lambda texts, n: _one_by_one(texts, n, shingles))
         self.shingles, self.n, self.linked, self.threshold, self.miss = shingles, n, linked, threshold, miss
         self.spark, self.paths = found.sparkSession, []
         # Beyond SMALL two plain shuffles, which adaptive execution can split where one text is very common.
@@ -269,15 +275,14 @@ class Linker:
         return out
 
     def _described(self):
-        shingles, n = self.shingles, self.n
+        flat, n = self.flat, self.n
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
                 col = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-                sets = [shingles(x.as_py()) for x in col["text"]]
-                sig = signatures(sets, n) if sets else np.empty((0, n), np.uint32)
+                sizes, sig = flat(col["text"], n)
                 short = sig.astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([col["id"], col["chk"], col["no"], col["text"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sketch(sig)), pa.array([r.tobytes() for r in short], pa.binary())], ["id", "chk", "no", "text", "size", "sketch", "sig"])
+                yield pa.RecordBatch.from_arrays([col["id"], col["chk"], col["no"], col["text"], pa.array(sizes, pa.int64()), pa.array(sketch(sig)), pa.array([r.tobytes() for r in short], pa.binary())], ["id", "chk", "no", "text", "size", "sketch", "sig"])
 
         return run
 
@@ -319,8 +324,12 @@ class Linker:
         """(g, no, label, most) of the members of groups that hold several components; most: the largest one's label."""
         named = self.found.join(labels.toDF("no", "label"), "no", "left").select("g", "no", F.coalesce("label", "no").alias("label")).distinct()
         named = self._written(named, "labelled-groups")
-        sizes = named.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-        several = sizes.filter("k > 1").select("g", F.col("most.label").alias("most"), F.col("n").alias("whole"), (F.col("n") - F.col("most.n")).alias("rest"))
+        # Copies of one text with small edits share many bands: of groups with the same members (128 bits of them) one stays.
+        marks = [F.xxhash64("no"), F.xxhash64(F.lit(1), "no")]
+        sizes = named.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(m).alias(f"m{k}") for k, m in enumerate(marks)))
+        sizes = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.bit_xor("m0").alias("m0"), F.bit_xor("m1").alias("m1"))
+        several = sizes.filter("k > 1").select("g", F.col("most.label").alias("most"), F.col("n").alias("whole"), (F.col("n") - F.col("most.n")).alias("rest"), "m0", "m1")
+        several = several.groupBy("m0", "m1", "whole").agg(F.min(F.struct("g", "most", "rest")).alias("one")).select("one.*", "whole")
         return self._written(named.join(several, "g"), "open-groups")
 
     def _cells(self, rows: DataFrame) -> DataFrame:

@@ -137,6 +137,50 @@ def listed(spans: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii")
-    own = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    own = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k.name)).cast("bigint").alias(f"n_{k.name}")
     base = F.filter("pii", lambda s: s["rank"] < len(BASE))
-    return rows.select("doc_id", *map(own, BASE), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return rows.select("doc_id", *map(own, KINDS[: len(BASE)]), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("bigint").alias("n_pii"), *map(own, KINDS[len(BASE) :]))
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the base kinds, from the operator."""
+    return query(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256")
+
+
+#: Base patterns as the contract has them: matches from the left, then those that fail are dropped.
+_BASE_PATTERNS = {
+    "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+",
+    "ip": "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)",
+    "card": "[0-9](?:[\\x20-]?[0-9])+",
+    "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
+}
+
+
+def _base_sql(rank: int, kind: str) -> str:
+    """Matches of a kind with their places: pieces between matches and matches alternate."""
+    pattern = _BASE_PATTERNS[kind]
+    return f"""
+  SELECT rid, {rank} AS rank, '{kind}' AS kind, m, list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS begun
+  FROM (SELECT rid, gaps, found, unnest(found) AS m, unnest(range(1, len(found) + 1)) AS k
+        FROM (SELECT rid, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS found FROM docs))"""
+
+
+BASE_ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({" UNION ALL ".join(_base_sql(k, kind) for k, kind in enumerate(BASE))}),
+figured AS (SELECT *, regexp_replace(m, '[^0-9]+', '', 'g') AS figures FROM matches),
+checked AS (
+  SELECT *, CASE kind WHEN 'email' THEN true
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT) <= 255))
+    WHEN 'phone' THEN length(figures) BETWEEN 10 AND 15
+    ELSE length(figures) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(figures) + 1), lambda i:
+      CASE WHEN i % 2 = 1 THEN CAST(substr(figures, length(figures) - i + 1, 1) AS INTEGER)
+           ELSE (2 * CAST(substr(figures, length(figures) - i + 1, 1) AS INTEGER)) // 10 + (2 * CAST(substr(figures, length(figures) - i + 1, 1) AS INTEGER)) % 10 END)) % 10 = 0 END AS good
+  FROM figured),
+listed AS (
+  SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+         count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || CAST(begun AS BIGINT) || ':' || CAST(begun + length(m) AS BIGINT), ',' ORDER BY begun, rank) AS spans
+  FROM checked WHERE good GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(spans, '')) AS base_sha256
+FROM docs LEFT JOIN listed USING (rid)
+"""

@@ -11,6 +11,7 @@ scores. The tables of ratios are bounded by the number of bins. DataFrame functi
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,43 +26,49 @@ FOLDS = 4
 LEAST_WORDS = 50
 
 
-def _bin(bins: int, *words: Column) -> Column:
-    return F.pmod(F.xxhash64(*words), F.lit(bins)).cast("int")
+def _bin(hashed: Column, bins: int) -> Column:
+    return F.pmod(hashed, F.lit(bins)).cast("int")
 
 
-def _grams(words: Column, bins: int) -> Column:
-    """Bins of the words, then of the pairs."""
-    pairs = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: _bin(bins, F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<int>"))
-    return let(words, lambda w: F.concat(F.transform(w, lambda x: _bin(bins, x)), pairs(w)))
+def _runs(hashes: Column, size: int) -> Column:
+    """Hashes of all runs of `size` words, from the words' hashes."""
+    run = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(size))))
+    return let(hashes, lambda h: F.when(F.size(h) >= size, run(h)).otherwise(F.array().cast("array<bigint>")))
 
 
-def _repeat_words(words: Column) -> Column:
-    """How many words lie in a 3-word window that the text has twice or more.
+def grams(hashes: Column, bins: int) -> Column:
+    """Bins of the words, then of the pairs of neighbouring words."""
+    return F.concat(F.transform(hashes, lambda x: _bin(x, bins)), F.transform(_runs(hashes, 2), lambda x: _bin(x, bins)))
 
-    Windows are hashed to 64 bits; the low bits that a text's length needs give way to the window's place, so that one
-    sort of plain longs brings equal windows together with their places.
+
+def repeat_words(words: Column, windows: Column) -> Column:
+    """How many words lie in a 3-word window that the text has twice or more; windows: hashes of all windows.
+
+    Texts without an equal pair of hashes are done. In others, windows whose hash comes twice are compared by their words,
+    so the count is exact at any length.
     """
-    shift = lambda name, x, n: F.call_function(name, x, n)
 
     def covered(starts: Column) -> Column:
         zero = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
         return F.aggregate(starts, zero, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")))["n"]
 
-    def starts(h: Column) -> Column:
-        bits = F.length(F.bin(F.size(h).cast("long")))
-        keys = lambda b: F.array_sort(F.transform(h, lambda x, i: shift("shiftleft", shift("shiftright", x, b), b).bitwiseOR(i.cast("long"))))
-        group = lambda k, j, b: shift("shiftright", F.get(k, j), b)
-        twice = lambda k, b: F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda j: F.coalesce(group(k, j, b) == group(k, j - 1, b), F.lit(False)) | F.coalesce(group(k, j, b) == group(k, j + 1, b), F.lit(False)))
-        place = lambda k, j, b: F.get(k, j).bitwiseAND(shift("shiftleft", F.lit(1).cast("long"), b) - 1).cast("int")
-        return let(bits, lambda b: let(keys(b), lambda k: F.array_sort(F.transform(twice(k, b), lambda j: place(k, j, b)))))
+    def beside(sorted_: Column, same: Callable[[Column, Column], Column]) -> Column:
+        """The elements that are the same as the one before or after."""
+        either = lambda s, e, j: F.coalesce(same(e, F.get(s, j - 1)), F.lit(False)) | F.coalesce(same(e, F.get(s, j + 1)), F.lit(False))
+        return let(sorted_, lambda s: F.filter(s, lambda e, j: either(s, e, j)))
+
+    def starts(h: Column, w: Column) -> Column:
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        likely = beside(placed, lambda a, b: a["h"] == b["h"])
+        spelt = F.sort_array(F.transform(likely, lambda e: F.struct(F.struct(*(F.get(w, e["i"] + k).alias(f"w{k}") for k in range(3))).alias("w"), e["i"].alias("i"))))
+        return F.sort_array(F.transform(beside(spelt, lambda a, b: a["w"] == b["w"]), lambda e: e["i"]))
 
-    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(starts(h), covered)).otherwise(F.lit(0))
-    return let(words, lambda w: F.when(F.size(w) >= 4, let(hashes(w), some)).otherwise(F.lit(0))).cast("bigint")
+    some = lambda h, w: F.when(F.size(F.array_distinct(h)) < F.size(h), let(starts(h, w), covered)).otherwise(F.lit(0))
+    return let(windows, lambda h: let(words, lambda w: some(h, w))).cast("bigint")
 
 
-def statistics(text: Column, words: Column) -> dict[str, Column]:
-    """Base statistics by name; a null text is empty."""
+def statistics(text: Column, words: Column, hashes: Column) -> dict[str, Column]:
+    """Base statistics by name, from a text, its words and their hashes; a null text is empty."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANKS}]"))
     return {
@@ -69,7 +76,7 @@ def statistics(text: Column, words: Column) -> dict[str, Column]:
         "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
         "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("bigint"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-        "n_repeat_words": _repeat_words(words),
+        "n_repeat_words": repeat_words(words, _runs(hashes, 3)),
     }
 
 
@@ -87,16 +94,16 @@ def marked(labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
     return good.unionByName(bad).withColumn("fold", (F.pmod(F.xxhash64("marked_id", F.lit(FOLDS)), F.lit(FOLDS)) + 1).cast("int"))
 
 
-def ratios(docs: DataFrame, marks: DataFrame, *, bins: int = BINS, smoothing: float = SMOOTHING) -> list[list[float]]:
-    """log(p_trusted / p_corpus) of each bin: by all trusted documents, then without each fold. Without trusted text all
-    are 0, and nothing is rejected.
+def ratios(rows: DataFrame, marks: DataFrame, *, bins: int = BINS, smoothing: float = SMOOTHING) -> list[list[float]]:
+    """From rows (doc_id, _tf_bins): log(p_trusted / p_corpus) of each bin, by all trusted documents, then without each
+    fold. Without trusted text all are 0, and nothing is rejected.
 
     The ratio is (t + smoothing) / (e + smoothing) for t n-grams counted and e expected at the corpus's share.
     """
-    flagged = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(F.broadcast(marks.filter("good = 1")), F.col("id") == F.col("marked_id"), "left")
-    grams = flagged.select("fold", F.explode(_grams(words_of(F.col("text")), bins)).alias("bin"))
+    flagged = rows.join(F.broadcast(marks.filter("good = 1")), F.col("doc_id").cast("bigint") == F.col("marked_id"), "left")
+    counted = flagged.select("fold", F.explode("_tf_bins").alias("bin"))
     sums = [F.count(F.when(F.col("fold") == k, 1)).alias(f"t{k}") for k in range(1, FOLDS + 1)]
-    counts = {r["bin"]: (r["n"], *(r[f"t{k}"] for k in range(1, FOLDS + 1))) for r in grams.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+    counts = {r["bin"]: (r["n"], *(r[f"t{k}"] for k in range(1, FOLDS + 1))) for r in counted.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
     none = (0,) * (FOLDS + 1)
     every, out = sum(x[0] for x in counts.values()), []
     for left_out in range(FOLDS + 1):
@@ -107,18 +114,12 @@ def ratios(docs: DataFrame, marks: DataFrame, *, bins: int = BINS, smoothing: fl
     return out
 
 
-def score(words: Column, tables: list[list[float]], fold: Column) -> Column:
-    """Mean log ratio of a text's n-grams in their order, by the table of its fold (null: by all); 0 without words."""
-    bins = len(tables[0])
+def score(own: Column, tables: list[list[float]], fold: Column) -> Column:
+    """Mean log ratio of a text's n-grams (their bins) in their order, by the table of its fold (null: by all); 0 without."""
     held = F.split(F.lit(",".join(repr(x) for table in tables for x in table)), ",").cast("array<double>")
-    zero = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0.0).alias("s"))
-    start = F.coalesce(fold, F.lit(0)) * bins
-
-    def add(a: Column, w: Column) -> Column:
-        pair = F.when(a["w"].isNull(), F.lit(0.0)).otherwise(F.get(held, start + _bin(bins, a["w"], w)))
-        return F.struct(w.alias("w"), (a["s"] + F.get(held, start + _bin(bins, w)) + pair).alias("s"))
-
-    return let(words, lambda w: F.when(F.size(w) > 0, F.aggregate(w, zero, add)["s"] / (2 * F.size(w) - 1)).otherwise(F.lit(0.0)))
+    start = F.coalesce(fold, F.lit(0)) * len(tables[0])
+    total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(held, start + x))
+    return let(own, lambda b: F.when(F.size(b) > 0, total(b) / F.size(b)).otherwise(F.lit(0.0)))
 
 
 def parting(good: list[float], bad: list[float]) -> float:
@@ -140,27 +141,51 @@ def parting(good: list[float], bad: list[float]) -> float:
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
-def assessed(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, bins: int = BINS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """docs with the base statistics, `base_failed`, `llr` and `kept`; columns of those names are replaced.
+def assessed(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, bins: int = BINS, max_trusted: int = MAX_TRUSTED, texts: bool = True) -> DataFrame:
+    """docs with the base statistics, `base_failed`, `llr` and `kept`; columns of those names are replaced. `texts`: whether
+    the text is among the columns.
 
     A null text is empty: no words, so it fails the base rule (under 50 words). Null ids are never trusted but are
     assessed. Each repeated row is assessed by itself. Without a threshold, the one that best parts the held-out scores of
-    labelled documents of 50 words or more is taken.
+    labelled documents of 50 words or more is taken. Texts are read once: statistics and bins are written, and corpus
+    counts, threshold and scores come from there.
     """
     marks, _ = written(marked(labels, max_trusted), "quality-marks")
-    tables = ratios(docs, marks, bins=bins)
+    rows = docs.drop(*_NAMES, "_tf_words", "_tf_hashes", "_tf_bins").withColumn("_tf_words", words_of(F.col("text")))
+    rows = rows.withColumn("_tf_hashes", F.transform("_tf_words", lambda w: F.xxhash64(w)))
+    rows = rows.withColumns(statistics(F.col("text"), F.col("_tf_words"), F.col("_tf_hashes")) | {"_tf_bins": grams(F.col("_tf_hashes"), bins)})
+    rows, _ = written(rows.drop("_tf_words", "_tf_hashes", *([] if texts else ["text"])), "quality-statistics")
+    tables = ratios(rows.select("doc_id", "_tf_bins"), marks, bins=bins)
     held = F.broadcast(marks.toDF("_tf_id", "_tf_good", "_tf_fold"))
-    same = docs["doc_id"].cast("bigint") == held["_tf_id"]
+    same = rows["doc_id"].cast("bigint") == held["_tf_id"]
     if threshold is None:
-        seen = docs.join(held, same).select("_tf_good", "_tf_fold", words_of(F.col("text")).alias("_tf_words")).filter(F.size("_tf_words") >= LEAST_WORDS)
-        seen = seen.select("_tf_good", score(F.col("_tf_words"), tables, F.col("_tf_fold")).alias("llr")).collect()
+        seen = rows.filter(F.col("n_words") >= LEAST_WORDS).join(held, same).select("_tf_good", score(F.col("_tf_bins"), tables, F.col("_tf_fold")).alias("llr")).collect()
         threshold = parting([r["llr"] for r in seen if r["_tf_good"]], [r["llr"] for r in seen if not r["_tf_good"]])
-    rows = docs.join(held, same, "left").drop(*_NAMES, "_tf_words").withColumn("_tf_words", words_of(F.col("text")))
-    rows = rows.withColumns(statistics(F.col("text"), F.col("_tf_words")) | {"llr": score(F.col("_tf_words"), tables, F.col("_tf_fold"))})
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.drop("_tf_words", "_tf_id", "_tf_good", "_tf_fold").withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    judged = rows.join(held, same, "left").withColumns({"base_failed": failed, "llr": score(F.col("_tf_bins"), tables, F.col("_tf_fold"))})
+    return judged.drop("_tf_bins", "_tf_id", "_tf_good", "_tf_fold").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = assessed(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return got.drop("text")
+    return assessed(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), texts=False)
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the base rule, from the operator."""
+    return query(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_ORACLE = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+parts AS (SELECT rid, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS line FROM docs),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM parts GROUP BY rid),
+places AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM docs),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM places),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM windows, range(0, 3) t(k) WHERE n > 1 GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+       length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines,
+       coalesce(covered.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(w) AS base_failed
+FROM docs LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)
+"""

@@ -15,6 +15,19 @@ QUERIES = {
     "op8_temperature_mixing": mixing.query,
     "op9_quality_rules": quality.query,
     "op10_separator_scan": token_counts.query,
+    # Parts of operators that SQL can say, and a limit at which the test tables are split.
+    "shards_of_64_kib": sharding.small_query,
+    "pii_base": pii.base_query,
+    "quality_base": quality.base_query,
 }
 
-ORACLES: dict[str, str] = {"op6_extendible_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_suffix_levels": suffixes.ORACLE,
+    "op3_minhash_bayes": minhash.ORACLE,
+    "op5_fuzzy_lines": lines.ORACLE,
+    "op6_extendible_sharding": sharding.ORACLE,
+    "op8_temperature_mixing": mixing.ORACLE,
+    "shards_of_64_kib": sharding.ORACLE.replace(str(sharding.LIMIT), str(sharding.SMALL_LIMIT)),
+    "pii_base": pii.BASE_ORACLE,
+    "quality_base": quality.BASE_ORACLE,
+}

@@ -17,6 +17,8 @@ from tallyforge.llm._common import documents, written
 
 #: Bits of the hash; bytes of text a shard may have; bits by which a histogram goes beyond the mean depth.
 BITS, LIMIT, BEYOND = 60, 64 << 20, 4
+#: Cells of a map that may be broadcast (40 bytes each).
+SMALL = 1_000_000
 
 
 def id_hash(doc_id: Column) -> Column:
@@ -82,7 +84,10 @@ def assigned(docs: DataFrame, *, limit: int = LIMIT) -> DataFrame:
     own = [F.col(c).alias(f"_tf_{c}") for c in ("cell", "depth", "prefix", "shard_bytes", "fits")]
     out = None
     for d in depths or [BITS]:  # one, or one more for each round of splitting beyond the histogram
-        here = rows.join(cells.filter(F.col("cell_depth") == d).select(*own), _prefix(F.col("_tf_hash"), d) == F.col("_tf_cell"))
+        own_cells = cells.filter(F.col("cell_depth") == d).select(*own)
+        # By their number: a map compresses to next to nothing, so its size on disk must not make it a broadcast.
+        own_cells = own_cells.hint("broadcast" if own_cells.count() <= SMALL else "merge")
+        here = rows.join(own_cells, _prefix(F.col("_tf_hash"), d) == F.col("_tf_cell"))
         out = here if out is None else out.unionByName(here)
     shard = bits(F.col("_tf_depth"), F.col("_tf_prefix"))
     out = out.withColumns({"shard": shard, "depth": F.col("_tf_depth"), "shard_bytes": F.col("_tf_shard_bytes"), "fits": F.col("_tf_fits")})
@@ -94,6 +99,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "fits")
 
 
+#: A limit at which small tables are split too, for the second query.
+SMALL_LIMIT = 64 << 10
+
+
+def small_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with shards of 64 KiB."""
+    got = assigned(documents(spark, sf_dir).select("doc_id", "text"), limit=SMALL_LIMIT)
+    return got.select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "fits")
+
+
 ORACLE = f"""
 WITH rows AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(strlen(text), 0) AS n_bytes,

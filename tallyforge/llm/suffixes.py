@@ -334,3 +334,20 @@ def removed(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, batches:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(documents(spark, sf_dir)).withColumnRenamed("kept", "kept_sha256")
+
+
+#: Every window of every text; bytes as two digits each. For small tables.
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT rid, i, md5_number(substr(x, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT rid, x, unnest(range(0, CAST(length(x) // 2 - {LENGTH - 1} AS BIGINT))) AS i FROM docs)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+cut AS (SELECT rid, i, coalesce(i > lag(i) OVER w + {LENGTH}, true) AS new FROM again WINDOW w AS (PARTITION BY rid ORDER BY i)),
+islands AS (SELECT rid, i, count(*) FILTER (new) OVER (PARTITION BY rid ORDER BY i) AS k FROM cut),
+spans AS (SELECT rid, k, min(i) AS a, max(i) + {LENGTH} AS b FROM islands GROUP BY rid, k),
+gaps AS (SELECT rid, k, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY k), 0) AS a, a AS b FROM spans),
+removed AS (SELECT rid, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last FROM spans GROUP BY rid),
+pieces AS (SELECT rid, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY k) AS kept FROM gaps JOIN docs USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN removed USING (rid) LEFT JOIN pieces USING (rid)
+"""

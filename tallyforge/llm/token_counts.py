@@ -58,7 +58,7 @@ def write_tokens(docs: DataFrame, folder: str, *, path: str | None = None, patte
         def code(word: str) -> bytes:
             if len(known) >= KNOWN:
                 known.clear()
-            got = known[word] = np.array(coder._encode_single_piece(word.encode("utf-8", "surrogatepass")), kind).tobytes()
+            got = known[word] = np.array(coder.encode_ordinary(word), kind).tobytes()
             return got
 
         with files.open_output_stream(f"{root}/{name}") as out:
@@ -100,11 +100,13 @@ def count_tokens(files: DataFrame, folder: str, separator: int, kind: str = "<u2
 
     cuts = files.filter("tokens > 0").select(F.monotonically_increasing_id().alias("copy"), "file", "tokens").withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tokens") - 1, F.lit(block).cast("bigint"))))
     cuts = cuts.withColumn("stop", F.least(F.col("start") + block, F.col("tokens"))).repartition(partitions(files.sparkSession), "file", "start")
-    blocks = cuts.mapInArrow(scan, "copy bigint, file string, start bigint, tokens bigint, n bigint, first bigint, last bigint, inner array<bigint>")
+    # Written: summaries are scanned in order by file, and what lies within blocks is joined to them afterwards.
+    blocks, _ = written(cuts.mapInArrow(scan, "copy bigint, file string, start bigint, tokens bigint, n bigint, first bigint, last bigint, inner array<bigint>"), "token-blocks")
     before = Window.partitionBy("copy", "file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     final = Window.partitionBy("copy", "file")
-    scanned = blocks.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "open": F.coalesce(F.max("last").over(before), F.lit(-1)), "end": F.coalesce(F.max("last").over(final), F.lit(-1)), "all": F.sum("n").over(final)})
-    whole = scanned.filter("n > 0").select("file", "base", F.posexplode(F.concat(F.array(F.col("first") - F.col("open") - 1), "inner")).alias("i", "n_tokens"))
+    scanned = blocks.drop("inner").withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "open": F.coalesce(F.max("last").over(before), F.lit(-1)), "end": F.coalesce(F.max("last").over(final), F.lit(-1)), "all": F.sum("n").over(final)})
+    whole = blocks.filter("n > 0").select("copy", "start", "inner").join(scanned.filter("n > 0"), ["copy", "start"])
+    whole = whole.select("file", "base", F.posexplode(F.concat(F.array(F.col("first") - F.col("open") - 1), "inner")).alias("i", "n_tokens"))
     whole = whole.select("file", (F.col("base") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
     rest = scanned.filter((F.col("start") == 0) & (F.col("end") < F.col("tokens") - 1)).select("file", F.col("all").alias("ordinal"), (F.col("tokens") - 1 - F.col("end")).alias("n_tokens"), F.lit(False).alias("ended"))
     return whole.unionByName(rest)

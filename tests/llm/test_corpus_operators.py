@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 import random
 from collections import Counter, defaultdict
@@ -264,6 +266,10 @@ def weights(shares, a):
     return {s: x**a / z if x else 0.0 for s, x in shares.items()}
 
 
+def entropy_of(w):
+    return -sum(x * math.log(x) for x in w.values() if x)
+
+
 def test_exponent(spark):
     n = {"a": 900_000, "b": 40_000, "c": 10_000}
     sources = spark.createDataFrame(list(n.items()), "source string, n bigint")
@@ -271,51 +277,86 @@ def test_exponent(spark):
     w = weights(n, a)
     budget = max(n[s] / w[s] for s in n)
     assert max(w[s] * budget / n[s] for s in n) == pytest.approx(2.0, rel=1e-6) and 0 < a < 1
-    a = mixing.exponent(sources, entropy=0.7)
-    assert -sum(x * math.log(x) for x in weights(n, a).values()) == pytest.approx(0.7, rel=1e-6)
-    assert mixing.exponent(sources, entropy=9.0) == 0.0 and mixing.exponent(sources, repetitions=0.5, budget=1e6) == 1.0
+    a = mixing.exponent(sources, entropy=0.7, repetitions=None)
+    assert entropy_of(weights(n, a)) == pytest.approx(0.7, rel=1e-6)
+    a = mixing.exponent(sources, evenness=0.25, repetitions=None)
+    assert entropy_of(weights(n, a)) == pytest.approx(0.75 * entropy_of(weights(n, 1)) + 0.25 * math.log(3), rel=1e-6)
+    assert mixing.exponent(sources, evenness=0.25, repetitions=1.2) > a
+    assert mixing.exponent(sources, entropy=9.0, repetitions=None) == 0.0 and mixing.exponent(sources, repetitions=0.5, budget=1e6) == 1.0
     assert mixing.exponent(spark.createDataFrame([], "source string, n bigint")) == 1.0
 
 
-def test_mixture_without_a_budget(spark, rows):
-    docs = frame(spark, rows)
-    got = mixing.mixed(docs)
+def brute_mixture(rows, a, blocks, budget):
+    """(doc_id, text, block, order) by placing every document of every permutation."""
+    md5 = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    name = lambda i: "" if i is None else str(i)
+    own = defaultdict(list)
+    for i, t, s in rows:
+        own[s or ""].append((md5(name(i)), len(words(t)), i, t))
+    n = {s: sum(x[1] for x in v) for s, v in own.items()}
+    w = weights(n, a)
+    whole = budget or max((n[s] / w[s] for s in n if n[s]), default=0)
+    out = []
+    for s, docs in own.items():
+        due, at = round(w[s] * whole), 0
+        for p in range(max(1, -(-due // n[s])) if n[s] else 1):
+            place = lambda x: ((x[0] >> 50) * (1 + 2 * p * 211) + p * 389) % 1024  # noqa: E731, B023
+            for _, of_bin in itertools.groupby(sorted(docs, key=lambda x: (place(x), x[0])), place):  # noqa: B023
+                of_bin = list(of_bin)
+                begun, full = at, at + sum(x[1] for x in of_bin) <= due
+                for _, same in itertools.groupby(of_bin, lambda x: x[0]):
+                    same = list(same)
+                    at += sum(x[1] for x in same)
+                    if full or begun < due and at <= due:
+                        block = min(begun * blocks // due, blocks - 1) if due else 0
+                        out += [(i, t, block, md5(f"{i}:{p}" if i is not None else str(p))) for _, _, i, t in same]
+    return out
+
+
+@pytest.mark.parametrize("aims", [{}, {"evenness": 0.5}, {"evenness": 0.9, "repetitions": None, "budget": 90_000}, {"repetitions": 1.0, "budget": 7_000}])
+def test_mixture(spark, rows, aims):
+    made = [(1000 + i, "w " * (1 + i % 5), "a" if i % 4 else "b") for i in range(400)]
+    docs = frame(spark, [*rows, *made])
+    got = mixing.mixed(docs, **aims)
     assert [c for c in docs.columns if c != "mix_block"] + ["mix_block", "mix_order"] == got.columns
-    got = got.collect()
-    seen = Counter((r.doc_id, r.text) for r in got)
-    assert set(seen) == {(i, t) for i, t, _ in rows}
     n = Counter()
-    for _, t, s in rows:
+    for _, t, s in [*rows, *made]:
         n[s or ""] += len(words(t))
-    w = weights(n, mixing.exponent(spark.createDataFrame(list(n.items()), "source string, n bigint")))
-    budget = max(n[s] / w[s] for s in n)
-    used = Counter()
-    for r in got:
-        used[r.source or ""] += len(words(r.text))
-    longest = max(len(words(t)) for _, t, _ in rows)
-    for s in n:
-        assert w[s] * budget - longest - 1 <= used[s] <= w[s] * budget + 1
-    assert mixing.mixed(frame(spark, [])).isEmpty()
-
-
-def test_budgeted_blocks(spark):
-    made = [(i, "w " * (1 + i % 5), "a" if i % 4 else "b") for i in range(400)]
-    total = sum(len(words(t)) for _, t, _ in made)
-    got = mixing.mixed(frame(spark, made), budget=3 * total, entropy=math.log(2)).collect()
-    blocks = defaultdict(list)
+    a = mixing.exponent(spark.createDataFrame(list(n.items()), "source string, n bigint"), **aims)
+    want = brute_mixture([*rows, *made], a, mixing.BLOCKS, aims.get("budget"))
+    assert sorted(repr((r.doc_id, r.text, r.mix_block, r.mix_order)) for r in got.collect()) == sorted(map(repr, want))
+    if "budget" not in aims:
+        assert {(i, t) for i, t, _, _ in want} == {(i, t) for i, t, _ in [*rows, *made]}
+    assert mixing.mixed(frame(spark, []), **aims).isEmpty()
+
+
+def test_each_block_has_the_weights(spark):
+    rng = random.Random(7)
+    made = [(i, "w " * rng.randint(20, 60), rng.choice(["a"] * 6 + ["b"] * 3 + ["c"])) for i in range(6000)]
+    got = mixing.mixed(frame(spark, made), evenness=0.5).collect()
+    n = Counter()
+    for _, t, s in made:
+        n[s] += len(words(t))
+    a = mixing.exponent(spark.createDataFrame(list(n.items()), "source string, n bigint"), evenness=0.5)
+    assert 0 < a < 1
+    w = weights(n, a)
+    by = defaultdict(Counter)
     for r in got:
-        blocks[r.source, r.mix_block].append(r.doc_id)
-    for s in "ab":
-        own = {i for i, _, x in made if x == s}
-        n = sum(len(words(t)) for _, t, x in made if x == s)
-        whole = int(1.5 * total // n)
-        assert all(sorted(blocks[s, b]) == sorted(own) for b in range(whole))
-        used = sum(len(words(r.text)) for r in got if r.source == s)
-        assert 1.5 * total - 5 - 1 <= used <= 1.5 * total + 1
-    order = [[r.doc_id for r in sorted(got, key=lambda r: r.mix_order) if (r.source, r.mix_block) == ("b", b)] for b in (0, 1)]
-    assert order[0] != order[1] and sorted(order[0]) == sorted(order[1])
-    less = mixing.mixed(frame(spark, made), budget=total / 2, repetitions=9.0).collect()
-    assert sum(len(words(r.text)) for r in less) <= total / 2 + 2
+        by[r.mix_block][r.source] += len(words(r.text))
+    assert sorted(by) == list(range(mixing.BLOCKS))
+    for of in by.values():
+        assert all(abs(of[s] / sum(of.values()) - w[s]) < 0.02 for s in w)
+
+
+def test_mixture_matches_sql(spark, tmp_path):
+    rng = random.Random(3)
+    made = [(i, None if i % 50 == 0 else "w " * rng.randint(1, 60), rng.choice(["a"] * 6 + ["b"] * 3 + ["c", None])) for i in range(900)]
+    con = duckdb.connect()
+    documents = frame(spark, made).select("doc_id", "text", "source").toPandas()  # noqa: F841
+    con.execute("CREATE TABLE documents AS SELECT CAST(doc_id AS BIGINT) AS doc_id, text, source FROM documents")
+    want = con.execute(mixing.ORACLE).fetchall()
+    got = mixing.query(spark, saved(spark, made, tmp_path)).collect()
+    assert len(got) > 900 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
 # The pipeline

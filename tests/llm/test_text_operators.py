@@ -6,7 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, pii, quality, token_counts, winnowing
 from tests.llm.cases import DOCS, awkward, frame, saved, sha, words
@@ -224,30 +227,49 @@ def test_quality_statistics_and_scores(spark, rows, tmp_path):
 
     at = saved(spark, rows, tmp_path)
     got = quality.query(spark, at).collect()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    chained = lambda h, x: xxhash.xxh64_intdigest(x.to_bytes(8, "little"), h)
 
     def bins(w):
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
         one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
-        two = [xxhash.xxh64_intdigest(y.encode(), h) for h, y in zip(one, w[1:], strict=False)]
-        return [signed(h) % quality.BINS for h in one], [signed(h) % quality.BINS for h in two]
+        return [signed(h) % quality.BINS for h in one + [chained(chained(42, a), b) for a, b in zip(one, one[1:], strict=False)]]
+
+    def fold(i):
+        return signed(xxhash.xxh64_intdigest(quality.FOLDS.to_bytes(4, "little"), chained(42, i))) % quality.FOLDS + 1
 
-    good, every = Counter(), Counter()
+    good, every = [Counter() for _ in range(quality.FOLDS + 1)], Counter()
     for i, t, _ in rows:
-        for b in sum(bins(words(t)), []):
-            every[b] += 1
-            good[b] += i is not None and i % 2 == 0
-    table = [math.log((good[b] + 1) / (sum(good.values()) + quality.BINS)) - math.log((every[b] + 1) / (sum(every.values()) + quality.BINS)) for b in range(quality.BINS)]
+        own = Counter(bins(words(t)))
+        every += own
+        for k in range(quality.FOLDS + 1):
+            if i is not None and i % 2 == 0 and fold(i) != k:
+                good[k] += own
+    n, totals = sum(every.values()), [sum(g.values()) for g in good]
 
-    def score(w):
-        one, two = bins(w)
-        return sum(table[b] for b in one + two) / (2 * len(w) - 1) if w else 0.0
+    def score(i, w):
+        k = fold(i) if i is not None and i % 2 == 0 else 0
+        return sum(math.log((good[k][b] + 1) / (totals[k] * every[b] / n + 1)) for b in bins(w)) / (2 * len(w) - 1) if w else 0.0
 
     # Rows of one doc_id are told apart by their statistics.
     key = lambda r: (str(r[0]), r[1], r[2], r[3])
-    want = sorted(((i, *brute_quality(t), score(words(t))) for i, t, _ in rows), key=key)
+    want = sorted(((i, *brute_quality(t), score(i, words(t))) for i, t, _ in rows), key=key)
+    least = min(x[7] for x in want if x[0] is not None and x[0] % 2 == 0 and x[1] >= quality.LEAST_WORDS)
     for r, x in zip(sorted((tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")) for r in got), key=key), want, strict=True):
         assert r[:7] == x[:7] and r[7] == pytest.approx(x[7], abs=1e-9)
-        assert r[8] == (not x[6] and r[7] >= quality.THRESHOLD)
+        assert r[8] == (not x[6] and r[7] >= least - 1e-9)
+
+
+def test_repeated_windows_are_told_by_their_words(spark):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("abc") for _ in range(k)) for k in (1, 2, 3, 4, 5, 9, 40, 200)]
+    long = [f"w{i}" for i in range(300_000)]
+    long[200_000:200_003] = long[7:10]
+    docs = spark.createDataFrame([(t, brute_quality(t)[4]) for t in texts] + [(" ".join(long), 6)], "text string, want bigint")
+    split, hashes = quality.words_of(F.col("text")), lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    for most in (1, 3, 1 << 62):  # windows of few hashes, so that unlike ones meet
+        some = docs if most > 3 else docs.filter("length(text) < 1000")
+        windows = F.transform(quality._runs(hashes(split), 3), lambda x: F.pmod(x, F.lit(most)))  # noqa: B023
+        assert some.select(quality.repeat_words(split, windows).alias("n"), "want").filter("n <> want").collect() == []
 
 
 def test_quality_without_labels_and_rows(spark, rows):
