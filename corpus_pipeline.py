@@ -29,13 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (shingles of five words, similarity 0.8 or more)."""
-    kept = minhash.clustered(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept")), "left_semi")
+    return minhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources up to twice; every document stays once at least."""
-    return mixing.mixed(docs).select(docs.columns)
+    return mixing.mixed(docs, evenness=mixing.EVENNESS).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
