@@ -34,7 +34,7 @@ _U = np.uint64
 
 #: Hashes of a chunk that stays in the cache; entries of a bucket; entries that are sorted at once; items of a side of a
 #: cell; edges that a task unites before it hands them on.
-CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES = 1 << 15, 2_000_000, 2_000_000, 128, 1_000_000
+CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES = 1 << 15, 2_000_000, 2_000_000, 512, 1_000_000
 #: Ids that may be broadcast (16 bytes each); more are joined by two shuffles.
 SMALL = 1_000_000
 
@@ -361,7 +361,8 @@ class Linker:
             fit &= np.bitwise_count(marks[left][:, None] ^ marks[right]) <= most
             i, j = np.nonzero(fit)
             sig = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(-1, n)
-            keep = survivors(sig[left[i]], sig[right[j]], threshold=threshold, miss=miss)
+            parts = range(0, max(len(i), 1), 20_000)  # so many signatures at once
+            keep = np.concatenate([at + survivors(sig[left[i[at : at + 20_000]]], sig[right[j[at : at + 20_000]]], threshold=threshold, miss=miss) for at in parts])
             return left[i[keep]], right[j[keep]]
 
         def first(cell: dict) -> list[tuple]:
