@@ -143,6 +143,11 @@ def _(s, d):
     return audits.referenced(exchanges(s, d), instruments(s, d), "exchange_id")
 
 
+@_query("orphans_of_fewer_exchanges", f"SELECT * FROM {_I} i WHERE exchange_id % 7 = 0")
+def _(s, d):
+    return audits.orphans(instruments(s, d), exchanges(s, d).filter("id % 7 <> 0"), "exchange_id")
+
+
 @_query("duplicate_exchange_codes", "SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1")
 def _(s, d):
     return audits.duplicates(exchanges(s, d), "nation")
@@ -244,6 +249,20 @@ def _(s, d):
     return daily(s, d)
 
 
+def _minute_query(minutes: int) -> None:
+    sql = f"""
+SELECT user_id AS instrument, time_bucket(INTERVAL {minutes} MINUTE, ts) AS start, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+       arg_max(value, row(ts, event_id)) AS close, count(*) AS volume, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"""
+
+    @_query(f"bars_of_{minutes}_minutes", sql)
+    def _(s, d):
+        return market.minute_bars(ticks(s, d), minutes).withColumns({"start": F.col("start").cast("timestamp_ntz"), "value": F.round("value", 4)})
+
+
+for _minutes in (5, 15, 30):
+    _minute_query(_minutes)
+
+
 @_query("insane_bars", f"SELECT * FROM {_BARS} WHERE NOT (high >= greatest(open, close) AND low <= least(open, close) AND volume >= 0 AND least(open, high, low, close) > 0)")
 def _(s, d):
     return market.insane(daily(s, d))

@@ -1,7 +1,7 @@
 """A snapshot store: a unit of work is validated, written as a new directory, and made current by one pointer file.
 
-Readers follow the pointer, so they see all tables of a commit or none. Nothing offers to delete rows. Concurrent writers
-are not serialised: the last pointer wins.
+Readers follow the pointer, so they see all tables of a commit or none. Nothing offers to delete rows. Pointers are
+numbered and never overwritten: of two writers that started from one snapshot, the second is refused.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ class Rejected(Exception):
     """A commit would break a constraint; nothing was written."""
 
 
+class Conflict(Exception):
+    """Another commit came first; nothing was published, and what was staged is staged still."""
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -27,10 +31,14 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._staged: dict[str, list[DataFrame]] = {t: [] for t in TABLES}
 
+    def _pointers(self) -> list[str]:
+        at = self._path(f"{self.root}/_current")
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at) if x.getPath().getName().isdigit()) if self._fs.exists(at) else []
+
     def current(self) -> str | None:
         """The name of the current snapshot."""
-        pointers = sorted(s.getPath().getName() for s in (self._fs.listStatus(self._path(f"{self.root}/_current")) if self._fs.exists(self._path(f"{self.root}/_current")) else []))
-        return pointers[-1].split(".", 1)[1] if pointers else None
+        last = self._pointers()
+        return self.spark.read.text(f"{self.root}/_current/{last[-1]}").first()[0] if last else None
 
     def read(self, table: str) -> DataFrame:
         at = self.current()
@@ -53,7 +61,7 @@ class Store:
     def commit(self) -> int:
         """Validates and publishes what is staged, in both tables at once; gives the number of staged rows."""
         count = sum(rows.count() for staged in self._staged.values() for rows in staged)
-        name = f"snapshot-{uuid.uuid4().hex}"
+        name, turn = f"snapshot-{uuid.uuid4().hex}", len(self._pointers()) + 1
         for table in TABLES:
             self._working(table).write.parquet(f"{self.root}/{name}/{table}")
         new = {t: self.spark.read.schema(s).parquet(f"{self.root}/{name}/{t}") for t, s in TABLES.items()}
@@ -62,7 +70,13 @@ class Store:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
             self._staged = {t: [] for t in TABLES}
             raise Rejected(", ".join(broken))
-        turn = self._fs.listStatus(self._path(f"{self.root}/_current")) if self._fs.exists(self._path(f"{self.root}/_current")) else []
-        self._fs.create(self._path(f"{self.root}/_current/{len(turn) + 1:012d}.{name}"), True).close()
+        # Written aside and renamed, which fails where the number is taken.
+        aside, pointer = self._path(f"{self.root}/_current/.{name}"), self._path(f"{self.root}/_current/{turn:012d}")
+        out = self._fs.create(aside, False)
+        out.write(name.encode())
+        out.close()
+        if self._fs.exists(pointer) or not self._fs.rename(aside, pointer):
+            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+            raise Conflict(f"commit {turn} has been made by another writer")
         self._staged = {t: [] for t in TABLES}
         return count
