@@ -8,6 +8,7 @@ tallyforge.llm.near.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,9 +85,10 @@ def described(texts: pa.Array, n: int, *, sized: bool = True) -> tuple[np.ndarra
         sig[own] = near.flat_signatures(flat, starts, n)
         if not sized:
             continue
-        line = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-        by = np.lexsort((flat, line))
-        new = np.concatenate(([True], (flat[by][1:] != flat[by][:-1]) | (line[by][1:] != line[by][:-1])))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True):
+            flat[a:b].sort()
+        new = np.concatenate(([True], flat[1:] != flat[:-1]))
+        new[starts] = True
         sizes[own] = np.add.reduceat(new.astype(np.int64), starts)
     return sizes, sig
 
@@ -108,7 +110,10 @@ def _entries(buckets: int):
 
 def plain(line: Column) -> Column:
     """A line as it is named: without ASCII blanks around it. Names keep the case; shingles count A-Z as a-z."""
-    return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
+    blanks = " \t\n\x0b\x0c\r"
+    # Trimming walks through all of a line; most have no blank at either end, which is soon seen.
+    ends = functools.reduce(Column.__or__, [F.startswith(line, F.lit(b)) | F.endswith(line, F.lit(b)) for b in blanks])
+    return F.when(ends, F.trim(line, F.lit(blanks))).otherwise(line)
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -121,7 +126,7 @@ def places(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFra
     """(doc_id, line, rid, rchk) of every line with words: its place and the name of its component; written."""
     spark = docs.sparkSession
     lines = split(docs)
-    most = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    most = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     buckets = near.bucket_count(spark, most, BANDS)
     found, path = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary")), "line-groups")
     linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, described=described, miss=miss)
