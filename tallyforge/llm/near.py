@@ -35,6 +35,8 @@ _U = np.uint64
 #: Hashes of a chunk that stays in the cache; entries of a bucket; entries that are sorted at once; items of a side of a
 #: cell; edges that a task unites before it hands them on.
 CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES = 1 << 15, 2_000_000, 2_000_000, 512, 1_000_000
+#: Hashes that are looked at together when pairs of a cell are compared, and such pairs.
+BITS, PAIRS = 1 << 13, 1 << 15
 #: Ids that may be broadcast (16 bytes each); more are joined by two shuffles.
 SMALL = 1_000_000
 
@@ -179,6 +181,26 @@ def survivors(a: np.ndarray, b: np.ndarray, *, threshold: float, miss: float, st
     return alive
 
 
+def commons(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many hashes sets a[k] and b[k] (not the same one) have in common, for each k. Hashes that several sets hold are bits, BITS of them
+    at a time."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))[: len(flat)]
+    shared = ~new | np.append(~new[1:], False)[: len(flat)]
+    owner, bit = owner[shared], np.cumsum(new[shared]) - 1
+    out = np.zeros(len(a), np.int64)
+    for low in range(0, int(bit[-1]) + 1 if len(bit) else 0, BITS):
+        own = slice(*np.searchsorted(bit, (low, low + BITS)))
+        held = np.zeros((len(sets), BITS), bool)
+        held[owner[own], bit[own] - low] = True
+        words = np.packbits(held, axis=1).view(np.uint64)
+        for at in range(0, len(a), 2048):
+            out[at : at + 2048] += np.bitwise_count(words[a[at : at + 2048]] & words[b[at : at + 2048]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 class Union:
     """Union-find over whole numbers; the smallest of a set is its root."""
 
@@ -252,11 +274,11 @@ class Linker:
     """Links the items of `found` (see `groups`) whose exact similarity is the threshold or more.
 
     texts: (id, chk, text) of all items, rows may repeat. shingles: sorted distinct 64-bit hashes of a text. described:
-    set sizes and signatures of many texts. n: hashes of a signature; linked(common, a, b): the exact rule on the sizes of the common part and both sets. Within, an item has
-    a number of its own, `no`.
+    set sizes and signatures of many texts. n: hashes of a signature; linked(common, a, b): the exact rule on the sizes of
+    the common part and both sets, whole numbers or arrays of them. Within, an item has a number of its own, `no`.
     """
 
-    def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable[[int, int, int], bool], described: Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]] | None = None, threshold: float = 0.8, miss: float = 1e-7):
+    def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable, described: Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]] | None = None, threshold: float = 0.8, miss: float = 1e-7):
         self.flat = described or (lambda texts, n: _one_by_one(texts, n, shingles))
         self.shingles, self.n, self.linked, self.threshold, self.miss = shingles, n, linked, threshold, miss
         self.spark, self.paths = found.sparkSession, []
@@ -369,18 +391,21 @@ class Linker:
             return [(int(cell["g"][k]), int(cell["i"][k]), int(cell["j"][k]), int(cell["side"][k]), int(cell["no"][k]), int(cell["label"][k])) for k in np.unique(np.concatenate(pairs(cell))).tolist()]
 
         def second(cell: dict) -> list[tuple]:
-            held, sets, out = Union(), {}, []
-
-            def of(k: int) -> np.ndarray:
-                if k not in sets:
-                    sets[k] = shingles(cell["text"][k])
-                return sets[k]
-
-            for a, b in zip(*(x.tolist() for x in pairs(cell)), strict=True):
-                one, two = int(cell["label"][a]), int(cell["label"][b])
-                if held.find(one) != held.find(two) and linked(len(np.intersect1d(of(a), of(b), assume_unique=True)), len(of(a)), len(of(b))):
-                    held.unite(one, two)
-                    out.append((int(cell["no"][a]), int(cell["no"][b])))
+            held, out = Union(), []
+            a, b = pairs(cell)
+            for at in range(0, len(a), PAIRS):
+                one, two = a[at : at + PAIRS], b[at : at + PAIRS]
+                some, label = np.unique(np.concatenate((one, two)), return_inverse=True)
+                root = np.array([held.find(x) for x in cell["label"][some].tolist()], np.int64)
+                x, y = label[: len(one)], label[len(one) :]
+                apart = root[x] != root[y]
+                x, y = x[apart], y[apart]
+                sets = [shingles(cell["text"][k]) for k in some.tolist()]
+                size = np.array([len(s) for s in sets], np.int64)
+                good = linked(commons(sets, x, y), size[x], size[y])
+                for i, j in zip(some[x[good]].tolist(), some[y[good]].tolist(), strict=True):
+                    if held.unite(int(cell["label"][i]), int(cell["label"][j])):
+                        out.append((int(cell["no"][i]), int(cell["no"][j])))
             return out
 
         def by_cell(rows: DataFrame, names: list[str], each: Callable[[dict], list[tuple]], shape: str) -> DataFrame:
