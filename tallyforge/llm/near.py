@@ -35,8 +35,8 @@ _U = np.uint64
 #: Hashes of a chunk that stays in the cache; entries of a bucket; entries that are sorted at once; items of a side of a
 #: cell; edges that a task unites before it hands them on.
 CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES = 1 << 15, 2_000_000, 2_000_000, 512, 1_000_000
-#: Hashes that are looked at together when pairs of a cell are compared, and such pairs.
-BITS, PAIRS = 1 << 13, 1 << 15
+#: Hashes that are looked at together when pairs of a cell are compared, and such pairs: in the first part, at most.
+BITS, FIRST, PAIRS = 1 << 13, 1 << 12, 1 << 15
 #: Ids that may be broadcast (16 bytes each); more are joined by two shuffles.
 SMALL = 1_000_000
 
@@ -373,8 +373,9 @@ class Linker:
         p = (1 + threshold) / 2
         most = bits * (1 - p) + 6 * (bits * p * (1 - p)) ** 0.5
 
-        def pairs(cell: dict) -> tuple[np.ndarray, np.ndarray]:
-            """Pairs of a cell (side 0, side 1) that outlast the sketch and the sequential test."""
+        def pairs(cell: dict, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Pairs of a cell (side 0, side 1) that outlast the sketch and the sequential test, part by part. A part is
+            strewn over the cell, so that early ones touch every item; `wanted` tells which pairs still matter."""
             left, right = np.flatnonzero(cell["side"] == 0), np.flatnonzero(cell["side"] == 1)
             fit = cell["label"][left][:, None] != cell["label"][right]
             size = cell["size"]
@@ -382,30 +383,42 @@ class Linker:
             marks = cell["sketch"].view(np.uint64)
             fit &= np.bitwise_count(marks[left][:, None] ^ marks[right]) <= most
             i, j = np.nonzero(fit)
+            strewn = np.argsort(np.arange(len(i)) % max(1, -(-len(i) // FIRST)), kind="stable")
+            a, b = left[i[strewn]], right[j[strewn]]
             sig = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(-1, n)
-            parts = range(0, max(len(i), 1), 20_000)  # so many signatures at once
-            keep = np.concatenate([at + survivors(sig[left[i[at : at + 20_000]]], sig[right[j[at : at + 20_000]]], threshold=threshold, miss=miss) for at in parts])
-            return left[i[keep]], right[j[keep]]
+            at, part = 0, FIRST
+            while at < len(a):
+                one, two = a[at : at + part], b[at : at + part]
+                at, part = at + part, min(2 * part, PAIRS)
+                still = wanted(one, two)
+                one, two = one[still], two[still]
+                keep = survivors(sig[one], sig[two], threshold=threshold, miss=miss)
+                yield one[keep], two[keep]
 
         def first(cell: dict) -> list[tuple]:
-            return [(int(cell["g"][k]), int(cell["i"][k]), int(cell["j"][k]), int(cell["side"][k]), int(cell["no"][k]), int(cell["label"][k])) for k in np.unique(np.concatenate(pairs(cell))).tolist()]
+            """The items that some pair needs; pairs of items that are both known to be needed tell nothing more."""
+            needed = np.zeros(len(cell["no"]), bool)
+            for one, two in pairs(cell, lambda one, two: ~(needed[one] & needed[two])):
+                needed[one] = needed[two] = True
+            return [(int(cell["g"][k]), int(cell["i"][k]), int(cell["j"][k]), int(cell["side"][k]), int(cell["no"][k]), int(cell["label"][k])) for k in np.flatnonzero(needed).tolist()]
 
         def second(cell: dict) -> list[tuple]:
+            """Links that join components; pairs whose components met in an earlier part are not compared."""
             held, out = Union(), []
-            a, b = pairs(cell)
-            for at in range(0, len(a), PAIRS):
-                one, two = a[at : at + PAIRS], b[at : at + PAIRS]
-                some, label = np.unique(np.concatenate((one, two)), return_inverse=True)
-                root = np.array([held.find(x) for x in cell["label"][some].tolist()], np.int64)
-                x, y = label[: len(one)], label[len(one) :]
-                apart = root[x] != root[y]
-                x, y = x[apart], y[apart]
-                sets = [shingles(cell["text"][k]) for k in some.tolist()]
-                size = np.array([len(s) for s in sets], np.int64)
-                good = linked(commons(sets, x, y), size[x], size[y])
-                for i, j in zip(some[x[good]].tolist(), some[y[good]].tolist(), strict=True):
+            sets: dict[int, np.ndarray] = {}
+            names, label = np.unique(cell["label"], return_inverse=True)
+            root = names
+
+            for x, y in pairs(cell, lambda x, y: root[label[x]] != root[label[y]]):
+                some, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+                own = [sets[k] if k in sets else sets.setdefault(k, shingles(cell["text"][k])) for k in some.tolist()]
+                size = np.array([len(s) for s in own], np.int64)
+                one, two = at[: len(x)], at[len(x) :]
+                good = linked(commons(own, one, two), size[one], size[two]) if len(x) else np.zeros(0, bool)
+                for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
                     if held.unite(int(cell["label"][i]), int(cell["label"][j])):
                         out.append((int(cell["no"][i]), int(cell["no"][j])))
+                root = np.array([held.find(v) for v in names.tolist()], np.int64)
             return out
 
         def by_cell(rows: DataFrame, names: list[str], each: Callable[[dict], list[tuple]], shape: str) -> DataFrame:
