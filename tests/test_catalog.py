@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from tallyforge.operators import market
-from tallyforge.plans import catalog
+from tallyforge.plans import catalog, extension  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
