@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm._common import partitions
 
 #: Bytes of texts after which a block is closed (a longer text is a block of its own); entries of a bucket.
-BLOCK_BYTES, ENTRIES = 32_000_000, 3_000_000
+BLOCK_BYTES, ENTRIES = 16_000_000, 3_000_000
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
