@@ -32,6 +32,8 @@ from tallyforge.llm.hashing import BASE, mixed
 
 #: Prior mass m after one word, and after two.
 MASSES = (3000.0, 30.0)
+#: Bytes of a block's texts: about 60 times as much memory scores them.
+BLOCK_BYTES = 8_000_000
 _U = np.uint64
 END, START = 0, 1
 _BLOCK = "block bigint, doc_ids array<bigint>, held array<boolean>, data binary, tokens bigint, train_tokens bigint, train_docs bigint"
@@ -76,40 +78,52 @@ class Grams:
     def longer(self, bits: int) -> None:
         """Finds the n-grams of two and three words: for each position `two` and (but for a text's first) `three` are
         places among them, and each has a key."""
-        w = _U(len(self.hash))
-        token = self.token.astype(np.uint64)
+        w, token = _U(len(self.hash)), self.token
         firsts = np.cumsum(self.sizes) - self.sizes
-        before = np.concatenate(([0], token[:-1])).astype(np.uint64)
-        before[firsts] = START
-        pair, self.two = np.unique(before * w + token, return_inverse=True)
-        self.before = before.astype(np.int64)
+        self.before = np.concatenate(([END], token[:-1])).astype(np.uint32)
+        self.before[firsts] = START
+        pair, self.two = _numbered(self.before * w + token)
         h = self.hash[:, 0]
         self.key2 = mixed(mixed(h[pair // w] + _U(BASE)) * _U(BASE) + h[pair % w])
         self.inner = np.ones(len(token), bool)
         self.inner[firsts] = False
         at = np.flatnonzero(self.inner)
-        _, first, self.three = np.unique(self.two[at - 1].astype(np.uint64) * w + token[at], return_index=True, return_inverse=True)
-        at = at[first]
+        triple, self.three = _numbered(self.two[at - 1] * w + token[at])
+        first = np.empty(len(triple), np.int64)
+        first[self.three] = at  # any place of each
+        at = first
         self.context3, self.suffix3 = self.two[at - 1], self.two[at]  # of each: its first two words, its last two
         self.key3 = mixed(self.key2[self.context3] * _U(BASE) + h[token[at]])
-        self.keys, place = np.unique(np.concatenate((self.key2, self.key3)) >> _U(64 - bits), return_inverse=True)
+        self.keys, place = _numbered(np.concatenate((self.key2, self.key3)) >> _U(64 - bits))
         self.at2, self.at3 = place[: len(self.key2)], place[len(self.key2) :]
+        self.n2, self.n3 = len(self.key2), len(self.key3)
+        del self.key2, self.key3  # the largest of what is no longer needed
 
     def counts(self) -> np.ndarray:
         """Of each key: how often the block's training texts have it."""
-        two = np.bincount(self.two, self.train, len(self.key2))
-        three = np.bincount(self.three, self.train[self.inner], len(self.key3))
+        two = np.bincount(self.two, self.train, self.n2)
+        three = np.bincount(self.three, self.train[self.inner], self.n3)
         return trips.summed(self.at2, len(self.keys), two) + trips.summed(self.at3, len(self.keys), three)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and each one's place among them; a block has fewer than 2 ** 32."""
+    found, place = np.unique(x, return_inverse=True)
+    return found, place.astype(np.uint32)
+
+
 def _ask_words(buckets: int):
+    def one(block: int, held: list[bool], data: bytes) -> Iterator[pa.RecordBatch]:
+        g = Grams(data, held)
+        order, bucket = g.words(buckets)
+        counts, names = np.bincount(g.token, g.train, len(g.hash)).astype(np.uint64)[order], g.hash[order]
+        del g
+        yield from trips.asked(block, bucket, buckets, lambda a, b: trips.packed(names[a:b, 0], names[a:b, 1], counts[a:b]))
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for block, held, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                g = Grams(data.as_py(), held)
-                order, bucket = g.words(buckets)
-                counts, names = np.bincount(g.token, g.train, len(g.hash)).astype(np.uint64)[order], g.hash[order]
-                yield from trips.asked(block, bucket, buckets, lambda a, b: trips.packed(names[a:b, 0], names[a:b, 1], counts[a:b]))  # noqa: B023
+            for block, held, data in zip(*batch.columns, strict=True):
+                yield from one(block.as_py(), held.as_py(), data.as_py())
 
     return run
 
@@ -126,19 +140,23 @@ def _count_words(bucket: int, asks: list[list]) -> tuple[list[bytes], bytes]:
 
 
 def _ask_grams(buckets: int, bits: int):
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for block, held, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                g = Grams(data.as_py(), held)
-                g.longer(bits)
-                keys, counts = g.keys, g.counts()
-                bucket = ((keys >> _U(bits - 32)) * _U(buckets) >> _U(32)).astype(np.int64)
+    def one(block: int, held: list[bool], data: bytes) -> Iterator[pa.RecordBatch]:
+        g = Grams(data, held)
+        g.longer(bits)
+        keys, counts = g.keys, g.counts()
+        del g
+        bucket = ((keys >> _U(bits - 32)) * _U(buckets) >> _U(32)).astype(np.int64)
 
-                def pack(a: int, b: int) -> bytes:
-                    steps = np.diff(keys[a:b], prepend=_U(0))  # noqa: B023
-                    return trips.packed(steps[:1], _cut(steps[1:]), counts[a:b])  # noqa: B023
+        def pack(a: int, b: int) -> bytes:
+            steps = np.diff(keys[a:b], prepend=_U(0))
+            return trips.packed(steps[:1], _cut(steps[1:]), counts[a:b])
 
-                yield from trips.asked(block, bucket, buckets, pack)
+        yield from trips.asked(block, bucket, buckets, pack)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for block, held, data in zip(*batch.columns, strict=True):
+                yield from one(block.as_py(), held.as_py(), data.as_py())  # nothing of a block outlives it
 
     return run
 
@@ -208,22 +226,24 @@ class Automaton:
 
 
 def _scores(buckets: int, bits: int, tokens: int, known: int, texts: int, masses: tuple[float, float]):
+    def one(ids: list, held: list[bool], data: bytes, words: list[bytes], grams: list[bytes]) -> pa.RecordBatch:
+        g = Grams(data, held)
+        order, _ = g.words(buckets)
+        g.longer(bits)
+        c1 = np.zeros(len(g.hash), np.uint64)
+        c1[order] = trips.joined(words)
+        counts = trips.joined(grams)
+        automaton = Automaton(g, c1, counts[g.at2], counts[g.at3], tokens, known, texts, masses)
+        cuts = np.cumsum(g.sizes) - g.sizes
+        base, score = np.add.reduceat(automaton.root[g.token], cuts), np.add.reduceat(automaton.walk(), cuts)
+        n_known = np.add.reduceat((c1[g.token] > 0).astype(np.int64), cuts)
+        cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(g.sizes), pa.array(n_known), pa.array(np.full(len(ids), tokens, np.int64)), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in _SCORED.split(", ")])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for ids, held, data, words, grams in zip(*(batch.column(k) for k in range(5)), strict=True):
-                ids, held = ids.as_py(), held.as_py()
-                g = Grams(data.as_py(), held)
-                order, _ = g.words(buckets)
-                g.longer(bits)
-                c1 = np.zeros(len(g.hash), np.uint64)
-                c1[order] = trips.joined(words.as_py())
-                counts = trips.joined(grams.as_py())
-                automaton = Automaton(g, c1, counts[g.at2], counts[g.at3], tokens, known, texts, masses)
-                cuts = np.cumsum(g.sizes) - g.sizes
-                base, score = np.add.reduceat(automaton.root[g.token], cuts), np.add.reduceat(automaton.walk(), cuts)
-                n_known = np.add.reduceat((c1[g.token] > 0).astype(np.int64), cuts)
-                cols = [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(g.sizes), pa.array(n_known), pa.array(np.full(len(ids), tokens, np.int64)), pa.array(base), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(cols, [x.split(" ")[0] for x in _SCORED.split(", ")])
+            for row in zip(*batch.columns, strict=True):
+                yield one(*(x.as_py() for x in row))
 
     return run
 
@@ -241,7 +261,7 @@ def scored(docs: DataFrame, *, masses: tuple[float, float] = MASSES) -> DataFram
     spark = docs.sparkSession
     held = F.crc32(F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     rows = docs.select(F.col("doc_id").cast("bigint"), held.alias("held"), F.col("text").cast("string").cast("binary").alias("text"))
-    blocks, _ = bucketed(rows.mapInArrow(trips.in_blocks(_blocks), _BLOCK), "lm_blocks", "block", partitions(spark))
+    blocks, _ = bucketed(rows.mapInArrow(trips.in_blocks(_blocks, BLOCK_BYTES), _BLOCK), "lm_blocks", "block", partitions(spark))
     total, tokens, texts = (x or 0 for x in blocks.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first())
     buckets = max(partitions(spark), -(-2 * total // trips.ENTRIES))
     bits = min(64, max(33, 2 * math.ceil(math.log2(total + 1)) + 1))

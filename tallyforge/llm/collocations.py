@@ -34,6 +34,8 @@ WORDS, LEAST, PERCENT, TOP = 4, 30, 80, 2000
 #: Of a cut, the score is this many times a / (l + r), floored.
 SCALE = 2_000_000
 UNKNOWN = "und"
+#: Bytes of a block's texts.
+BLOCK_BYTES = 16_000_000
 _U = np.uint64
 _ENDS = re.compile(rb"[.,;:!?\n\x0b\x0c\r]+")
 _WORDS = "block bigint, langs array<string>, counts array<bigint>, data binary"
@@ -210,7 +212,7 @@ def named(docs: DataFrame, *, least: int = LEAST, words: int = WORDS) -> tuple[D
     words, (id, f, left, right) of longer ones, which name those without their last and without their first word."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    blocks, _ = bucketed(rows.mapInArrow(trips.in_blocks(_blocks), _WORDS), "phrase_words", "block", partitions(spark))
+    blocks, _ = bucketed(rows.mapInArrow(trips.in_blocks(_blocks, BLOCK_BYTES), _WORDS), "phrase_words", "block", partitions(spark))
     sizes = blocks.select(F.explode(F.arrays_zip("langs", "counts")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.counts").alias("n"))
     total = blocks.agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda s, x: s + x))).first()[0] or 0
     buckets = max(partitions(spark), -(-total // trips.ENTRIES))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm._common import partitions
 
-#: Bytes of texts after which a block is closed (a longer text is a block of its own); entries of a bucket.
-BLOCK_BYTES, ENTRIES = 16_000_000, 3_000_000
+#: Entries of a bucket.
+ENTRIES = 3_000_000
 
 
 def packed(*arrays: np.ndarray | bytes) -> bytes:
@@ -57,9 +57,9 @@ def summed(at: np.ndarray, n: int, by: np.ndarray) -> np.ndarray:
     return out
 
 
-def in_blocks(make: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]):
-    """Batches whose last column is a text's bytes, in blocks: make(number, rows). A task that runs again makes the same
-    blocks with the same numbers."""
+def in_blocks(make: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]], limit: int):
+    """Batches whose last column is a text's bytes, in blocks of `limit` bytes (a longer text is a block of its own):
+    make(number, rows). A task that runs again makes the same blocks with the same numbers."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -70,7 +70,7 @@ def in_blocks(make: Callable[[int, list[tuple]], Iterator[pa.RecordBatch]]):
         for batch in it:
             for *more, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.column(batch.num_columns - 1), strict=True):
                 text = text.as_py() or b""
-                if rows and held + len(text) > BLOCK_BYTES:
+                if rows and held + len(text) > limit:
                     yield from make(block, rows)
                     block, held, rows = block + 1, 0, []
                 rows.append((*more, text))

@@ -141,7 +141,7 @@ def close(got, want):
 
 @pytest.mark.parametrize("masses", [backoff.MASSES, (2.0, 0.5)])
 def test_scores(spark, monkeypatch, masses):
-    monkeypatch.setattr(backoff.trips, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 20_000)
     rows = awkward()
     close(backoff.scored(frame(spark, rows), masses=masses).collect(), brute_scores(rows, masses))
 
@@ -206,7 +206,7 @@ def phrase_frame(spark, rows):
 
 @pytest.mark.parametrize("options", [{"least": 30, "percent": 80, "top": 2000}, {"least": 4, "percent": 60, "top": 25}])
 def test_phrases(spark, monkeypatch, options):
-    monkeypatch.setattr(collocations.trips, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", 4000)
     rows = phrase_rows()
     got = collocations.collocations(phrase_frame(spark, rows), **options)
     assert sorted(map(tuple, got.collect())) == brute_phrases(rows, **options)
