@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import near
-from tallyforge.llm._common import BLANKS, documents, remove, written
+from tallyforge.llm._common import BLANKS, documents, remove, words_of, written
 from tallyforge.llm.hashing import BASE, mixed, rolled, table
 
 #: Bands and rows of each; code points of a shingle.
@@ -116,58 +116,65 @@ def plain(line: Column) -> Column:
     return F.when(ends, F.trim(line, F.lit(blanks))).otherwise(line)
 
 
+def _of_text() -> Column:
+    """With doc_id, what tells a row's text from those of other rows."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def split(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, id, chk, text) of every line with words: its place, counted from 0, and its name."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    return rows.withColumn("text", plain(F.col("raw"))).filter("text <> ''").select("doc_id", "line", *near.names(F.col("text")), "text")
+    """(doc_id, own, line, id, chk, text) of every line with words: its document's id and text, its place, counted from 0,
+    and its name."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _of_text().alias("own"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
+    return rows.withColumn("text", plain(F.col("raw"))).filter("text <> ''").select("doc_id", "own", "line", *near.names(F.col("text")), "text")
 
 
 def places(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """(doc_id, line, rid, rchk) of every line with words: its place and the name of its component; written."""
+    """(doc_id, own, line, rid, rchk) of every line with words: its place and the name of its component; written."""
     spark = docs.sparkSession
     lines = split(docs)
     most = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     buckets = near.bucket_count(spark, most, BANDS)
     found, path = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary")), "line-groups")
     linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, described=described, miss=miss)
-    placed = lines.select("doc_id", "line", "id", "chk").join(linker.named(), ["id", "chk"], "left").select("doc_id", "line", F.coalesce("rid", "id").alias("rid"), F.coalesce("rchk", "chk").alias("rchk"))
+    placed = lines.select("doc_id", "own", "line", "id", "chk").join(linker.named(), ["id", "chk"], "left").select("doc_id", "own", "line", F.coalesce("rid", "id").alias("rid"), F.coalesce("rchk", "chk").alias("rchk"))
     out, _ = written(placed, "line-places")
     remove(spark, path)
     return out
 
 
 def removed(placed: DataFrame) -> DataFrame:
-    """(doc_id, removed): places of the lines that go, in order, for each doc_id that has some. The first line of a
+    """(doc_id, own, removed): places of the lines that go, in order, for each text that has some. The first line of a
     component stays."""
-    several = placed.groupBy("rid", "rchk").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = placed.groupBy("rid", "rchk").agg(F.min(F.struct("doc_id", "own", "line")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # Written, so that the join on it has two plain shuffles, which adaptive execution can split at a common line.
     several, _ = written(several.select("rid", "rchk", "first"), "line-firsts")
-    gone = placed.join(several, ["rid", "rchk"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line") == F.col("first.line"))))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    gone = placed.join(several, ["rid", "rchk"]).filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own")) & (F.col("line") == F.col("first.line"))))
+    return gone.groupBy("doc_id", "own").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, *, drop_empty: bool = True, told: bool = False, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, *, least_words: int = 1, told: bool = False, **options) -> DataFrame:
     """docs with the texts that are left, all columns as they were; with `told` also `removed_lines`, the places of the
     lines that went (null: none).
 
-    Of each component of near-equal lines one line stays, the first by doc_id (null first) and place. A document that
-    loses its last line with words goes if drop_empty; one that had none stays as it is. Rows that repeat a doc_id (null
-    ones too) share their line places: what is first in one of them stays in each, and what goes in one goes in each. A
-    null text stays null.
+    Of each component of near-equal lines one line stays, the first by doc_id (null first) and place; of texts with one
+    doc_id (or none) the order is that of their hashes. A document that loses lines and keeps fewer than `least_words` words
+    goes (0: none goes); one that loses none stays as it is. Rows that repeat both doc_id and text are one document: what is
+    first in one of them stays in each. A null text stays null.
     """
-    gone = removed(places(docs, **options)).toDF("_tf_id", "_tf_gone")
-    rows = docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_tf_id")), "left")
+    gone = removed(places(docs, **options)).toDF("_tf_id", "_tf_own", "_tf_gone")
+    rows = docs.withColumn("_tf_of", _of_text())
+    rows = rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_tf_id")) & (F.col("_tf_of") == F.col("_tf_own")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_tf_gone", i))
     none = F.col("_tf_gone").isNull()
     rows = rows.withColumn("text", F.when(none, F.col("text")).otherwise(F.array_join(kept, "\n")))
-    if drop_empty:
-        rows = rows.filter(none | F.col("text").rlike(f"[^{BLANKS}]"))
-    return rows.withColumn("removed_lines", F.col("_tf_gone")).drop("_tf_id", "_tf_gone") if told else rows.drop("_tf_id", "_tf_gone")
+    if least_words:
+        rows = rows.filter(none | (F.size(words_of(F.col("text"))) >= least_words))
+    return rows.withColumn("removed_lines", F.col("_tf_gone")).drop("_tf_id", "_tf_own", "_tf_of", "_tf_gone") if told else rows.drop("_tf_id", "_tf_own", "_tf_of", "_tf_gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its lines with words that are left, how many went and their places, and the text's SHA-256."""
-    rows = deduplicated(documents(spark, sf_dir).select("doc_id", "text"), drop_empty=False, told=True)
+    rows = deduplicated(documents(spark, sf_dir).select("doc_id", "text"), least_words=0, told=True)
     left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(f"[^{BLANKS}]")))
     shown = F.coalesce(F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ","), F.lit(""))
     return rows.select("doc_id", left.cast("bigint").alias("n_left"), F.coalesce(F.size("removed_lines"), F.lit(0)).cast("bigint").alias("n_removed"), shown.alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tallyforge.llm import lines, minhash, mixing, near, sharding, suffixes
@@ -165,27 +166,33 @@ def test_union_find(spark, monkeypatch):
 # Lines
 
 
+def own(text):
+    """A text's hash as Spark has it, which orders texts of one id."""
+    x = xxhash.xxh64_intdigest((text or "").encode(), seed=42)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def brute_lines(rows):
-    """Places of the lines that go, by doc_id; rows that repeat an id share them. Five code points, A-Z as a-z."""
-    all_ = [(i, k, x.strip(BLANK)) for i, t, _ in rows for k, x in enumerate((t or "").split("\n")) if x.strip(BLANK)]
+    """Places of the lines that go, by doc_id and text. Five code points, A-Z as a-z."""
+    all_ = [(i, t, k, x.strip(BLANK)) for i, t, _ in rows for k, x in enumerate((t or "").split("\n")) if x.strip(BLANK)]
 
     def grams(x):
         x = x.translate(LOWER)
         return frozenset([x]) if len(x) < 5 else frozenset(x[i : i + 5] for i in range(len(x) - 4))
 
-    distinct = sorted({x for _, _, x in all_})
+    distinct = sorted({x for *_, x in all_})
     sets = [grams(x) for x in distinct]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if min(len(sets[i]), len(sets[j])) * 10 >= 8 * max(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     root = union_find(pairs, range(len(sets)))
     of = {x: root[i] for i, x in enumerate(distinct)}
-    place = lambda i, k: (i is not None, i or 0, k)
+    place = lambda i, t, k: (i is not None, i or 0, own(t), k)
     first = {}
-    for i, k, x in all_:
-        first[of[x]] = min(first.get(of[x], place(i, k)), place(i, k))
+    for i, t, k, x in all_:
+        first[of[x]] = min(first.get(of[x], place(i, t, k)), place(i, t, k))
     gone = defaultdict(set)
-    for i, k, x in all_:
-        if place(i, k) != first[of[x]]:
-            gone[i].add(k)
+    for i, t, k, x in all_:
+        if place(i, t, k) != first[of[x]]:
+            gone[i, t].add(k)
     return gone
 
 
@@ -200,17 +207,17 @@ def line_rows():
 def test_lines(spark, tmp_path):
     made = line_rows()
     gone = brute_lines(made)
-    kept = lambda i, t: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
-    want = [(i, t if t is None or not gone[i] else kept(i, t)) for i, t, _ in made]
+    kept = lambda i, t: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])
+    want = [(i, t if t is None or not gone[i, t] else kept(i, t)) for i, t, _ in made]
     want = [(i, t) for (i, t), (_, was, _) in zip(want, made, strict=True) if t == was or t.strip(BLANK)]
     docs = frame(spark, made)
     got = lines.deduplicated(docs)
     assert got.columns == docs.columns
     assert sorted(repr((r.doc_id, r.text)) for r in got.collect()) == sorted(map(repr, want))
     told = sorted(repr(tuple(r)) for r in lines.query(spark, saved(spark, made, tmp_path)).collect())
-    full = {(i, t): t if t is None or not gone[i] else kept(i, t) for i, t, _ in made}
+    full = {(i, t): t if t is None or not gone[i, t] else kept(i, t) for i, t, _ in made}
     left = lambda t: sum(bool(x.strip(BLANK)) for x in (t or "").split("\n"))
-    assert told == sorted(repr((i, left(full[i, t]), len(gone[i]), ",".join(map(str, sorted(gone[i]))), sha((full[i, t] or "").encode()))) for i, t, _ in made)
+    assert told == sorted(repr((i, left(full[i, t]), len(gone[i, t]), ",".join(map(str, sorted(gone[i, t]))), sha((full[i, t] or "").encode()))) for i, t, _ in made)
     assert lines.deduplicated(frame(spark, [])).isEmpty()
 
 
@@ -222,12 +229,27 @@ def test_lines_are_hashed_alike_together_and_alone():
 
 
 def test_lines_of_awkward_rows(spark, rows):
-    got = lines.deduplicated(frame(spark, rows), drop_empty=False).collect()
+    got = lines.deduplicated(frame(spark, rows), least_words=0).collect()
     gone = brute_lines(rows)
-    kept = lambda i, t: t if t is None or not gone[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+    kept = lambda i, t: t if t is None or not gone[i, t] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])
     assert sorted(repr((r.doc_id, r.text)) for r in got) == sorted(repr((i, kept(i, t))) for i, t, _ in rows)
 
 
+def test_rows_of_one_id_lose_only_their_own_lines(spark):
+    footer, a, b = "the same footer under all of them", "a line that only one text has", "another line of one text alone"
+    for i in (None, 5):
+        rows = [(i, f"first text of all\n{footer}", None), (i, f"{a}\n{footer}", None), (i, f"{footer}\n{b}", None)]
+        got = lines.deduplicated(frame(spark, rows)).collect()
+        left = sorted(x for r in got for x in r.text.split("\n"))
+        assert left == sorted(["first text of all", a, b, footer])
+
+
+def test_remainders_of_few_words_go(spark):
+    same = "these five words are common"
+    rows = [(1, f"{same}\none two three", None), (2, f"{same}\nfour five six", None), (3, "seven", None), (4, f"{same}\nw1 w2 w3 w4 w5", None)]
+    assert sorted(r.doc_id for r in lines.deduplicated(frame(spark, rows), least_words=4).collect()) == [1, 3, 4]
+
+
 # Sharding
 
 

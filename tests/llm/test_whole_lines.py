@@ -6,11 +6,12 @@ import random
 from collections import defaultdict
 
 from tallyforge.llm import lines
+from tests.llm.test_corpus_operators import own
 from tests.llm.cases import BLANK, LOWER, awkward, frame, union_find
 
 
 def kept(spark, texts, **options):
-    got = lines.deduplicated(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), drop_empty=False, **options)
+    got = lines.deduplicated(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), least_words=0, **options)
     return [r.text for r in got.orderBy("doc_id").collect()]
 
 
@@ -31,26 +32,26 @@ def test_shingles_are_code_points(spark):
 
 
 def brute(rows):
-    """Places of the lines that go, by doc_id: five code points a shingle, A-Z as a-z."""
-    all_ = [(i, k, x.strip(BLANK).translate(LOWER)) for i, t, _ in rows for k, x in enumerate((t or "").split("\n")) if x.strip(BLANK)]
-    distinct = sorted({x for _, _, x in all_})
+    """Places of the lines that go, by doc_id and text: five code points a shingle, A-Z as a-z."""
+    all_ = [(i, t, k, x.strip(BLANK).translate(LOWER)) for i, t, _ in rows for k, x in enumerate((t or "").split("\n")) if x.strip(BLANK)]
+    distinct = sorted({x for *_, x in all_})
     sets = [frozenset(x[i : i + 5] for i in range(max(1, len(x) - 4))) for x in distinct]
     pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
     root = union_find(pairs, range(len(sets)))
     of = {x: root[i] for i, x in enumerate(distinct)}
-    place = lambda i, k: (i is not None, i or 0, k)
+    place = lambda i, t, k: (i is not None, i or 0, own(t), k)
     first, gone = {}, defaultdict(set)
-    for i, k, x in all_:
-        first[of[x]] = min(first.get(of[x], place(i, k)), place(i, k))
-    for i, k, x in all_:
-        if place(i, k) != first[of[x]]:
-            gone[i].add(k)
+    for i, t, k, x in all_:
+        first[of[x]] = min(first.get(of[x], place(i, t, k)), place(i, t, k))
+    for i, t, k, x in all_:
+        if place(i, t, k) != first[of[x]]:
+            gone[i, t].add(k)
     return gone
 
 
 def test_lines_of_awkward_rows_by_code_points(spark):
     rows = awkward()
-    got = lines.deduplicated(frame(spark, rows), drop_empty=False).collect()
+    got = lines.deduplicated(frame(spark, rows), least_words=0).collect()
     gone = brute(rows)
-    left = lambda i, t: t if t is None or not gone[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+    left = lambda i, t: t if t is None or not gone[i, t] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])
     assert sorted(repr((r.doc_id, r.text)) for r in got) == sorted(repr((i, left(i, t))) for i, t, _ in rows)
