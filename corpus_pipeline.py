@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one line of each component of near-equal lines; n_chars follows the text."""
-    left = lines.deduplicated(docs)
+    """Keeps one line of each component of near-equal lines; n_chars follows the text. What is left of a document with fewer
+    words than the base rule asks for goes: its lines live on elsewhere, and as a stub it would hide from near_dedup."""
+    left = lines.deduplicated(docs, least_words=quality.LEAST_WORDS)
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
