@@ -10,15 +10,20 @@ LIMITS = {"HOSE": 0.07, "HNX": 0.10, "UPCOM": 0.15}
 ANY_VENUE = 0.30
 
 
+def sane() -> Column:
+    """Whether a bar can be: its prices above 0 and bounded by high and low, no negative volume."""
+    c = F.col
+    return (c("high") >= F.greatest("open", "close")) & (c("low") <= F.least("open", "close")) & (c("volume") >= 0) & (F.least("open", "high", "low", "close") > 0)
+
+
 def judged(raw: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
     """Raw bars with `fault`: null, "invalid" (a bar that can't be, or a null in the key), or "duplicate" (the key's
     newest valid row stays). Raw rows are all kept, so that what is canonical can be derived anew."""
     c = F.col
-    sane = (c("high") >= F.greatest("open", "close")) & (c("low") <= F.least("open", "close")) & (c("volume") >= 0) & (F.least("open", "high", "low", "close") > 0)
     whole = F.lit(True)
     for k in key:
         whole = whole & c(k).isNotNull()
-    rows = raw.withColumn("_good", F.coalesce(sane, F.lit(False)) & whole)
+    rows = raw.withColumn("_good", F.coalesce(sane(), F.lit(False)) & whole)
     # Rows that can't be are strewn, so that those with a null key don't meet in one task.
     apart = F.when(~F.col("_good"), F.xxhash64(*raw.columns))
     turn = F.row_number().over(Window.partitionBy(*key, apart).orderBy(*(F.desc_nulls_last(n) for n in newest)))

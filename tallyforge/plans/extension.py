@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tallyforge.functions import codes, settings
 from tallyforge.operators import directory, ingest, lifecycle, market, research
 from tallyforge.plans.catalog import _BARS, _I, _ORDERED, _query, daily, instruments
+from tallyforge.sources import files
 from tallyforge.sources.tables import table_of
+from tallyforge.streaming import ingest as stream_ingest
 
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -65,6 +67,19 @@ def _(s, d):
     return _judged(s, d).select("order_key", "line", "supplier", "fault")
 
 
+@_query("stream_ingest", f"SELECT order_key, line, supplier, fault FROM {_JUDGED}")
+def _(s, d):
+    """The same rows as ingest_faults, as files that come in two goes of a stream, one file a batch."""
+    raw = table_of(s, d, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in _RAW.items()))
+    folder = files.work_folder(s, "ingest")
+    to = stream_ingest.Ingest(folder, raw.schema, ("instrument", "start"), ("order_key", "line", "supplier"))
+    for go in range(2):
+        half = raw.filter(F.pmod(F.xxhash64("order_key", "line"), F.lit(2)) == go).withColumn("file", F.pmod("order_key", F.lit(2)))
+        half.repartition(2, "file").drop("file").write.mode("append").parquet(f"{folder}/inbox")
+        to.start(s.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")).awaitTermination()
+    return to.judged(s).select("order_key", "line", "supplier", "fault")
+
+
 @_query("lineage", "SELECT n_nationkey, n_name, 'nations' AS source, TIMESTAMP '2024-01-01 12:00:00' AS ingested_at, 'v1' AS validation_version, 't2' AS transformation_version FROM nation")
 def _(s, d):
     rows = table_of(s, d, "nation").select("n_nationkey", "n_name")
