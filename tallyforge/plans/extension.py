@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import codes, settings
-from tallyforge.operators import directory, ingest, lifecycle, market, research
+from tallyforge.operators import directory, ingest, lifecycle, market, portfolio, research
 from tallyforge.plans.catalog import _BARS, _I, _ORDERED, _query, daily, instruments
-from tallyforge.sources import files
+from tallyforge.sources import files, provider
 from tallyforge.sources.tables import table_of
 from tallyforge.streaming import ingest as stream_ingest
 
@@ -230,3 +230,59 @@ def _(s, d):
         "s_suppkey", codes.is_utc_text(of(4, "2024-01-01T00:00:00Z", "2024-01-01T00:00:00+00:00", "2024-01-01T00:00:00+07:00", "2024-01-01T00:00:00")).alias("utc"), codes.is_time_zone(of(3, "Asia/Ho_Chi_Minh", "asia/nowhere", "")).alias("zone"),
         codes.is_nil(of(5, codes.NIL_UUID, "1", "2", "3", "4")).alias("nil"), settings.without_trailing_slash(F.concat(F.lit("http://"), F.replace("s_name", F.lit("#"), F.lit("")), F.lit("//"))).alias("url"),
         F.coalesce(codes.number(of(4, "Unspecified", "Equity", "Bond", "bond"), codes.ASSET_TYPES), F.lit(-1)).alias("asset_type"))
+
+
+#: Order lines as trades, with an even line as a sale.
+_TRADES = """(SELECT l_partkey AS instrument, l_shipdate AS ts, l_orderkey * 8 + l_linenumber AS trade, CAST(CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS INTEGER) AS side,
+ CAST(l_quantity AS BIGINT) AS quantity, CAST(round(l_extendedprice * 100) AS BIGINT) AS price FROM lineitem)"""
+
+
+def trades(s: SparkSession, d: str) -> DataFrame:
+    return table_of(s, d, "lineitem").selectExpr("l_partkey AS instrument", "l_shipdate AS at", "l_orderkey * 8 + l_linenumber AS trade", "CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS side", "CAST(l_quantity AS BIGINT) AS quantity", "CAST(round(l_extendedprice * 100) AS BIGINT) AS price")
+
+
+@_query("profit_by_lots", f"""
+WITH t AS (SELECT *, sum(quantity) OVER (PARTITION BY instrument, side ORDER BY ts, trade) AS upto FROM {_TRADES}),
+ends AS (SELECT instrument, coalesce(sum(quantity) FILTER (WHERE side = 1), 0) AS bought, coalesce(sum(quantity) FILTER (WHERE side = -1), 0) AS sold, arg_max(price, row(ts, trade)) AS mark FROM {_TRADES} GROUP BY 1),
+met AS (SELECT b.instrument, (least(b.upto, s.upto) - greatest(b.upto - b.quantity, s.upto - s.quantity)) * (s.price - b.price) AS gain FROM t b JOIN t s ON b.side = 1 AND s.side = -1 AND b.instrument = s.instrument AND b.upto > s.upto - s.quantity AND s.upto > b.upto - b.quantity),
+realised AS (SELECT instrument, sum(gain) AS gain FROM met GROUP BY 1),
+unrealised AS (SELECT instrument, sum(greatest(0, upto - greatest(CASE WHEN side = 1 THEN sold ELSE bought END, upto - quantity)) * side * (mark - price)) AS gain FROM t JOIN ends USING (instrument) GROUP BY 1)
+SELECT instrument, CAST(coalesce(r.gain, 0) AS BIGINT) AS realised, CAST(u.gain AS BIGINT) AS unrealised, CAST(coalesce(r.gain, 0) + u.gain AS BIGINT) AS total, CAST(bought - sold AS BIGINT) AS open_quantity
+FROM ends JOIN unrealised u USING (instrument) LEFT JOIN realised r USING (instrument)""")
+def _(s, d):
+    return portfolio.profit(trades(s, d))
+
+
+#: Daily bars of suppliers' lines at their unit prices.
+_DAYS = """(SELECT l_suppkey AS instrument, date_trunc('day', l_shipdate) AS start, arg_min(p, row(l_shipdate, k)) AS open, max(p) AS high, min(p) AS low, arg_max(p, row(l_shipdate, k)) AS close, count(*) AS volume
+ FROM (SELECT *, l_extendedprice / l_quantity AS p, l_orderkey * 8 + l_linenumber AS k FROM lineitem) GROUP BY ALL)"""
+
+
+def line_days(s: SparkSession, d: str) -> DataFrame:
+    lines = table_of(s, d, "lineitem").selectExpr("l_suppkey AS instrument", "l_shipdate AS ts", "l_orderkey * 8 + l_linenumber AS tick_id", "l_extendedprice / l_quantity AS price")
+    return market.bars(lines).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@_query("funnel", f"""
+WITH days AS (SELECT * FROM {_DAYS}),
+months AS (SELECT instrument, date_trunc('month', start) AS month_start, arg_max(close, start) > arg_min(open, start) AS month_up FROM days GROUP BY ALL),
+weeks AS (SELECT instrument, date_trunc('week', start) AS week_start, arg_max(close, start) / nullif(arg_min(open, start), 0) AS gain FROM days GROUP BY ALL),
+placed AS (SELECT instrument, week_start + INTERVAL 7 DAY AS ended, week_start, CAST(rank() OVER (PARTITION BY week_start ORDER BY gain DESC NULLS LAST) AS INTEGER) AS week_place FROM weeks),
+linked AS (SELECT p.*, month_start, month_up FROM placed p ASOF LEFT JOIN (SELECT *, month_start + INTERVAL 1 MONTH AS ended FROM months) m ON m.instrument = p.instrument AND m.ended <= p.ended),
+seen AS (SELECT instrument, start, start + INTERVAL 1 DAY AS ended, close, coalesce(close > lag(close) OVER (PARTITION BY instrument ORDER BY start), false) AS entry FROM days)
+SELECT s.instrument, s.start, s.close, week_start, week_place, month_start, month_up, entry, month_up AND week_place <= 10 AND entry AS chosen
+FROM seen s ASOF JOIN linked b ON b.instrument = s.instrument AND b.ended <= s.ended WHERE month_start IS NOT NULL""")
+def _(s, d):
+    return portfolio.funnel(line_days(s, d))
+
+
+@_query("provider_bars", """
+SELECT l_partkey AS instrument, l_shipdate AS start, CASE WHEN l_discount >= 0.09 THEN -1 ELSE l_extendedprice / l_quantity END AS high, CAST(l_quantity AS BIGINT) AS volume,
+       l_orderkey || '-' || l_linenumber AS reference, CASE WHEN l_discount >= 0.09 THEN 'high' ELSE 'none' END AS error
+FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'""")
+def _(s, d):
+    """A feature's own bounds: the part of a provider's history that was asked for."""
+    provider.register(s)
+    rows = s.read.format("bars").option("provider", "order_lines").option("location", f"{d}/lineitem.parquet").load()
+    asked = rows.filter("start >= TIMESTAMP_NTZ '1995-01-01' AND start < TIMESTAMP_NTZ '1998-01-01'")
+    return asked.select("instrument", "start", F.coalesce("high", F.lit(-1.0)).alias("high"), "volume", "reference", F.coalesce("error", F.lit("none")).alias("error"))
