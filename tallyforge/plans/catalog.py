@@ -98,34 +98,46 @@ def _(s, d):
     return reads.histories(instruments(s, d))
 
 
-@_query("liveness", "SELECT 'Healthy' AS status")
+@_query("database_round_trip", """
+SELECT 'orders' AS name, CASE WHEN EXISTS (SELECT 1 FROM orders) THEN 'Healthy' ELSE 'Unhealthy' END AS status UNION ALL SELECT 'customer', CASE WHEN EXISTS (SELECT 1 FROM customer) THEN 'Healthy' ELSE 'Unhealthy' END
+UNION ALL SELECT 'late_events', CASE WHEN EXISTS (SELECT 1 FROM events WHERE ts > TIMESTAMP '2999-01-01') THEN 'Healthy' ELSE 'Unhealthy' END""")
 def _(s, d):
-    return reads.liveness(s)
+    late = table_of(s, d, "events").filter("ts > TIMESTAMP_NTZ '2999-01-01'")
+    return reads.answering({"orders": table_of(s, d, "orders"), "customer": table_of(s, d, "customer"), "late_events": late})
 
 
-@_query("database_round_trip", "SELECT CAST(1 AS INTEGER) AS one")
-def _(s, d):
-    return reads.round_trip(s)
+#: Kinds of events stand in for the checks of a service: their number is the time taken.
+_CHECKS = """(SELECT name, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS place, CASE n % 3 WHEN 0 THEN 'Unhealthy' WHEN 1 THEN 'Degraded' ELSE 'Healthy' END AS status, CAST(n AS DOUBLE) AS duration,
+ CASE WHEN n % 3 = 0 THEN 'no answer' END AS description, name <> 'click' AS ready FROM (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1))"""
 
 
-_CHECKS = "name string, place int, status string, duration_ms double, description string, tags array<string>"
-_CHECK_ROWS = [("self", 1, "Healthy", 0.5, "running", ["live"]), ("postgres", 2, "Healthy", 8.0, None, ["ready"]), ("redis", 3, "Unhealthy", 2.5, "no answer", ["ready"])]
+def checks(s: SparkSession, d: str) -> DataFrame:
+    n = table_of(s, d, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    state = F.when(F.col("n") % 3 == 0, "Unhealthy").when(F.col("n") % 3 == 1, "Degraded").otherwise("Healthy")
+    tags = F.when(F.col("name") != "click", F.array(F.lit("ready"))).otherwise(F.array(F.lit("live")))
+    return n.select("name", F.col("name").alias("place"), state.alias("status"), F.col("n").cast("double").alias("duration_ms"), F.when(F.col("n") % 3 == 0, "no answer").alias("description"), tags.alias("tags"))
 
 
-@_query("checks_by_tag", "SELECT * FROM (VALUES ('postgres', 'Healthy'), ('redis', 'Unhealthy')) t(name, status)")
+@_query("checks_by_tag", f"SELECT name, status FROM {_CHECKS} WHERE ready")
 def _(s, d):
-    return status.tagged(s.createDataFrame(_CHECK_ROWS, _CHECKS), "ready").select("name", "status")
+    return status.tagged(checks(s, d), "ready").select("name", "status")
 
 
-@_query("status_report", """SELECT '{"status":"Unhealthy","totalDurationMs":10.5,"checks":[{"name":"postgres","status":"Healthy","durationMs":8.0},{"name":"redis","status":"Unhealthy","durationMs":2.5,"description":"no answer"}]}' AS json""")
+@_query("status_report", f"""
+SELECT '{{"status":"' || CASE min(CASE status WHEN 'Unhealthy' THEN 0 WHEN 'Degraded' THEN 1 ELSE 2 END) WHEN 0 THEN 'Unhealthy' WHEN 1 THEN 'Degraded' ELSE 'Healthy' END || '","totalDurationMs":' || sum(duration) || ',"checks":[' ||
+ string_agg('{{"name":"' || name || '","status":"' || status || '","durationMs":' || duration || coalesce(',"description":"' || description || '"', '') || '}}', ',' ORDER BY place) || ']}}' AS json
+FROM {_CHECKS} WHERE ready""")
 def _(s, d):
-    return status.report(status.tagged(s.createDataFrame(_CHECK_ROWS, _CHECKS), "ready"))
+    return status.report(status.tagged(checks(s, d), "ready"))
 
 
-@_query("service_status", "SELECT * FROM (VALUES ('postgres', 'online', NULL), ('redis', 'offline', 'no answer'), ('queue', 'unknown', NULL)) t(service, status, detail)")
+@_query("service_status", f"""
+SELECT service, CASE status WHEN 'Healthy' THEN 'online' WHEN 'Degraded' THEN 'degraded' WHEN 'Unhealthy' THEN 'offline' ELSE 'unknown' END AS status, description AS detail
+FROM (SELECT DISTINCT event_type AS service FROM events UNION SELECT 'queue') LEFT JOIN {_CHECKS} ON name = service""")
 def _(s, d):
-    made = status.report(s.createDataFrame(_CHECK_ROWS, _CHECKS)).withColumn("live", F.lit(True))
-    return status.services(status.parsed(made), ["postgres", "redis", "queue"])
+    made = status.report(checks(s, d)).withColumn("live", F.lit(True))
+    names = ["queue", *sorted(r.event_type for r in table_of(s, d, "events").select("event_type").distinct().collect())]
+    return status.services(status.parsed(made), names)
 
 
 @_query("duplicate_ids", f"SELECT id, count(*) AS n FROM {_I} GROUP BY ALL HAVING count(*) > 1")
