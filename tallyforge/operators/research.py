@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.running import running
+
 
 def adjusted(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """bars with `factor`, the product of the factors (over 0) of all actions (instrument, ex_start, factor) after them,
@@ -38,13 +40,36 @@ def ratios(statements: DataFrame) -> DataFrame:
     return rows.withColumns(made).drop("_cap", "_invested", "_after_tax", "_value")
 
 
-def against_sector(rows: DataFrame, value: str, *by: str) -> DataFrame:
+#: Ranges of values into which a sector is cut.
+RANGES = 64
+
+
+def against_sector(rows: DataFrame, value: str, *by: str, ranges: int = RANGES) -> DataFrame:
     """rows with a value, and beside it the `median` of its sector (and of what else `by` names) and `percentile`, the
-    share of the others there that are lower (0 where there is no other)."""
-    within = Window.partitionBy(*by)
+    share of the others there that are lower (0 where there is no other).
+
+    No task holds a sector: equal values are counted before they meet, a sector is cut into ranges of about equal counts,
+    and a value's rank is the count of the ranges before its own and of the values before it there. A median is what stands
+    at the middle ranks.
+    """
     some = rows.filter(F.col(value).isNotNull())
-    middle = some.groupBy(*by).agg(F.median(value).alias("median"))
-    return some.withColumn("percentile", F.percent_rank().over(within.orderBy(value))).join(middle, list(by))
+    counts = some.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = some.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.percentile_approx(value, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), ranges * 8).alias("_cuts"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    placed = counts.alias("l").join(cuts.alias("r"), same).select("l.*", "_all", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
+    # A null among `by` is a sector of its own; a struct of the columns compares as equal where they are null alike.
+    ranked = running(placed.withColumn("_by", F.to_json(F.struct(*by), {"ignoreNullFields": "false"})), ["_by"], F.col("_range"), ["_v"], {"_before": ("sum", F.col("_n"))}, own=False)
+    before = F.coalesce("_before", F.lit(0))
+    ranked = ranked.select("_by", "_v", "_n", "_all", before.alias("_before"))
+    middle = [F.floor((F.col("_all") - 1) / 2), F.ceil((F.col("_all") - 1) / 2)]
+    holds = [(F.col("_before") <= m) & (m < F.col("_before") + F.col("_n")) for m in middle]
+    medians = ranked.filter(holds[0] | holds[1]).groupBy("_by").agg(F.avg("_v").alias("median"))
+    share = F.when(F.col("_all") > 1, F.col("_before") / (F.col("_all") - 1)).otherwise(0.0)
+    known = ranked.join(medians, "_by").select("_by", "_v", share.alias("percentile"), "median")
+    own = some.withColumns({"_by": F.to_json(F.struct(*by), {"ignoreNullFields": "false"}), "_v": F.col(value)})
+    return own.join(known, ["_by", "_v"]).select(*rows.columns, "percentile", "median")
 
 
 def factors(bars: DataFrame, length: int = 20) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import codes, settings
-from tallyforge.operators import directory, ingest, lifecycle, market, portfolio, research
+from tallyforge.operators import bitemporal, directory, ingest, lifecycle, market, portfolio, research
 from tallyforge.plans.catalog import _BARS, _I, _ORDERED, _query, daily, instruments
 from tallyforge.sources import files, provider
 from tallyforge.sources.tables import table_of
@@ -286,3 +288,29 @@ def _(s, d):
     rows = s.read.format("bars").option("provider", "order_lines").option("location", f"{d}/lineitem.parquet").load()
     asked = rows.filter("start >= TIMESTAMP_NTZ '1995-01-01' AND start < TIMESTAMP_NTZ '1998-01-01'")
     return asked.select("instrument", "start", F.coalesce("high", F.lit(-1.0)).alias("high"), "volume", "reference", F.coalesce("error", F.lit("none")).alias("error"))
+
+
+#: Events as corporate actions of a week: those of one week restate each other, some withdraw, and all are learnt later.
+_VERSIONS = """(SELECT user_id AS instrument, date_trunc('week', ts) AS ex_start, ts + to_days(CAST(event_id % 9 AS INTEGER)) AS known_at, event_id AS version,
+ 1.0 / (1.1 + (event_id % 3) * 0.13) AS factor, event_id % 4 = 0 AS withdrawn, value FROM events WHERE event_id % 2 = 0)"""
+_MOMENTS = [dt.datetime(2024, 1, 12), dt.datetime(2024, 1, 25, 12)]
+_AT = "(SELECT unnest([TIMESTAMP '2024-01-12 00:00:00', TIMESTAMP '2024-01-25 12:00:00']) AS moment)"
+_KNOWN = f"""(SELECT moment, instrument, ex_start, arg_max(row(withdrawn, factor, value), row(known_at, version)) AS last FROM {_AT} JOIN {_VERSIONS} ON known_at <= moment GROUP BY 1, 2, 3)"""
+
+
+def versions(s: SparkSession, d: str) -> DataFrame:
+    return table_of(s, d, "events").filter("event_id % 2 = 0").selectExpr("user_id AS instrument", "CAST(date_trunc('week', ts) AS timestamp_ntz) AS ex_start", "ts + make_dt_interval(CAST(event_id % 9 AS INT)) AS known_at", "event_id AS version", "1.0D / (1.1D + (event_id % 3) * 0.13D) AS factor", "event_id % 4 = 0 AS withdrawn", "value")
+
+
+@_query("bars_as_known", f"""
+SELECT b.instrument, b.start, moment, round(any_value(b.close) * exp(coalesce(sum(ln(factor)), 0)), 4) AS adjusted_close
+FROM {_BARS} b JOIN {_AT} ON b.start < moment LEFT JOIN (SELECT moment AS m, instrument, ex_start, last[2] AS factor FROM {_KNOWN} WHERE NOT last[1]) k ON k.m = moment AND k.instrument = b.instrument AND k.ex_start > b.start GROUP BY ALL""")
+def _(s, d):
+    got = bitemporal.adjusted_as_known(daily(s, d), versions(s, d), _MOMENTS)
+    return got.select("instrument", "start", "moment", F.round("adjusted_close", 4).alias("adjusted_close"))
+
+
+@_query("statements_as_known", f"""
+SELECT moment, instrument, ex_start AS period, last[3] AS value FROM {_KNOWN} WHERE NOT last[1] QUALIFY row_number() OVER (PARTITION BY moment, instrument ORDER BY ex_start DESC) = 1""")
+def _(s, d):
+    return bitemporal.published(versions(s, d).withColumnRenamed("ex_start", "period"), _MOMENTS, ["value"])
