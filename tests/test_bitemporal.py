@@ -9,7 +9,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tallyforge.operators import bitemporal, research
+from tallyforge.operators import bitemporal, directory, research
 
 DAY = dt.datetime(2024, 1, 1)
 ACTION = "instrument string, ex_start timestamp_ntz, known_at timestamp_ntz, version bigint, factor double, withdrawn boolean"
@@ -71,3 +71,26 @@ def test_ranks_and_medians_of_sectors(spark):
                 share = sum(x < v for x in own) / (len(own) - 1) if len(own) > 1 else 0.0
                 assert (got[k].median, got[k].percentile) == (statistics.median(own), share)
     assert research.against_sector(df.filter(F.lit(False)), "v", "sector").isEmpty()
+
+
+def test_aliases_that_overlap_nest_and_meet(spark):
+    rng = random.Random(3)
+    ranges = []
+    for k in range(300):
+        a = rng.randint(0, 120)
+        ranges.append((rng.choice(["X", " x", "y", "Z z", None, ""]), rng.randint(1, 40), None if rng.random() < 0.03 else day(a), None if rng.random() < 0.1 else day(a + rng.randint(-2, 30))))
+    asked = [(k, rng.choice(["x", "Y ", "z Z", "q", None, " "]), None if rng.random() < 0.05 else day(rng.randint(-5, 160))) for k in range(400)]
+    asked += asked[:20]  # repeated mentions stay rows of their own
+    aliases = spark.createDataFrame(ranges, "alias string, instrument int, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    got = directory.resolved(spark.createDataFrame(asked, "mention int, alias string, at timestamp_ntz").repartition(3), aliases)
+
+    def plain(alias, at):
+        key = (alias or "").strip().upper()
+        held = [(a, -i) for n, i, a, b in ranges if key and at and a and (n or "").strip().upper() == key and a <= at and (b is None or at < b)]
+        return -max(held)[1] if held else None
+
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr((m, n, at, plain(n, at))) for m, n, at in asked)
+    stretches = defaultdict(list)
+    for r in directory.holders(aliases).orderBy("key", "begun").collect():
+        stretches[r.key].append((r.begun, r.instrument))
+    assert all(a[0] < b[0] and a[1] != b[1] for x in stretches.values() for a, b in zip(x, x[1:], strict=False))
