@@ -104,6 +104,11 @@ def ordered_uuid(at: Column, *seed: Column) -> Column:
     return F.concat(F.substring(millis, 1, 8), F.lit("-"), F.substring(millis, 9, 4), F.lit("-7"), F.substring(digest, 1, 3), F.lit("-"), variant, F.substring(digest, 5, 3), F.lit("-"), F.substring(digest, 9, 12))
 
 
+def utc_now(clock: Column | None = None) -> Column:
+    """The current instant, the same for all rows of a query, or that of a clock that is given (for tests and replays)."""
+    return F.current_timestamp() if clock is None else clock.cast("timestamp")
+
+
 def is_utc_text(x: Column) -> Column:
     """Whether an instant's text ends in Z or a zero offset. A parsed timestamp has no offset left to check."""
     return F.coalesce(x.rlike(r"(?:[Zz]|[+-]00:?00)\z"), F.lit(False))

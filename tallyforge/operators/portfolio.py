@@ -1,4 +1,4 @@
-"""Profit by lots, and the funnel over several timeframes (an extension with definitions of our own).
+"""Profit by lots, the funnel over several timeframes, and curves of portfolios (an extension with definitions of our own).
 
 Trades: (instrument, at, trade, side, quantity, price) with side 1 for a purchase and -1 for a sale, whole quantities above
 0, and prices in the smallest unit of money as whole numbers. Bars: (instrument, start, open, high, low, close, volume).
@@ -72,3 +72,56 @@ def funnel(days: DataFrame, *, best: int = 10) -> DataFrame:
     rows = as_of(seen, weeks, "instrument", "at", ["week_start", "week_place", "month_start", "month_up"], "week_start")
     chosen = F.col("month_up") & (F.col("week_place") <= best) & F.col("entry")
     return rows.filter("month_start IS NOT NULL").select("instrument", "start", "close", "week_start", "week_place", "month_start", "month_up", "entry", chosen.alias("chosen"))
+
+
+def _changes(weights: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights by (portfolio, at, instrument), and (portfolio, at, prior): rebalancings and the one before each."""
+    own = weights.dropna(subset=["portfolio", "at", "instrument", "weight"]).groupBy("portfolio", "at", "instrument").agg(F.sum("weight").alias("weight"))
+    times = own.select("portfolio", "at").distinct()
+    return own, times.withColumn("prior", F.lag("at").over(Window.partitionBy("portfolio").orderBy("at")))
+
+
+def turnover(weights: DataFrame) -> DataFrame:
+    """(portfolio, at, turnover): at each rebalancing, the sum of what weights change by, those of instruments that come or
+    go included."""
+    own, times = _changes(weights)
+    new = own.select("portfolio", "at", "instrument", "weight")
+    old = times.filter("prior IS NOT NULL").join(own.withColumnRenamed("at", "prior"), ["portfolio", "prior"]).select("portfolio", "at", "instrument", F.col("weight").alias("before"))
+    both = new.join(old, ["portfolio", "at", "instrument"], "full_outer")
+    change = F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))
+    return both.groupBy("portfolio", "at").agg(F.sum(change).alias("turnover"))
+
+
+def curve(weights: DataFrame, rets: DataFrame) -> DataFrame:
+    """(portfolio, start, exposure, turnover, ret, value, drawdown) of each portfolio and session from its first rebalancing on.
+
+    weights: (portfolio, at, instrument, weight), all of a portfolio's holdings at each rebalancing; they hold from the
+    session of `at` on until the next one. rets: (instrument, start, ret); a holding without one earns nothing that day. The
+    value starts at 1 and compounds; a day that loses all or more leaves 0 from then on.
+    """
+    own, times = _changes(weights)
+    sessions = rets.select("start").distinct()
+    spans = times.select("portfolio", "at", F.lead("at").over(Window.partitionBy("portfolio").orderBy("at")).alias("until"))
+    # Days meet a portfolio's rebalancings in one sorted pass, by `as_of`.
+    first = times.groupBy("portfolio").agg(F.min("at").alias("since"))
+    last = sessions.agg(F.max("start")).first()[0]
+    ahead = F.sequence("since", F.lit(last).cast(weights.schema["at"].dataType), F.expr("INTERVAL '1' DAY"))
+    days = first.filter(F.col("since") <= F.lit(last).cast(weights.schema["at"].dataType)).select("portfolio", F.explode(ahead).alias("start"))
+    days = days.join(sessions, "start", "left_semi")
+    marked = as_of(days.select("portfolio", F.col("start").alias("at"), "start"), spans.select("portfolio", "at", F.col("at").alias("held_since")), "portfolio", "at", ["held_since"], "held_since")
+    held = marked.select("portfolio", "start", F.col("held_since").alias("at")).join(own, ["portfolio", "at"]).join(rets, ["instrument", "start"], "left")
+    daily = held.groupBy("portfolio", "start").agg(F.sum(F.abs("weight")).alias("exposure"), F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("ret"), F.max("at").alias("at"))
+    moved = turnover(weights)
+    begun = F.row_number().over(Window.partitionBy("portfolio", "at").orderBy("start")) == 1
+    rows = daily.join(moved, ["portfolio", "at"]).withColumn("turnover", F.when(begun, F.col("turnover")).otherwise(0.0))
+    along = running(rows, ["portfolio"], F.date_trunc("year", "start"), ["start"], {"log": ("sum", F.log1p(F.greatest("ret", F.lit(-1.0) + 1e-12))), "lost": ("max", (F.col("ret") <= -1).cast("int"))})
+    valued = along.withColumn("value", F.when(F.col("lost") == 1, 0.0).otherwise(F.exp("log")))
+    peaks = running(valued, ["portfolio"], F.date_trunc("year", "start"), ["start"], {"peak": ("max", F.greatest(F.col("value"), F.lit(1.0)))})
+    return peaks.select("portfolio", "start", "exposure", "turnover", "ret", "value", (F.col("value") / F.col("peak") - 1).alias("drawdown"))
+
+
+def calmar(curves: DataFrame, *, days_a_year: int = 365) -> DataFrame:
+    """(portfolio, calmar): the yearly growth of a curve by its deepest drawdown; null without one."""
+    whole = curves.groupBy("portfolio").agg(F.max_by("value", "start").alias("end"), F.min("drawdown").alias("deepest"), F.datediff(F.max("start"), F.min("start")).alias("days"))
+    growth = F.pow(F.col("end"), F.lit(float(days_a_year)) / F.nullif(F.col("days"), F.lit(0))) - 1
+    return whole.select("portfolio", (growth / F.abs(F.nullif(F.col("deepest"), F.lit(0.0)))).alias("calmar"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import codes, settings
-from tallyforge.operators import bitemporal, directory, ingest, lifecycle, market, portfolio, research
+from tallyforge.operators import bitemporal, directory, ingest, lifecycle, market, portfolio, research, search_index
 from tallyforge.plans.catalog import _BARS, _I, _ORDERED, _query, daily, instruments
-from tallyforge.sources import files, provider
+from tallyforge.sources import experiments, files, provider
 from tallyforge.sources.tables import table_of
 from tallyforge.streaming import ingest as stream_ingest
 
@@ -314,3 +314,61 @@ def _(s, d):
 SELECT moment, instrument, ex_start AS period, last[3] AS value FROM {_KNOWN} WHERE NOT last[1] QUALIFY row_number() OVER (PARTITION BY moment, instrument ORDER BY ex_start DESC) = 1""")
 def _(s, d):
     return bitemporal.published(versions(s, d).withColumnRenamed("ex_start", "period"), _MOMENTS, ["value"])
+
+
+@_query("indexed_search", """
+SELECT 'promo' AS asked, p_partkey, CAST(CASE WHEN p_type = 'PROMO' THEN 0 WHEN starts_with(p_type, 'PROMO') THEN 1 WHEN starts_with(upper(p_name), 'PROMO') THEN 2 ELSE 3 END AS INTEGER) AS place FROM part WHERE starts_with(p_type, 'PROMO') OR contains(upper(p_name), 'PROMO')
+UNION ALL SELECT 'wid', p_partkey, CAST(CASE WHEN starts_with(p_name, 'wid') THEN 2 ELSE 3 END AS INTEGER) FROM part WHERE contains(p_name, 'wid')
+UNION ALL SELECT '7', p_partkey, CAST(CASE WHEN starts_with(p_name, '7') THEN 2 ELSE 3 END AS INTEGER) FROM part WHERE contains(p_name, '7')""")
+def _(s, d):
+    """The index is written once; each search reads its own posting lists."""
+    folder = files.work_folder(s, "search")
+    search_index.build(table_of(s, d, "part"), folder, key="p_partkey", code="p_type", name="p_name")
+    found = [search_index.search(s, folder, text, key="p_partkey", code="p_type", name="p_name").select(F.lit(text.strip()).alias("asked"), "p_partkey", "place") for text in (" promo", "wid", "7 ")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+#: Some events as rebalancings of five portfolios: what a portfolio has of one day is all that it then holds.
+_WEIGHTS = """(SELECT user_id % 5 AS portfolio, date_trunc('day', ts) AS at_, user_id AS instrument, sum((event_id % 9 + 1) / 20.0) AS weight FROM events WHERE event_id % 10 = 3 GROUP BY 1, 2, 3)"""
+_RETS = f"(SELECT instrument, start, ret FROM (SELECT instrument, start, close / nullif(lag(close) OVER ({_ORDERED}), 0) - 1 AS ret FROM {_BARS}) WHERE ret IS NOT NULL)"
+_CURVE = f"""
+WITH w AS (SELECT * FROM {_WEIGHTS}), r AS (SELECT instrument, start, greatest(least(ret, 0.5), -0.3) AS ret FROM {_RETS}),
+times AS (SELECT portfolio, at_, lag(at_) OVER (PARTITION BY portfolio ORDER BY at_) AS prior FROM (SELECT DISTINCT portfolio, at_ FROM w)),
+old AS (SELECT t.portfolio, t.at_, instrument, weight AS before FROM times t JOIN w ON w.portfolio = t.portfolio AND w.at_ = t.prior),
+moved AS (SELECT portfolio, at_, sum(abs(coalesce(weight, 0) - coalesce(before, 0))) AS turnover FROM w FULL JOIN old USING (portfolio, at_, instrument) GROUP BY 1, 2),
+days AS (SELECT d.start, t.portfolio, max(t.at_) AS at_ FROM (SELECT DISTINCT start FROM r) d JOIN times t ON t.at_ <= d.start GROUP BY 1, 2),
+daily AS (SELECT portfolio, start, at_, sum(abs(weight)) AS exposure, sum(weight * coalesce(ret, 0)) AS ret FROM days JOIN w USING (portfolio, at_) LEFT JOIN r USING (instrument, start) GROUP BY 1, 2, 3),
+valued AS (SELECT *, CASE WHEN max(CASE WHEN ret <= -1 THEN 1 ELSE 0 END) OVER o = 1 THEN 0 ELSE exp(sum(ln(greatest(1 + ret, 1e-12))) OVER o) END AS value, row_number() OVER (PARTITION BY portfolio, at_ ORDER BY start) AS turn FROM daily WINDOW o AS (PARTITION BY portfolio ORDER BY start)),
+told AS (SELECT portfolio, start, exposure, CASE WHEN turn = 1 THEN turnover ELSE 0 END AS turnover, ret, value, value / max(greatest(value, 1)) OVER (PARTITION BY portfolio ORDER BY start) - 1 AS drawdown FROM valued JOIN moved USING (portfolio, at_))"""
+
+
+def _curves(s: SparkSession, d: str) -> DataFrame:
+    some = table_of(s, d, "events").filter("event_id % 10 = 3")
+    weights = some.selectExpr("user_id % 5 AS portfolio", "CAST(date_trunc('day', ts) AS timestamp_ntz) AS at", "user_id AS instrument", "(event_id % 9 + 1) / 20.0D AS weight")
+    rets = market.returns(daily(s, d)).withColumn("ret", F.greatest(F.least("ret", F.lit(0.5)), F.lit(-0.3)))
+    return portfolio.curve(weights, rets)
+
+
+@_query("equity_curve", _CURVE + " SELECT portfolio, start, round(exposure, 6) AS exposure, round(turnover, 6) AS turnover, round(ret, 6) AS ret, round(value, 6) AS value, round(drawdown, 6) AS drawdown FROM told")
+def _(s, d):
+    return _rounded(_curves(s, d), "exposure", "turnover", "ret", "value", "drawdown")
+
+
+@_query("calmar", _CURVE + " SELECT portfolio, round((pow(arg_max(value, start), 30.0 / nullif(date_diff('day', min(start), max(start)), 0)) - 1) / abs(nullif(min(drawdown), 0)), 4) AS calmar FROM told GROUP BY 1")
+def _(s, d):
+    """The test events cover a month, which stands for the year."""
+    return portfolio.calmar(_curves(s, d), days_a_year=30).withColumn("calmar", F.round("calmar", 4))
+
+
+@_query("experiment_records", f"""
+SELECT length, count(gain) AS n, round(avg(gain), 6) AS mean
+FROM (SELECT 3 AS length, close / nullif(lag(close, 3) OVER ({_ORDERED}), 0) - 1 AS gain FROM {_BARS} UNION ALL SELECT 5, close / nullif(lag(close, 5) OVER ({_ORDERED}), 0) - 1 FROM {_BARS}) GROUP BY 1""")
+def _(s, d):
+    """Gains over 3, 5 and again 3 bars: the third run adds no record."""
+    folder, bars = files.work_folder(s, "experiments"), daily(s, d)
+    inputs = {"bars": experiments.version(bars)}
+    for length in (3, 5, 3):
+        before = F.lag("close", length).over(Window.partitionBy("instrument").orderBy("start"))
+        gains = bars.select((F.col("close") / F.nullif(before, F.lit(0.0)) - 1).alias("gain"))
+        experiments.recorded(s, folder, "gains", {"length": length}, inputs, lambda x=gains, n=length: x.agg(F.count("gain").alias("n"), F.avg("gain").alias("mean")).withColumn("length", F.lit(n)))
+    return experiments.records(s, folder).select("length", "n", F.round("mean", 6).alias("mean"))

@@ -18,6 +18,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def renamed(spark: SparkSession, draft: str, path: str) -> bool:
+    """Moves a folder to a path that must not exist yet; otherwise removes it. Whether it was moved."""
+    files, old = _at(spark, draft)
+    _, new = _at(spark, path)
+    files.mkdirs(new.getParent())
+    if not files.exists(new) and files.rename(old, new):
+        return True
+    files.delete(old, True)
+    return False
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, under spark.checkpoint.dir; it goes when the application ends. Only a
     local session may lack that setting."""

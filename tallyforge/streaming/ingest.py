@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyforge.functions.codes import utc_now
 from tallyforge.operators.ingest import sane, with_lineage
 from tallyforge.sources import files
 
@@ -94,7 +95,7 @@ class Ingest:
 
     def batch(self, rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        told = with_lineage(rows.select(self.shape.names), self.source, F.current_timestamp(), validation=self.validation, transformation=self.transformation)
+        told = with_lineage(rows.select(self.shape.names), self.source, utc_now(), validation=self.validation, transformation=self.transformation)
         raw = self._write(told, "raw", number)
         mark = self._read(spark, "audit", number).agg(F.max("latest")).first()[0]
         first, last = raw.agg(F.min(self.at), F.max(self.at)).first()

@@ -138,3 +138,48 @@ def test_text_that_is_no_number():
     made = provider.bars_of(pa.RecordBatch.from_pydict({n: pa.array(["1", "x", None]) for n in ("instrument", "open", "high", "low", "close", "volume")} | {"start": pa.array(["2024-01-01 00:00:00", "never", None]), "reference": pa.array(["r1", "r2", None])}))
     assert made.column("error").to_pylist() == [None, "close,high,instrument,low,open,start,volume", None]
     assert made.column("open").to_pylist() == [1.0, None, None] and made.column("payload").to_pylist()[0::2] == [None, None]
+
+
+def test_curves_fill_sparse_rebalancings(spark):
+    rng = random.Random(7)
+    weights = [(p, DAY + dt.timedelta(k), i, rng.choice([0.2, -0.1, 0.4])) for p in "pq" for k in (0, 3, 4, 11) for i in "abcd" if rng.random() < 0.6]
+    weights += [("p", DAY, "a", 0.1), (None, DAY, "a", 1.0), ("q", DAY + dt.timedelta(99), "a", 1.0)]
+    rets = [(i, DAY + dt.timedelta(k), rng.uniform(-0.2, 0.2)) for i in "abce" for k in range(-2, 20) if k != 7 and rng.random() < 0.9]
+    rets += [("d", DAY + dt.timedelta(12), -9.0)]
+    w = spark.createDataFrame(weights, "portfolio string, at timestamp_ntz, instrument string, weight double")
+    r = spark.createDataFrame(rets, "instrument string, start timestamp_ntz, ret double")
+    got = {(x.portfolio, x.start): x for x in portfolio.curve(w, r).collect()}
+    of = defaultdict(lambda: defaultdict(float))
+    for p, at, i, x in weights:
+        if p:
+            of[p, at][i] += x
+    earned = {(i, d): x for i, d, x in rets}
+    sessions = sorted({d for _, d, _ in rets})
+    want = {}
+    for p in "pq":
+        times = sorted(at for q, at in of if q == p)
+        value, peak, last = 1.0, 1.0, None
+        for d in sessions:
+            now = max((t for t in times if t <= d), default=None)
+            if now is None:
+                continue
+            held = of[p, now]
+            moved = 0.0
+            if now != last:
+                before = of[p, times[times.index(now) - 1]] if times.index(now) else {}
+                moved = sum(abs(held.get(i, 0) - before.get(i, 0)) for i in {*held, *before})
+            last = now
+            gain = sum(x * earned.get((i, d), 0.0) for i, x in held.items())
+            value = 0.0 if gain <= -1 else value * (1 + gain)
+            peak = max(peak, value)
+            want[p, d] = (sum(map(abs, held.values())), moved, gain, value, value / peak - 1)
+    assert got.keys() == want.keys()
+    for k, x in want.items():
+        assert (got[k].exposure, got[k].turnover, got[k].ret, got[k].value, got[k].drawdown) == pytest.approx(x, abs=1e-9)
+    assert portfolio.curve(w.limit(0), r).isEmpty() and portfolio.curve(w, r.limit(0)).isEmpty()
+
+
+def test_calmar(spark):
+    rows = [("p", DAY + dt.timedelta(k), v, d) for k, v, d in ((0, 1.0, 0.0), (100, 0.8, -0.2), (365, 1.1, 0.0))] + [("q", DAY, 1.0, 0.0)]
+    got = {r.portfolio: r.calmar for r in portfolio.calmar(spark.createDataFrame(rows, "portfolio string, start timestamp_ntz, value double, drawdown double")).collect()}
+    assert got == {"p": pytest.approx(0.5), "q": None}
