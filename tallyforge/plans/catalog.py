@@ -243,6 +243,31 @@ def _(s, d):
     return done.select("id", "state.status", "state.ticker", "state.asset_type", "state.listed_on", "state.delisted_on", of("state"), of("validation"))
 
 
+@_query("lifecycle_names_and_venues", """
+WITH RECURSIVE e AS (
+  SELECT CAST(user_id AS VARCHAR) AS id, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+         DATE '2024-01-01' + CAST(event_id % 50 AS INTEGER) AS day FROM events),
+f(id, n, status, listed_on, name, venue) AS (
+  SELECT id, n, 0, CAST(NULL AS DATE), 'N' || (k % 11), 'v' || (k % 5) FROM e WHERE n = 1
+  UNION ALL
+  SELECT f.id, e.n,
+    CASE WHEN k % 8 = 0 AND status = 0 THEN 1 WHEN k % 8 = 1 AND status = 1 THEN 2 WHEN k % 8 = 2 AND status = 2 THEN 1
+         WHEN k % 8 = 3 AND status IN (1, 2) AND day >= listed_on THEN 3 ELSE status END,
+    CASE WHEN k % 8 = 0 AND status = 0 THEN day ELSE listed_on END,
+    CASE WHEN k % 8 = 4 AND k % 11 <> 0 THEN 'N' || (k % 11) ELSE name END,
+    CASE WHEN k % 8 = 6 AND status <> 3 AND k % 5 <> 0 THEN 'v' || (k % 5) ELSE venue END
+  FROM f JOIN e ON e.id = f.id AND e.n = f.n + 1)
+SELECT id, arg_max(name, n) AS name, arg_max(venue, n) AS exchange_id FROM f GROUP BY id""")
+def _(s, d):
+    """Renames and transfers: those to a blank name or to no venue are refused, and transfers of what is delisted."""
+    k, first = F.col("seq"), F.col("op") == "register"
+    asked = lifecycle_requests(s, d).withColumns({
+        "name": F.when(~first & (k % 11 == 0), F.lit(" \t")).otherwise(F.concat(F.lit(" N"), (k % 11).cast("string"))),
+        "exchange_id": F.when(~first & (k % 5 == 0), F.lit("")).otherwise(F.concat(F.lit("V"), (k % 5).cast("string"), F.lit(" "))),
+    })
+    return lifecycle.states(asked).select("id", "name", "exchange_id")
+
+
 def ticks(s: SparkSession, d: str) -> DataFrame:
     return table_of(s, d, "events").select(F.col("user_id").alias("instrument"), "ts", F.col("event_id").alias("tick_id"), F.col("value").alias("price"))
 
@@ -271,7 +296,7 @@ SELECT user_id AS instrument, time_bucket(INTERVAL {minutes} MINUTE, ts) AS star
         return market.minute_bars(ticks(s, d), minutes).withColumns({"start": F.col("start").cast("timestamp_ntz"), "value": F.round("value", 4)})
 
 
-for _minutes in (5, 15, 30):
+for _minutes in (1, 5, 15, 30, 60):
     _minute_query(_minutes)
 
 
