@@ -125,3 +125,36 @@ def calmar(curves: DataFrame, *, days_a_year: int = 365) -> DataFrame:
     whole = curves.groupBy("portfolio").agg(F.max_by("value", "start").alias("end"), F.min("drawdown").alias("deepest"), F.datediff(F.max("start"), F.min("start")).alias("days"))
     growth = F.pow(F.col("end"), F.lit(float(days_a_year)) / F.nullif(F.col("days"), F.lit(0))) - 1
     return whole.select("portfolio", (growth / F.abs(F.nullif(F.col("deepest"), F.lit(0.0)))).alias("calmar"))
+
+
+#: What may be limited, and whether the value must stay above its bound (else below).
+LIMITS = {"position": False, "sector": False, "leverage": False, "drawdown": True, "daily_loss": True}
+
+
+def limits(holdings: DataFrame, curves: DataFrame, bounds: dict[str, float]) -> DataFrame:
+    """(portfolio, start, limit, value, bound, may_proceed) for each portfolio, day and limit that has a bound.
+
+    holdings: (portfolio, start, instrument, sector, weight); curves: those of `curve`. `position` is the largest weight of an
+    instrument, `sector` the largest sum of weights of a sector, both without sign, `leverage` the exposure, `drawdown` and
+    `daily_loss` are the curve's drawdown and return, bounded by what they may not fall under. A value at its bound is within
+    it; a day without holdings has no position and no sector, and may proceed; an unknown value may not.
+    """
+    if unknown := set(bounds) - set(LIMITS):
+        raise ValueError(f"no such limits: {sorted(unknown)}")
+    key = ["portfolio", "start"]
+    one = holdings.groupBy(*key, "sector", "instrument").agg(F.sum("weight").alias("w"))
+    sectors = one.groupBy(*key, "sector").agg(F.max(F.abs("w")).alias("position"), F.abs(F.sum("w")).alias("sector_sum"))
+    largest = sectors.groupBy(*key).agg(F.max("position").alias("position"), F.max("sector_sum").alias("sector"), F.lit(True).alias("held"))
+    days = curves.select(*key, F.col("exposure").alias("leverage"), "drawdown", F.col("ret").alias("daily_loss")).join(largest, key, "left")
+    days = days.withColumns({c: F.when(F.col("held"), F.col(c)).otherwise(0.0) for c in ("position", "sector")})
+    each = F.array(*(F.struct(F.lit(n).alias("limit"), F.col(n).cast("double").alias("value"), F.lit(float(b)).alias("bound"), F.coalesce(F.col(n) >= b if LIMITS[n] else F.col(n) <= b, F.lit(False)).alias("may_proceed")) for n, b in bounds.items()))
+    return days.select(*key, F.explode(each).alias("x")).select(*key, "x.*")
+
+
+def orders_that_may_proceed(orders: DataFrame, judged: DataFrame) -> DataFrame:
+    """orders (portfolio, at, ...) with `may_proceed`: whether all limits of the last day before the order's own were kept. A
+    portfolio without such a day may proceed."""
+    days = judged.groupBy("portfolio", "start").agg(F.every("may_proceed").alias("may_proceed"))
+    known = days.select("portfolio", F.expr("start + INTERVAL '1' DAY").cast(orders.schema["at"].dataType).alias("at"), "start", "may_proceed")
+    kept = as_of(orders, known, "portfolio", "at", ["may_proceed"], "start")
+    return kept.withColumn("may_proceed", F.coalesce("may_proceed", F.lit(True)))

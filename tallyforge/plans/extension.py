@@ -372,3 +372,30 @@ def _(s, d):
         gains = bars.select((F.col("close") / F.nullif(before, F.lit(0.0)) - 1).alias("gain"))
         experiments.recorded(s, folder, "gains", {"length": length}, inputs, lambda x=gains, n=length: x.agg(F.count("gain").alias("n"), F.avg("gain").alias("mean")).withColumn("length", F.lit(n)))
     return experiments.records(s, folder).select("length", "n", F.round("mean", 6).alias("mean"))
+
+
+_BOUNDS = {"position": 0.42, "sector": 1.22, "leverage": 2.02, "drawdown": -0.25, "daily_loss": -0.1}
+#: Holdings of the curves' first days of a rebalancing, with an instrument's number as its sector.
+_LIMITED = _CURVE + f""",
+held AS (SELECT portfolio, at_ AS start, instrument, instrument % 3 AS sector, weight FROM w),
+largest AS (SELECT portfolio, start, max(p) AS position, max(abs(s)) AS sector FROM (SELECT portfolio, start, sector, max(abs(weight)) AS p, sum(weight) AS s FROM held GROUP BY 1, 2, 3) GROUP BY 1, 2),
+limited AS (SELECT portfolio, start, exposure AS leverage, drawdown, ret AS daily_loss, coalesce(position, 0) AS position, coalesce(sector, 0) AS sector FROM told LEFT JOIN largest USING (portfolio, start)),
+judged AS ({' UNION ALL '.join(f"SELECT portfolio, start, '{n}' AS kind, CAST({n} AS DOUBLE) AS value, CAST({b} AS DOUBLE) AS bound, {n} {'>=' if b < 0 else '<='} {b} AS may_proceed FROM limited" for n, b in _BOUNDS.items())})"""
+
+
+def _limited(s: SparkSession, d: str) -> DataFrame:
+    held = table_of(s, d, "events").filter("event_id % 10 = 3").selectExpr("user_id % 5 AS portfolio", "CAST(date_trunc('day', ts) AS timestamp_ntz) AS start", "user_id AS instrument", "user_id % 3 AS sector", "(event_id % 9 + 1) / 20.0D AS weight")
+    # Sums of twentieths may differ in their last bit by the order of addition, so bounds lie between their multiples.
+    return portfolio.limits(held, _curves(s, d), _BOUNDS)
+
+
+@_query("portfolio_limits", _LIMITED + " SELECT portfolio, start, kind, round(value, 6) AS value, bound, may_proceed FROM judged")
+def _(s, d):
+    return _limited(s, d).withColumnRenamed("limit", "kind").withColumn("value", F.round("value", 6))
+
+
+@_query("orders_within_limits", _LIMITED + """, kept AS (SELECT portfolio, start + INTERVAL 1 DAY AS known, bool_and(may_proceed) AS good FROM judged GROUP BY 1, 2)
+SELECT event_id, coalesce(good, true) AS may_proceed FROM (SELECT event_id, user_id % 5 AS portfolio, ts FROM events) e ASOF LEFT JOIN kept k ON k.portfolio = e.portfolio AND k.known <= e.ts""")
+def _(s, d):
+    asked = table_of(s, d, "events").select((F.col("user_id") % 5).alias("portfolio"), F.col("ts").alias("at"), "event_id")
+    return portfolio.orders_that_may_proceed(asked, _limited(s, d)).select("event_id", "may_proceed")

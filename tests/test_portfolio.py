@@ -183,3 +183,17 @@ def test_calmar(spark):
     rows = [("p", DAY + dt.timedelta(k), v, d) for k, v, d in ((0, 1.0, 0.0), (100, 0.8, -0.2), (365, 1.1, 0.0))] + [("q", DAY, 1.0, 0.0)]
     got = {r.portfolio: r.calmar for r in portfolio.calmar(spark.createDataFrame(rows, "portfolio string, start timestamp_ntz, value double, drawdown double")).collect()}
     assert got == {"p": pytest.approx(0.5), "q": None}
+
+
+def test_limits_say_no(spark):
+    held = spark.createDataFrame([("p", DAY, "a", "s", 0.5), ("p", DAY, "a", "s", 0.1), ("p", DAY, "b", "s", -0.4), ("p", DAY, "c", "t", -0.7)], "portfolio string, start timestamp_ntz, instrument string, sector string, weight double")
+    curves = spark.createDataFrame([("p", DAY, 1.5, -0.1, 0.0), ("p", DAY + dt.timedelta(1), 1.5, -0.3, -0.2), ("q", DAY, None, 0.0, 0.0)], "portfolio string, start timestamp_ntz, exposure double, drawdown double, ret double")
+    made = portfolio.limits(held, curves, {"position": 0.7, "sector": 0.6, "leverage": 1.5, "drawdown": -0.2, "daily_loss": -0.2})
+    got = {(r.portfolio, (r.start - DAY).days, r["limit"]): (r.value, r.may_proceed) for r in made.collect()}
+    assert got["p", 0, "position"] == (0.7, True) and got["p", 0, "sector"] == (pytest.approx(0.7), False) and got["p", 0, "leverage"] == (1.5, True)
+    assert got["p", 1, "position"] == (0.0, True) and got["p", 1, "drawdown"] == (-0.3, False) and got["p", 1, "daily_loss"] == (-0.2, True)
+    assert got["q", 0, "leverage"] == (None, False)
+    asked = spark.createDataFrame([("p", DAY + dt.timedelta(hours=5), 1), ("p", DAY + dt.timedelta(1, 60), 2), ("q", DAY + dt.timedelta(3), 3), ("r", DAY, 4)], "portfolio string, at timestamp_ntz, n int")
+    assert {r.n: r.may_proceed for r in portfolio.orders_that_may_proceed(asked, made).collect()} == {1: True, 2: False, 3: False, 4: True}
+    with pytest.raises(ValueError, match="no such limits"):
+        portfolio.limits(held, curves, {"luck": 1.0})
