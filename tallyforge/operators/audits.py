@@ -15,13 +15,13 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
 
 def orphans(children: DataFrame, parents: DataFrame, foreign: str, key: str = "id") -> DataFrame:
     """Children whose reference has no parent; a null reference has none."""
-    known = parents.select(F.col(key).alias("_parent")).distinct()
+    known = parents.select(F.col(key).alias("_parent"))
     return children.join(known, F.col(foreign) == F.col("_parent"), "left_anti")
 
 
 def referenced(parents: DataFrame, children: DataFrame, foreign: str, key: str = "id") -> DataFrame:
     """Parents that must not go because a child refers to them."""
-    used = children.select(F.col(foreign).alias("_used")).distinct()
+    used = children.select(F.col(foreign).alias("_used"))
     return parents.join(used, F.col(key) == F.col("_used"), "left_semi")
 
 

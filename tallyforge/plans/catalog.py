@@ -238,9 +238,10 @@ SELECT id, arg_max(status, n) AS status, arg_max(ticker, n) AS ticker, arg_max(a
        max(listed_on) AS listed_on, max(delisted_on) AS delisted_on, CAST(max(n_state) AS BIGINT) AS n_state, CAST(max(n_validation) AS BIGINT) AS n_validation
 FROM f GROUP BY id""")
 def _(s, d):
-    done = lifecycle.fold(lifecycle_requests(s, d))
-    of = lambda kind: F.size(F.filter("rejects", lambda r: r["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return done.select("id", "state.status", "state.ticker", "state.asset_type", "state.listed_on", "state.delisted_on", of("state"), of("validation"))
+    now = ("status", "ticker", "asset_type", "listed_on", "delisted_on")
+    of = lambda kind: F.count_if(F.col("kind") == kind).alias(f"n_{kind}")
+    done = lifecycle.outcomes(lifecycle_requests(s, d)).groupBy("id").agg(F.max_by(F.struct(*now), "last").alias("now"), of("state"), of("validation"))
+    return done.select("id", "now.*", "n_state", "n_validation")
 
 
 @_query("lifecycle_names_and_venues", """

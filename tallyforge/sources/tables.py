@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,23 @@ def jdbc_options(environment: dict[str, str] | None = None) -> dict[str, str]:
     return {"url": f"jdbc:postgresql://{get('DB_HOST', 'localhost')}:{int(number)}/{get('DB_NAME', 'reference')}", "user": get("DB_USER", "reference"), "password": env["DB_PASSWORD"], "driver": "org.postgresql.Driver"}
 
 
+def id_ranges(parts: int) -> list[str]:
+    """Conditions on a column of UUIDs that cut it into ranges of equal width, each of which an index on id can answer; ids
+    drawn at random fall evenly into them, and a null is in the first."""
+    if parts < 1:
+        raise ValueError("a table is read in one part at least")
+    cuts = [str(uuid.UUID(int=(i << 128) // parts)) for i in range(parts)]
+    low = [f"id >= '{c}'" for c in cuts]
+    high = [f"id < '{c}'" for c in cuts[1:]]
+    if parts == 1:
+        return ["1 = 1"]
+    return [f"({high[0]} OR id IS NULL)", *(f"{a} AND {b}" for a, b in zip(low[1:], high[1:], strict=False)), low[-1]]
+
+
 def load_jdbc(spark: SparkSession, table: str, options: dict[str, str], *, parts: int = 8) -> DataFrame:
-    """A table by JDBC, read in parallel by the first hexadecimal digit of its id (needs the driver's jar)."""
-    digits = "0123456789abcdef"
-    step = max(1, -(-16 // parts))
-    groups = [digits[i : i + step] for i in range(0, 16, step)]
-    predicates = [" OR ".join(f"right(CAST(id AS text), 1) = '{d}'" for d in g) for g in groups]
+    """A table by JDBC, read in parallel by ranges of its id (needs the driver's jar)."""
     reader = spark.read.options(**{k: v for k, v in options.items() if k != "url"})
-    return reader.jdbc(options["url"], table, predicates=predicates, properties={"driver": options["driver"]})
+    return reader.jdbc(options["url"], table, predicates=id_ranges(parts), properties={"driver": options["driver"]})
 
 
 def save_jdbc(df: DataFrame, table: str, options: dict[str, str]) -> None:

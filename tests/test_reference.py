@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,15 @@ def test_jdbc_options():
             tables.jdbc_options(bad)
 
 
+def test_jdbc_ranges_hold_each_id_once(spark):
+    ids = [None, NIL_UUID, "ffffffff-ffff-ffff-ffff-ffffffffffff", *(str(uuid.UUID(int=k << 124)) for k in range(16)), *(str(uuid.UUID(int=(k << 124) - 1)) for k in range(1, 17))]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string")
+    for parts in (1, 2, 3, 8):
+        assert tables.id_ranges(parts) and sum(rows.filter(p).count() for p in tables.id_ranges(parts)) == len(ids)
+    with pytest.raises(ValueError, match="one part"):
+        tables.id_ranges(0)
+
+
 def event(seq, op, id_="i", **k):
     return {"id": id_, "seq": seq, "op": op, "at_utc": T0 + dt.timedelta(seq), "exchange_id": "x1", "ticker": "abc", "name": " Name ", "asset_type": 1, "currency": "usd", "on_date": dt.date(2024, 2, 1)} | k
 
