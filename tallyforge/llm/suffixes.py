@@ -148,22 +148,40 @@ class Family:
         self.spark, self.folder = spark, folder or work_path(spark, "suffix-family")
         files, at = file_system(spark, f"{self.folder}/levels-*.json")
         held = sorted(x.getPath().toString() for x in files.globStatus(at) or [])
-        state = json.loads(spark.read.text(held[-1], wholetext=True).first()[0]) if held else {"turn": 0, "buckets": buckets or partitions(spark), "levels": []}
-        self.turn, self.buckets = state["turn"], state["buckets"]
+        state = {"buckets": buckets or partitions(spark), "levels": []}
+        for path in reversed(held):  # a writer that was lost may have left its manifest empty
+            text = spark.read.text(path, wholetext=True).first()
+            if text and text[0].endswith("}"):
+                state = json.loads(text[0])
+                break
+        self.turn, self.buckets = int(held[-1][-13:-5]) if held else 0, state["buckets"]
         self.levels: list[tuple[int, str]] = [tuple(x) for x in state["levels"]]  # (rank, path), largest first
 
     def array(self, path: str) -> DataFrame:
         return reopened(self.spark, path, _SUFFIX, "suffix", self.buckets)
 
-    def _built(self, counted: DataFrame) -> str:
-        one = counted.groupBy("suffix").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "at")).alias("p")).select("suffix", "n", "p.doc", "p.at")
-        return bucketed(one, "suffixes", "suffix", self.buckets, "suffix", folder=self.folder)[1]
+    def _kept(self, array: DataFrame) -> str:
+        """An array as a level's table: one sorted file a bucket, so one task must hold all rows of a bucket."""
+        return bucketed(array, "suffixes", "suffix", self.buckets, "suffix", folder=self.folder)[1]
+
+    def _built(self, members: DataFrame) -> str:
+        one = members.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("p")).select("suffix", "n", "p.doc", "p.at")
+        return self._kept(one if self.buckets == partitions(self.spark) else one.repartition(self.buckets, "suffix"))
+
+    def _merged(self, *paths: str) -> str:
+        """Two arrays as one, by a scan along both. (A union of two bucketed scans would claim their partitioning without
+        having it, and an aggregation over it would leave equal suffixes apart.)"""
+        old, new = (self.array(p).select(F.col("suffix").alias(f"s{k}"), F.col("n").alias(f"n{k}"), F.struct("doc", "at").alias(f"p{k}")) for k, p in enumerate(paths))
+        with _sorted_scans(self.spark):
+            both = old.join(new.hint("merge"), F.col("s0") == F.col("s1"), "full_outer")
+            both = both.select(F.coalesce("s0", "s1").alias("suffix"), (F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))).alias("n"), F.least("p0", "p1").alias("p"))
+            return self._kept(both.select("suffix", "n", "p.doc", "p.at"))
 
     def add(self, members: DataFrame, *, last: bool = False) -> DataFrame:
         """Adds a batch's suffixes (suffix, doc, at); gives those (suffix) that the batch holds twice or a level holds
         too, written. A suffix may come once for each scan that met it. `last`: nothing will be added, so that levels
         need not merge."""
-        spark, new = self.spark, self._built(members.select("suffix", F.lit(1).cast("bigint").alias("n"), "doc", "at"))
+        spark, new = self.spark, self._built(members)
         array = self.array(new)
         with _sorted_scans(spark):
             found = array.filter("n > 1").select("suffix")
@@ -173,7 +191,7 @@ class Family:
         old, self.levels = [], [*self.levels, (0, new)]
         while not last and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, self._built(self.array(two).unionByName(self.array(one)))))
+            self.levels.append((rank + 1, self._merged(two, one)))
             old += [one, two]
         self._commit()
         remove(spark, *old)
@@ -181,14 +199,13 @@ class Family:
 
     def _commit(self) -> None:
         self.turn += 1
-        state = json.dumps({"turn": self.turn, "buckets": self.buckets, "levels": self.levels})
+        state = json.dumps({"buckets": self.buckets, "levels": self.levels})
         files, at = file_system(self.spark, f"{self.folder}/levels-{self.turn:08d}.json")
-        _, new = file_system(self.spark, f"{self.folder}/.new-levels")
-        out = files.create(new, True)
+        if files.exists(at):
+            raise RuntimeError(f"another writer has added to {self.folder}")
+        out = files.create(at, False)  # fails where the other writer came between
         out.write(state.encode())
         out.close()
-        if not files.rename(new, at):
-            raise RuntimeError(f"another writer has added to {self.folder}")
 
 
 _PIECE = "piece bigint, doc bigint, mark bigint, at int, low int, high int, single boolean, bytes binary"
