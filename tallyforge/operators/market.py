@@ -62,6 +62,16 @@ def breadth(rows: DataFrame) -> DataFrame:
     return moved.groupBy("start").agg(F.count_if(F.col("move") > 0).alias("advancers"), F.count_if(F.col("move") < 0).alias("decliners"), F.count_if(F.col("move") == 0).alias("unchanged"))
 
 
+def breadth_by_volume(rows: DataFrame) -> DataFrame:
+    """(start, advancing, declining, unchanged, ratio): the volume of the instruments that `breadth` counts by session, and the
+    advancing volume by the declining one (null where that is 0). A null volume is 0."""
+    before = F.lag("close").over(Window.partitionBy("instrument").orderBy("start"))
+    moved = rows.withColumn("move", F.signum(F.col("close") - before)).filter("move is not null")
+    of = lambda sign: F.sum(F.when(F.col("move") == sign, F.coalesce("volume", F.lit(0))).otherwise(0))
+    sums = moved.groupBy("start").agg(of(1).alias("advancing"), of(-1).alias("declining"), of(0).alias("unchanged"))
+    return sums.withColumn("ratio", F.col("advancing") / F.nullif("declining", F.lit(0)))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, values: list[str], tie: str) -> DataFrame:
     """left with the values of the last right row of its key at or before its instant (the highest tie of one instant).
 

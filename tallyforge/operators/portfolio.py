@@ -92,12 +92,12 @@ def turnover(weights: DataFrame) -> DataFrame:
     return both.groupBy("portfolio", "at").agg(F.sum(change).alias("turnover"))
 
 
-def curve(weights: DataFrame, rets: DataFrame) -> DataFrame:
+def curve(weights: DataFrame, rets: DataFrame, *, cost: float = 0.0) -> DataFrame:
     """(portfolio, start, exposure, turnover, ret, value, drawdown) of each portfolio and session from its first rebalancing on.
 
     weights: (portfolio, at, instrument, weight), all of a portfolio's holdings at each rebalancing; they hold from the
     session of `at` on until the next one. rets: (instrument, start, ret); a holding without one earns nothing that day. The
-    value starts at 1 and compounds; a day that loses all or more leaves 0 from then on.
+    value starts at 1 and compounds; `cost` of the turnover goes off the return of a rebalancing's first session; a day that loses all or more leaves 0 from then on.
     """
     own, times = _changes(weights)
     sessions = rets.select("start").distinct()
@@ -114,6 +114,8 @@ def curve(weights: DataFrame, rets: DataFrame) -> DataFrame:
     moved = turnover(weights)
     begun = F.row_number().over(Window.partitionBy("portfolio", "at").orderBy("start")) == 1
     rows = daily.join(moved, ["portfolio", "at"]).withColumn("turnover", F.when(begun, F.col("turnover")).otherwise(0.0))
+    if cost:
+        rows = rows.withColumn("ret", F.col("ret") - F.lit(float(cost)) * F.col("turnover"))
     along = running(rows, ["portfolio"], F.date_trunc("year", "start"), ["start"], {"log": ("sum", F.log1p(F.greatest("ret", F.lit(-1.0) + 1e-12))), "lost": ("max", (F.col("ret") <= -1).cast("int"))})
     valued = along.withColumn("value", F.when(F.col("lost") == 1, 0.0).otherwise(F.exp("log")))
     peaks = running(valued, ["portfolio"], F.date_trunc("year", "start"), ["start"], {"peak": ("max", F.greatest(F.col("value"), F.lit(1.0)))})

@@ -72,8 +72,8 @@ def against_sector(rows: DataFrame, value: str, *by: str, ranges: int = RANGES)
     return own.join(known, ["_by", "_v"]).select(*rows.columns, "percentile", "median")
 
 
-def factors(bars: DataFrame, length: int = 20) -> DataFrame:
-    """(instrument, start, momentum, volatility, liquidity): the return over `length` bars, the standard deviation of the
+def factors(bars: DataFrame, length: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(instrument, start, what of bars to keep, momentum, volatility, liquidity): the return over `length` bars, the standard deviation of the
     last `length` one-bar returns, and the mean of close times volume of the last `length` bars. Null before there are
     that many."""
     order = Window.partitionBy("instrument").orderBy("start")
@@ -81,7 +81,7 @@ def factors(bars: DataFrame, length: int = 20) -> DataFrame:
     rows = bars.withColumns({"_ret": F.col("close") / F.nullif(F.lag("close").over(order), F.lit(0.0)) - 1, "_turned": F.col("close") * F.col("volume")})
     full = lambda x, c: F.when(F.count(c).over(last) == length, x)
     made = {"momentum": F.col("close") / F.nullif(F.lag("close", length).over(order), F.lit(0.0)) - 1, "volatility": full(F.stddev_samp("_ret").over(last), "_ret"), "liquidity": full(F.avg("_turned").over(last), "_turned")}
-    return rows.withColumns(made).select("instrument", "start", *made)
+    return rows.withColumns(made).select("instrument", "start", *keep, *made)
 
 
 def market_returns(rets: DataFrame) -> DataFrame:

@@ -335,6 +335,14 @@ def _(s, d):
     return market.breadth(daily(s, d))
 
 
+@_query("breadth_by_volume", f"""
+SELECT start, advancing, declining, unchanged, round(advancing / nullif(declining, 0), 6) AS ratio FROM (
+  SELECT start, CAST(coalesce(sum(volume) FILTER (move > 0), 0) AS BIGINT) AS advancing, CAST(coalesce(sum(volume) FILTER (move < 0), 0) AS BIGINT) AS declining, CAST(coalesce(sum(volume) FILTER (move = 0), 0) AS BIGINT) AS unchanged
+  FROM (SELECT start, volume, close - lag(close) OVER ({_ORDERED}) AS move FROM {_BARS}) WHERE move IS NOT NULL GROUP BY start)""")
+def _(s, d):
+    return market.breadth_by_volume(daily(s, d)).withColumn("ratio", F.round("ratio", 6))
+
+
 @_query("as_of_last_purchase", """
 SELECT e.user_id AS instrument, e.ts, e.event_id AS tick_id, coalesce(p.event_id, -1) AS last_id, coalesce(p.value, -1) AS last_value
 FROM (SELECT * FROM events WHERE event_id % 2 = 0) e LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 1) p

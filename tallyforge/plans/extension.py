@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import codes, settings
-from tallyforge.operators import bitemporal, directory, ingest, lifecycle, market, portfolio, research, search_index
+from tallyforge.operators import bitemporal, directory, ingest, lifecycle, market, portfolio, research, search_index, selection
 from tallyforge.plans.catalog import _BARS, _I, _ORDERED, _query, daily, instruments
 from tallyforge.sources import experiments, files, provider
 from tallyforge.sources.tables import table_of
@@ -331,22 +331,31 @@ def _(s, d):
 #: Some events as rebalancings of five portfolios: what a portfolio has of one day is all that it then holds.
 _WEIGHTS = """(SELECT user_id % 5 AS portfolio, date_trunc('day', ts) AS at_, user_id AS instrument, sum((event_id % 9 + 1) / 20.0) AS weight FROM events WHERE event_id % 10 = 3 GROUP BY 1, 2, 3)"""
 _RETS = f"(SELECT instrument, start, ret FROM (SELECT instrument, start, close / nullif(lag(close) OVER ({_ORDERED}), 0) - 1 AS ret FROM {_BARS}) WHERE ret IS NOT NULL)"
-_CURVE = f"""
-WITH w AS (SELECT * FROM {_WEIGHTS}), r AS (SELECT instrument, start, greatest(least(ret, 0.5), -0.3) AS ret FROM {_RETS}),
+def _curve_sql(weights: str, cost: float = 0.0) -> str:
+    return f"""
+WITH w AS (SELECT * FROM {weights}), r AS (SELECT instrument, start, greatest(least(ret, 0.5), -0.3) AS ret FROM {_RETS}),
 times AS (SELECT portfolio, at_, lag(at_) OVER (PARTITION BY portfolio ORDER BY at_) AS prior FROM (SELECT DISTINCT portfolio, at_ FROM w)),
 old AS (SELECT t.portfolio, t.at_, instrument, weight AS before FROM times t JOIN w ON w.portfolio = t.portfolio AND w.at_ = t.prior),
 moved AS (SELECT portfolio, at_, sum(abs(coalesce(weight, 0) - coalesce(before, 0))) AS turnover FROM w FULL JOIN old USING (portfolio, at_, instrument) GROUP BY 1, 2),
 days AS (SELECT d.start, t.portfolio, max(t.at_) AS at_ FROM (SELECT DISTINCT start FROM r) d JOIN times t ON t.at_ <= d.start GROUP BY 1, 2),
 daily AS (SELECT portfolio, start, at_, sum(abs(weight)) AS exposure, sum(weight * coalesce(ret, 0)) AS ret FROM days JOIN w USING (portfolio, at_) LEFT JOIN r USING (instrument, start) GROUP BY 1, 2, 3),
-valued AS (SELECT *, CASE WHEN max(CASE WHEN ret <= -1 THEN 1 ELSE 0 END) OVER o = 1 THEN 0 ELSE exp(sum(ln(greatest(1 + ret, 1e-12))) OVER o) END AS value, row_number() OVER (PARTITION BY portfolio, at_ ORDER BY start) AS turn FROM daily WINDOW o AS (PARTITION BY portfolio ORDER BY start)),
-told AS (SELECT portfolio, start, exposure, CASE WHEN turn = 1 THEN turnover ELSE 0 END AS turnover, ret, value, value / max(greatest(value, 1)) OVER (PARTITION BY portfolio ORDER BY start) - 1 AS drawdown FROM valued JOIN moved USING (portfolio, at_))"""
+turned AS (SELECT daily.*, CASE WHEN row_number() OVER (PARTITION BY portfolio, at_ ORDER BY start) = 1 THEN turnover ELSE 0 END AS turnover FROM daily JOIN moved USING (portfolio, at_)),
+net AS (SELECT portfolio, start, at_, exposure, turnover, ret - {cost} * turnover AS ret FROM turned),
+valued AS (SELECT *, CASE WHEN max(CASE WHEN ret <= -1 THEN 1 ELSE 0 END) OVER o = 1 THEN 0 ELSE exp(sum(ln(greatest(1 + ret, 1e-12))) OVER o) END AS value FROM net WINDOW o AS (PARTITION BY portfolio ORDER BY start)),
+told AS (SELECT portfolio, start, exposure, turnover, ret, value, value / max(greatest(value, 1)) OVER (PARTITION BY portfolio ORDER BY start) - 1 AS drawdown FROM valued)"""
+
+
+_CURVE = _curve_sql(_WEIGHTS)
+
+
+def _bounded_returns(s: SparkSession, d: str) -> DataFrame:
+    return market.returns(daily(s, d)).withColumn("ret", F.greatest(F.least("ret", F.lit(0.5)), F.lit(-0.3)))
 
 
 def _curves(s: SparkSession, d: str) -> DataFrame:
     some = table_of(s, d, "events").filter("event_id % 10 = 3")
     weights = some.selectExpr("user_id % 5 AS portfolio", "CAST(date_trunc('day', ts) AS timestamp_ntz) AS at", "user_id AS instrument", "(event_id % 9 + 1) / 20.0D AS weight")
-    rets = market.returns(daily(s, d)).withColumn("ret", F.greatest(F.least("ret", F.lit(0.5)), F.lit(-0.3)))
-    return portfolio.curve(weights, rets)
+    return portfolio.curve(weights, _bounded_returns(s, d))
 
 
 @_query("equity_curve", _CURVE + " SELECT portfolio, start, round(exposure, 6) AS exposure, round(turnover, 6) AS turnover, round(ret, 6) AS ret, round(value, 6) AS value, round(drawdown, 6) AS drawdown FROM told")
@@ -399,3 +408,56 @@ SELECT event_id, coalesce(good, true) AS may_proceed FROM (SELECT event_id, user
 def _(s, d):
     asked = table_of(s, d, "events").select((F.col("user_id") % 5).alias("portfolio"), F.col("ts").alias("at"), "event_id")
     return portfolio.orders_that_may_proceed(asked, _limited(s, d)).select("event_id", "may_proceed")
+
+
+#: Orders as statements of the customers' numbers, which are instruments here, published around the days of the events.
+_FACT = {"instrument": "o_custkey", "statement": "o_orderkey", "shares": "CAST(o_orderkey % 11 + 1 AS DOUBLE)", "earnings": "CAST(o_totalprice AS DOUBLE)", "equity": "CAST(o_orderkey % 7 AS DOUBLE)"}
+_TILT = {"momentum": 1.0, "volatility": -0.5, "size": -0.25, "value": 1.0, "quality": 0.5, "growth": 0.5}
+_FACTOR_SQL = f"""
+facts AS (SELECT *, earnings / nullif(lag(earnings) OVER (PARTITION BY instrument ORDER BY start, statement), 0) - 1 AS growth
+  FROM (SELECT {", ".join(f"{v} AS {k}" for k, v in _FACT.items())}, TIMESTAMP '2024-01-01' + to_days(CAST(o_orderkey % 40 - 10 AS INTEGER)) AS start FROM orders)),
+last_facts AS (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY instrument, start ORDER BY statement DESC) = 1),
+priced AS (SELECT instrument, start, close, close / nullif(lag(close, 3) OVER ({_ORDERED}), 0) - 1 AS momentum, CASE WHEN count(ret) OVER w = 3 THEN stddev_samp(ret) OVER w END AS volatility, CASE WHEN count(*) OVER w = 3 THEN avg(close * volume) OVER w END AS liquidity
+  FROM (SELECT *, close / nullif(lag(close) OVER ({_ORDERED}), 0) - 1 AS ret FROM {_BARS}) WINDOW w AS ({_ORDERED} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+factors AS (SELECT p.instrument, p.start, momentum, volatility, liquidity, ln(CASE WHEN close * shares > 0 THEN close * shares END) AS size, earnings / nullif(close * shares, 0) AS value, earnings / nullif(equity, 0) AS quality, growth
+  FROM priced p ASOF LEFT JOIN last_facts f ON p.instrument = f.instrument AND p.start >= f.start)"""
+
+
+def _z(n: str) -> str:
+    return f"CASE WHEN {n} IS NOT NULL AND min({n}) OVER s < max({n}) OVER s THEN greatest(-3, least(3, ({n} - avg({n}) OVER s) / stddev_pop({n}) OVER s)) END AS {n}"
+
+
+_CHOSEN_SQL = f"""WITH {_FACTOR_SQL},
+within AS (SELECT * FROM factors WHERE liquidity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY start ORDER BY liquidity DESC, instrument) <= 40),
+z AS (SELECT instrument, start, {", ".join(_z(n) for n in _TILT)} FROM within WINDOW s AS (PARTITION BY start)),
+told AS (SELECT instrument, start, round(({" + ".join(f"coalesce({n} * {w}, 0)" for n, w in _TILT.items())}) / nullif({" + ".join(f"CASE WHEN {n} IS NULL THEN 0 ELSE {abs(w)} END" for n, w in _TILT.items())}, 0), 9) AS score FROM z),
+first AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY score DESC, instrument) AS place FROM told WHERE score IS NOT NULL QUALIFY place <= 10)
+SELECT start, start + INTERVAL 1 DAY AS at_, instrument, place, score, 1.0 / count(*) OVER (PARTITION BY start) AS weight FROM first"""
+
+
+def _facts(s: SparkSession, d: str) -> DataFrame:
+    return table_of(s, d, "orders").selectExpr(*(f"{v} AS {k}" for k, v in _FACT.items()), "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(CAST(o_orderkey % 40 - 10 AS INT)) AS published")
+
+
+def _chosen(s: SparkSession, d: str) -> DataFrame:
+    return selection.selected(daily(s, d), _facts(s, d), _TILT, length=3, most=40, best=10)
+
+
+@_query("factor_values", f"WITH {_FACTOR_SQL} SELECT instrument, start, {', '.join(f'round({n}, 6) AS {n}' for n in selection.FACTORS)} FROM factors")
+def _(s, d):
+    return selection.factor_values(daily(s, d), _facts(s, d), 3).select("instrument", "start", *(F.round(n, 6).alias(n) for n in selection.FACTORS))
+
+
+@_query("factor_portfolio", f"SELECT start, instrument, CAST(place AS INTEGER) AS place, round(score, 5) AS score, round(weight, 6) AS weight FROM ({_CHOSEN_SQL})")
+def _(s, d):
+    return _chosen(s, d).select("start", "instrument", "place", F.round("score", 5).alias("score"), F.round("weight", 6).alias("weight"))
+
+
+@_query("factor_portfolio_curve", _curve_sql(f"(SELECT 0 AS portfolio, at_, instrument, weight FROM ({_CHOSEN_SQL}))", 0.002) + " SELECT portfolio, start, round(exposure, 6) AS exposure, round(turnover, 6) AS turnover, round(ret, 6) AS ret, round(value, 6) AS value, round(drawdown, 6) AS drawdown FROM told")
+def _(s, d):
+    """Rebalanced each session at a cost of 20 basis points of what is traded. The weights are written: a curve reads them
+    several times."""
+    path = files.work_folder(s, "weights") + "/weights"
+    _chosen(s, d).select(F.lit(0).alias("portfolio"), "at", "instrument", "weight").write.parquet(path)
+    weights = s.read.parquet(path)
+    return _rounded(portfolio.curve(weights, _bounded_returns(s, d), cost=0.002), "exposure", "turnover", "ret", "value", "drawdown")
