@@ -23,10 +23,21 @@ from tallyforge.llm.bpe import _coder, _splitter, vocabulary
 BLOCK, KNOWN = 1 << 21, 400_000
 
 
+#: Hadoop's names of stores that Arrow knows by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(path: str) -> str:
+    """A folder as Arrow names it. Token files are flat, which no sink or source of Spark's is, so tasks open them by Arrow:
+    in file, hdfs, viewfs, s3 (s3a), gs and abfs (abfss) folders, with the credentials that Arrow finds there."""
+    scheme, found, rest = path.partition("://")
+    return _SCHEMES.get(scheme.lower(), scheme) + found + rest
+
+
 def _file_system(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(arrow_uri(path))
 
 
 _MANIFEST = "file string, ordinal bigint, doc_id bigint, tokens bigint"

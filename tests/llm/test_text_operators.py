@@ -141,6 +141,11 @@ def test_token_counts(spark, rows, coder):
     assert token_counts.counted(frame(spark, [])).isEmpty()
 
 
+def test_token_folders_by_the_names_of_either_file_system():
+    named = {"s3a://b/k/s3a://x": "s3://b/k/s3a://x", "S3N://b": "s3://b", "s3://b/k": "s3://b/k", "hdfs://host:9000/a": "hdfs://host:9000/a", "gs://b/k": "gs://b/k", "file:///tmp/s3a": "file:///tmp/s3a", "/tmp/a": "/tmp/a"}
+    assert {k: token_counts.arrow_uri(k) for k in named} == named
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 5, 64])
 def test_separator_scan_at_every_block_size(spark, tmp_path, block):
     cases = {"a": [1, 2, 9, 9, 3, 9], "b": [9], "c": [4, 4, 4, 4, 4, 4, 4], "d": [9, 5, 5, 5, 5, 5, 9, 6], "e": []}
