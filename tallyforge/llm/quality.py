@@ -114,12 +114,18 @@ def ratios(rows: DataFrame, marks: DataFrame, *, bins: int = BINS, smoothing: fl
     return out
 
 
-def score(own: Column, tables: list[list[float]], fold: Column) -> Column:
-    """Mean log ratio of a text's n-grams (their bins) in their order, by the table of its fold (null: by all); 0 without."""
-    held = F.split(F.lit(",".join(repr(x) for table in tables for x in table)), ",").cast("array<double>")
-    start = F.coalesce(fold, F.lit(0)) * len(tables[0])
-    total = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(held, start + x))
-    return let(own, lambda b: F.when(F.size(b) > 0, total(b) / F.size(b)).otherwise(F.lit(0.0)))
+def held(spark: SparkSession, tables: list[list[float]]) -> DataFrame:
+    """Tables of ratios, one after another, as the one value of a written row. As a literal their 1.6 MB of text would stand
+    in each description of each plan that the driver keeps."""
+    return written(spark.createDataFrame([([x for table in tables for x in table],)], "ratios array<double>"), "quality-ratios")[0]
+
+
+def score(own: Column, tables: Column, bins: int, fold: Column) -> Column:
+    """Mean log ratio of a text's n-grams (their bins) in their order, by the table (of those in `tables`, one after another)
+    of its fold (null: by all); 0 without."""
+    start = F.coalesce(fold, F.lit(0)) * bins
+    total = lambda t, b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.get(t, start + x))
+    return let(tables, lambda t: let(own, lambda b: F.when(F.size(b) > 0, total(t, b) / F.size(b)).otherwise(F.lit(0.0))))
 
 
 def parting(good: list[float], bad: list[float]) -> float:
@@ -151,18 +157,21 @@ def assessed(docs: DataFrame, labels: DataFrame, *, threshold: float | None = No
     counts, threshold and scores come from there.
     """
     marks, _ = written(marked(labels, max_trusted), "quality-marks")
-    rows = docs.drop(*_NAMES, "_tf_words", "_tf_hashes", "_tf_bins").withColumn("_tf_words", words_of(F.col("text")))
+    rows = docs.drop(*_NAMES, "_tf_words", "_tf_hashes", "_tf_bins", "_tf_ratios").withColumn("_tf_words", words_of(F.col("text")))
     rows = rows.withColumn("_tf_hashes", F.transform("_tf_words", lambda w: F.xxhash64(w)))
     rows = rows.withColumns(statistics(F.col("text"), F.col("_tf_words"), F.col("_tf_hashes")) | {"_tf_bins": grams(F.col("_tf_hashes"), bins)})
     rows, _ = written(rows.drop("_tf_words", "_tf_hashes", *([] if texts else ["text"])), "quality-statistics")
-    tables = ratios(rows.select("doc_id", "_tf_bins"), marks, bins=bins)
-    held = F.broadcast(marks.toDF("_tf_id", "_tf_good", "_tf_fold"))
-    same = rows["doc_id"].cast("bigint") == held["_tf_id"]
+    tables = held(docs.sparkSession, ratios(rows.select("doc_id", "_tf_bins"), marks, bins=bins))
+    # A column of its own, as analysis allows no subquery among a function's lambdas; it is named once, so that it is put in
+    # there again and no row carries it.
+    scored = lambda df: df.withColumn("_tf_ratios", tables.scalar()).withColumn("llr", score(F.col("_tf_bins"), F.col("_tf_ratios"), bins, F.col("_tf_fold"))).drop("_tf_ratios")
+    known = F.broadcast(marks.toDF("_tf_id", "_tf_good", "_tf_fold"))
+    same = rows["doc_id"].cast("bigint") == known["_tf_id"]
     if threshold is None:
-        seen = rows.filter(F.col("n_words") >= LEAST_WORDS).join(held, same).select("_tf_good", score(F.col("_tf_bins"), tables, F.col("_tf_fold")).alias("llr")).collect()
+        seen = scored(rows.filter(F.col("n_words") >= LEAST_WORDS).join(known, same)).select("_tf_good", "llr").collect()
         threshold = parting([r["llr"] for r in seen if r["_tf_good"]], [r["llr"] for r in seen if not r["_tf_good"]])
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = rows.join(held, same, "left").withColumns({"base_failed": failed, "llr": score(F.col("_tf_bins"), tables, F.col("_tf_fold"))})
+    judged = scored(rows.join(known, same, "left").withColumn("base_failed", failed))
     return judged.drop("_tf_bins", "_tf_id", "_tf_good", "_tf_fold").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 

@@ -23,6 +23,13 @@ def test_clean_prose_is_kept_where_trusted_text_is_scarce(spark):
     assert abs(mean(range(8)) - mean(range(8, 80))) < 0.05
 
 
+def test_plans_hold_no_table(spark):
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    got = quality.assessed(frame(spark, [(i, f"some words of text {i} " * 20, None) for i in range(4)]), labels, threshold=0.0)
+    assert len(got._jdf.queryExecution().toString()) < 100_000
+    assert {r.doc_id for r in got.collect() if r.llr != 0} == {0, 2, 3}  # the one trusted document has no other to be scored by
+
+
 def test_parting():
     assert quality.parting([1.0, 2.0, 3.0], [-1.0, 0.0]) == 0.5
     assert quality.parting([1.0, 2.0, 3.0, 4.0], [0.0, 1.5]) == 1.75
