@@ -14,9 +14,35 @@ from tallyforge.operators.running import running
 
 #: Units of an instrument's running quantity that make a piece.
 WIDTH = 1 << 16
+#: Trades of an instrument that one task may order at once; those of a larger one are summed in pieces.
+MOST = 1_000_000
 
 
-def matched_lots(trades: DataFrame, *, width: int = WIDTH) -> DataFrame:
+def _cuts(known: DataFrame) -> DataFrame:
+    """The lots of instruments that fit a task each: one shuffle by instrument, which every window then keeps to."""
+    rows = known.repartition("instrument")
+    ends = rows.withColumn("upto", F.sum("quantity").over(Window.partitionBy("instrument", "side").orderBy("at", "trade").rowsBetween(Window.unboundedPreceding, 0)))
+    price = lambda side: F.max(F.when(F.col("side") == side, F.struct("upto", "price")))
+    points = ends.groupBy("instrument", "upto").agg(price(1).alias("buy"), price(-1).alias("sell"))
+    up = Window.partitionBy("instrument").orderBy("upto")
+    # The highest units first: the last purchase seen is the first one that ends there or later.
+    down = Window.partitionBy("instrument").orderBy(F.desc("upto")).rowsBetween(Window.unboundedPreceding, 0)
+    cover = points.withColumns({"bought": F.min("buy").over(down), "sold": F.min("sell").over(down)})
+    return cover.withColumn("since", F.lag("upto").over(up)).select("instrument", "upto", "bought", "sold", "since")
+
+
+def _pieced(known: DataFrame, width: int) -> DataFrame:
+    """The same of instruments of any size, in pieces."""
+    ends = running(known, ["instrument", "side"], F.date_trunc("month", "at"), ["at", "trade"], {"upto": ("sum", F.col("quantity"))})
+    price = lambda side: F.max(F.when(F.col("side") == side, F.struct("upto", "price")))
+    points = ends.groupBy("instrument", "upto").agg(price(1).alias("buy"), price(-1).alias("sell"))
+    piece = F.floor((F.col("upto") - 1) / width)
+    # The purchase and the sale that hold the units under a point are the first ones that end there or later.
+    cover = running(points, ["instrument"], piece, ["upto"], {"bought": ("min", F.col("buy")), "sold": ("min", F.col("sell"))}, back=True)
+    return running(cover, ["instrument"], piece, ["upto"], {"since": ("max", F.col("upto"))}, own=False).select("instrument", "upto", "bought", "sold", "since")
+
+
+def matched_lots(trades: DataFrame, *, width: int = WIDTH, most: int = MOST) -> DataFrame:
     """(instrument, quantity, bought, sold): units that went in at one price and out at another, first in, first out.
 
     Lined up in order of (at, trade), the purchases of an instrument are intervals of its running purchased quantity and the
@@ -25,21 +51,19 @@ def matched_lots(trades: DataFrame, *, width: int = WIDTH) -> DataFrame:
     back have no `bought`. Trades with a null or without a quantity above 0 are left out.
     """
     known = trades.dropna(subset=["instrument", "at", "trade", "side", "quantity", "price"]).filter("quantity > 0 AND side IN (1, -1)")
-    ends = running(known, ["instrument", "side"], F.date_trunc("month", "at"), ["at", "trade"], {"upto": ("sum", F.col("quantity"))})
-    price = lambda side: F.max(F.when(F.col("side") == side, F.struct("upto", "price")))
-    points = ends.groupBy("instrument", "upto").agg(price(1).alias("buy"), price(-1).alias("sell"))
-    piece = F.floor((F.col("upto") - 1) / width)
-    # The purchase and the sale that hold the units under a point are the first ones that end there or later.
-    cover = running(points, ["instrument"], piece, ["upto"], {"bought": ("min", F.col("buy")), "sold": ("min", F.col("sell"))}, back=True)
-    cuts = running(cover, ["instrument"], piece, ["upto"], {"since": ("max", F.col("upto"))}, own=False)
+    large = known.groupBy("instrument").count().filter(F.col("count") > most).select("instrument")
+    if large.isEmpty():
+        cuts = _cuts(known)
+    else:  # broadcast: at most one for each `most` rows
+        cuts = _cuts(known.join(F.broadcast(large), "instrument", "left_anti")).unionByName(_pieced(known.join(F.broadcast(large), "instrument", "left_semi"), width))
     return cuts.select("instrument", (F.col("upto") - F.coalesce("since", F.lit(0))).alias("quantity"), F.col("bought.price").alias("bought"), F.col("sold.price").alias("sold"))
 
 
-def profit(trades: DataFrame, *, width: int = WIDTH) -> DataFrame:
+def profit(trades: DataFrame, *, width: int = WIDTH, most: int = MOST) -> DataFrame:
     """(instrument, realised, unrealised, total, open_quantity): open units are valued at the instrument's last price; a
     negative open quantity is sold short."""
     last = trades.dropna(subset=["instrument", "at", "trade", "price"]).groupBy("instrument").agg(F.max_by("price", F.struct("at", "trade")).alias("mark"))
-    lots = matched_lots(trades, width=width).join(last, "instrument")
+    lots = matched_lots(trades, width=width, most=most).join(last, "instrument")
     q, gain = F.col("quantity"), F.coalesce("sold", "mark") - F.coalesce("bought", "mark")
     open_ = F.col("sold").isNull() | F.col("bought").isNull()
     held = F.when(F.col("sold").isNull(), q).when(F.col("bought").isNull(), -q).otherwise(0)

@@ -55,6 +55,17 @@ def test_profit_is_that_of_first_in_first_out(spark, width):
     assert portfolio.profit(spark.createDataFrame([], TRADE)).isEmpty()
 
 
+@pytest.mark.parametrize("most", [0, 104])
+def test_large_instruments_are_summed_in_pieces(spark, most):
+    got = portfolio.profit(spark.createDataFrame(made_trades(), TRADE).repartition(3), width=7, most=most).collect()
+    assert {r.instrument: (r.realised, r.unrealised, r.open_quantity) for r in got} == fifo(made_trades())
+
+
+def test_lots_are_one_shuffle(spark):
+    plan = portfolio.matched_lots(spark.createDataFrame(made_trades(), TRADE))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_lots_keep_every_unit(spark):
     rows = made_trades(8)
     lots = portfolio.matched_lots(spark.createDataFrame(rows, TRADE), width=16).collect()
