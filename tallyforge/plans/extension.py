@@ -71,14 +71,19 @@ def _(s, d):
 
 @_query("stream_ingest", f"SELECT order_key, line, supplier, fault FROM {_JUDGED}")
 def _(s, d):
-    """The same rows as ingest_faults, as files that come in two goes of a stream, one file a batch."""
+    """The same rows as ingest_faults, as files that come in two goes of a stream, each in two batches of files as large as
+    the table's own partitions."""
     raw = table_of(s, d, "lineitem").selectExpr(*(f"{v} AS {k}" for k, v in _RAW.items()))
     folder = files.work_folder(s, "ingest")
     to = stream_ingest.Ingest(folder, raw.schema, ("instrument", "start"), ("order_key", "line", "supplier"))
+    seen = 0
     for go in range(2):
-        half = raw.filter(F.pmod(F.xxhash64("order_key", "line"), F.lit(2)) == go).withColumn("file", F.pmod("order_key", F.lit(2)))
-        half.repartition(2, "file").drop("file").write.mode("append").parquet(f"{folder}/inbox")
-        to.start(s.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/inbox")).awaitTermination()
+        for part in range(2):
+            half = (F.pmod(F.xxhash64("order_key", "line"), F.lit(2)) == go) & (F.pmod("order_key", F.lit(2)) == part)
+            raw.filter(half).write.mode("append").parquet(f"{folder}/inbox")
+        have = len(s.read.schema(raw.schema).parquet(f"{folder}/inbox").inputFiles())
+        each, seen = max(1, -(-(have - seen) // 2)), have
+        to.start(s.readStream.schema(raw.schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/inbox")).awaitTermination()
     return to.judged(s).select("order_key", "line", "supplier", "fault")
 
 
