@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.llm._common import documents, written
 
-#: Bits of the hash; bytes of text a shard may have; bits by which a histogram goes beyond the mean depth.
-BITS, LIMIT, BEYOND = 60, 64 << 20, 4
+#: Bits of the hash; bytes of text a shard may have; bits by which a histogram goes beyond the mean depth; bits of which
+#: prefixes are summed at once.
+BITS, LIMIT, BEYOND, STEP = 60, 64 << 20, 4, 8
 #: Cells of a map that may be broadcast (40 bytes each).
 SMALL = 1_000_000
 
@@ -30,6 +31,28 @@ def _prefix(hashed: Column, depth: int) -> Column:
     return F.shiftright(hashed, BITS - depth)
 
 
+def _settled(cells: DataFrame, depth: int, top: int, limit: int) -> DataFrame:
+    """(cell, n, own) of cells (cell, n) at a depth; own: the shallowest of a cell's prefixes below depth `top` (-1: of all)
+    that has at most `limit` bytes, as (depth, prefix, shard_bytes); null where the cell itself has more.
+
+    Runs of at most 2 ** STEP cells share a prefix: prefixes within a run are summed by windows over one shuffle and one sort, and
+    what lies above comes from the runs' own sums in the same way. So a cell is one row throughout.
+    """
+    low = max(top + 1, depth - STEP)
+    at = range(low, depth + 1)
+    rows = cells.select("cell", "n", *(F.shiftright("cell", depth - d).alias(f"p{d}") for d in at))
+    rows = rows.repartition(f"p{low}").sortWithinPartitions(*(f"p{d}" for d in at))
+    sums = {d: F.sum("n").over(Window.partitionBy(*(f"p{e}" for e in range(low, d + 1)))) for d in at if d < depth}
+    rows = rows.withColumns({f"s{d}": s for d, s in sums.items()} | {f"s{depth}": F.col("n")})
+    own = [F.when(F.col(f"s{d}") <= limit, F.struct(F.lit(d).alias("depth"), F.col(f"p{d}").alias("prefix"), F.col(f"s{d}").alias("shard_bytes"))) for d in at]
+    if low > top + 1:
+        runs = cells.groupBy(F.shiftright("cell", depth - low).alias("cell")).agg(F.sum("n").alias("n"))
+        above = _settled(runs, low, top, limit).filter("own is not null").select(F.col("cell").alias(f"p{low}"), F.col("own").alias("above"))
+        rows = rows.join(above, f"p{low}", "left")
+        own = [F.col("above"), *own]
+    return rows.select("cell", "n", F.coalesce(*own).alias("own"))
+
+
 def directory(sized: DataFrame, *, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
     """From rows (hash, n_bytes): the shards (depth, prefix, shard_bytes, fits), and for each histogram cell its shard
     (cell_depth, cell, depth, prefix, shard_bytes, fits).
@@ -43,17 +66,12 @@ def directory(sized: DataFrame, *, limit: int = LIMIT) -> tuple[DataFrame, DataF
     # Depths grow by 8 bits a round over what is still too large: 8 rounds at most.
     while True:
         cells, _ = written(rest.groupBy(_prefix(F.col("hash"), depth).alias("cell")).agg(F.sum("n_bytes").alias("n")), "shard-cells")
-        above = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
-        above = above.withColumn("prefix", F.call_function("shiftright", F.col("cell"), F.lit(depth) - F.col("depth")))
-        sums = above.groupBy("depth", "prefix").agg(F.sum("n").alias("shard_bytes"))
-        # Sums of a later round lack the rows settled before it, but there each prefix down to the last depth was too large.
-        sums = sums if not parts else sums.filter(F.col("depth") > parts[-1][0])
-        fits = sums.filter(F.col("shard_bytes") <= limit)
-        parents = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
-        tops = fits.join(parents, ["depth", "prefix"], "left_anti").withColumn("fits", F.lit(True))
+        # In a later round each prefix down to the last depth was too large.
+        own = _settled(cells, depth, parts[-1][0] if parts else -1, limit)
         if depth == BITS:
-            tops = tops.unionByName(sums.filter((F.col("depth") == BITS) & (F.col("shard_bytes") > limit)).withColumn("fits", F.lit(False)))
-        found, _ = written(above.select("cell", "depth", "prefix").join(tops, ["depth", "prefix"]).withColumn("cell_depth", F.lit(depth)), "shard-map")
+            own = own.withColumn("own", F.coalesce("own", F.struct(F.lit(BITS).alias("depth"), F.col("cell").alias("prefix"), F.col("n").alias("shard_bytes"))))
+        own = own.filter("own is not null").select("cell", "own.*")
+        found, _ = written(own.withColumn("fits", F.col("shard_bytes") <= limit).withColumn("cell_depth", F.lit(depth)), "shard-map")
         parts.append((depth, found))
         large = cells.filter(F.col("n") > limit).select("cell")
         if depth == BITS or large.isEmpty():

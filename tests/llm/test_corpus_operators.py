@@ -280,6 +280,26 @@ def test_shards_match_sql(spark, rows, limit):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("top", [-1, 3])
+def test_prefixes_of_runs_of_cells(spark, monkeypatch, top):
+    """Sums over three levels of runs; all cells of one half are sparse, so that shards of every depth occur."""
+    rng, depth, limit, kept = random.Random(top), 20, 400, {}
+    cells = {rng.randrange(1 << 19): rng.randrange(1, 200) for _ in range(300)} | {1 << 19 | c: rng.choice([1, 50, 500]) for c in range(700)}
+    sums = defaultdict(int)
+    for c, n in cells.items():
+        for d in range(depth + 1):
+            sums[d, c >> depth - d] += n
+    monkeypatch.setattr(sharding, "STEP", 6)
+    got = sharding._settled(spark.createDataFrame(list(cells.items()), "cell bigint, n bigint"), depth, top, limit).collect()
+    want = {c: next(((d, c >> depth - d, sums[d, c >> depth - d]) for d in range(top + 1, depth + 1) if sums[d, c >> depth - d] <= limit), None) for c in cells}
+    assert len(got) == len(cells) and {r.cell: r.own and tuple(r.own) for r in got} == want and len({w and w[0] for w in want.values()}) > 6
+    # A cell stays one row: it was copied to each of its prefixes before.
+    written = sharding.written
+    monkeypatch.setattr(sharding, "written", lambda df, name: (kept.setdefault(name, df), written(df, name))[1])
+    sharding.directory(spark.createDataFrame([(c << 40, n) for c, n in cells.items()], "hash bigint, n_bytes bigint"), limit=limit)
+    assert "explode" not in kept["shard-map"]._jdf.queryExecution().analyzed().toString()
+
+
 # Mixing
 
 
