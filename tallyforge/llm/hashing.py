@@ -19,6 +19,15 @@ def table(n: int, base: int = BASE) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * _U(base))
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes; h is sorted in place. (np.unique makes a hash table, which takes several times as long.)"""
+    h.sort()
+    new = np.empty(len(h), bool)
+    new[:1] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
 class Powers:
     """Powers of a base and of its inverse modulo 2 ** 64, grown as needed."""
 

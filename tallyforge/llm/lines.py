@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import near
 from tallyforge.llm._common import BLANKS, documents, remove, words_of, written
-from tallyforge.llm.hashing import BASE, mixed, rolled, table
+from tallyforge.llm.hashing import BASE, distinct, mixed, rolled, table
 
 #: Bands and rows of each; code points of a shingle.
 BANDS, ROWS, POINTS = 20, 6, 5
@@ -30,7 +30,7 @@ _TABLE[65:91] = _TABLE[97:123]  # A-Z count as a-z
 
 def shingles(line: str, size: int = POINTS) -> np.ndarray:
     """Sorted distinct hashes of a line's shingles; a shorter line is one shingle, an empty one has none."""
-    return np.unique(_windows(line.encode("utf-8", "surrogatepass"), size))
+    return distinct(_windows(line.encode("utf-8", "surrogatepass"), size))
 
 
 def _points(raw: np.ndarray) -> np.ndarray:
@@ -73,26 +73,46 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int = POINTS) -> Iterator
         at = to
 
 
-def described(texts: pa.Array, n: int, *, sized: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Set sizes (if wanted) and signatures of non-empty lines; short ones apart, so that all others are hashed together."""
-    sizes, sig = np.empty(len(texts), np.int64), np.empty((len(texts), n), np.uint32)
+def _flat(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, hashes, starts) of non-empty lines and their shingles, a chunk at a time; short lines apart, so that all others
+    are hashed together."""
     order = np.argsort(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False) < POINTS, kind="stable")
     text = texts.take(pa.array(order)).cast(pa.large_string())
     at = 0
     for flat, starts in _sets(np.frombuffer(text.buffers()[2] or b"", np.uint8), np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1]) if len(text) else ():
-        own = order[at : at + len(starts)]
+        yield order[at : at + len(starts)], flat, starts
         at += len(starts)
+
+
+def _sorted(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sorts each line's hashes in place; which of them are the first of their kind in their line."""
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True):
+        flat[a:b].sort()
+    new = np.concatenate(([True], flat[1:] != flat[:-1]))
+    new[starts] = True
+    return new
+
+
+def described(texts: pa.Array, n: int, *, sized: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Set sizes (if wanted) and signatures of non-empty lines."""
+    sizes, sig = np.empty(len(texts), np.int64), np.empty((len(texts), n), np.uint32)
+    for own, flat, starts in _flat(texts):
         sig[own] = near.flat_signatures(flat, starts, n)
-        if not sized:
-            continue
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(flat)], strict=True):
-            flat[a:b].sort()
-        new = np.concatenate(([True], flat[1:] != flat[:-1]))
-        new[starts] = True
-        sizes[own] = np.add.reduceat(new.astype(np.int64), starts)
+        if sized:
+            sizes[own] = np.add.reduceat(_sorted(flat, starts).astype(np.int64), starts)
     return sizes, sig
 
 
+def many_shingles(texts: pa.Array) -> list[np.ndarray]:
+    """`shingles` of each of many non-empty lines."""
+    out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
+    for own, flat, starts in _flat(texts):
+        new = _sorted(flat, starts)
+        for k, one in zip(own.tolist(), np.split(flat[new], np.cumsum(new)[starts[1:] - 1]), strict=True):
+            out[k] = one
+    return out
+
+
 def _entries(buckets: int):
     """(id, line) to blobs of band keys, one entry for the copies of a line in a batch."""
 
@@ -135,7 +155,7 @@ def places(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFra
     most = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     buckets = near.bucket_count(spark, most, BANDS)
     found, path = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary")), "line-groups")
-    linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, described=described, miss=miss)
+    linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, described=described, many=many_shingles, miss=miss)
     placed = lines.select("doc_id", "own", "line", "id", "chk").join(linker.named(), ["id", "chk"], "left").select("doc_id", "own", "line", F.coalesce("rid", "id").alias("rid"), F.coalesce("rchk", "chk").alias("rchk"))
     out, _ = written(placed, "line-places")
     remove(spark, path)

@@ -6,9 +6,10 @@ by both, so that no two texts are taken for one. Steps:
 1. `blobs` packs each item's banded MinHash keys by bucket; `groups` finds the keys that several items share. Blobs are
    read one after another, and a bucket keeps one item a key; buckets are as many as keep each at ENTRIES keys.
 2. `Linker` compares each item with the first item of the groups that it is in, with the one that it shares most groups
-   with (star pairs, not all pairs). Groups that then still hold several components are open: two items are one more pair;
-   of more, the items outside the largest component meet the others in cells of BLOCK by BLOCK items, behind a 64-bit
-   sketch. No link is lost between items that share a band.
+   with (star pairs, not all pairs). Groups that then still hold several components are open: of up to FEW items all pairs
+   between components are tried, each pair once however many groups it is in; of more, the items outside the largest
+   component meet the others in cells of BLOCK by BLOCK items, behind a 64-bit sketch. No link is lost between items that
+   share a band.
 3. Each pair is verified sequentially: batches of the signature narrow the posterior of the similarity (uniform prior),
    and a pair is dropped as soon as P(similarity >= threshold) falls under `miss`; survivors are compared on full sets.
 4. `components` is a distributed union-find (alternating large and small stars) over the links, at every size.
@@ -33,10 +34,12 @@ _KEY = np.dtype([("key", "<u8"), ("id", "<i8")])
 _U = np.uint64
 
 #: Hashes of a chunk that stays in the cache; entries of a bucket; entries that are sorted at once; items of a side of a
-#: cell; edges that a task unites before it hands them on.
-CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES = 1 << 15, 2_000_000, 2_000_000, 512, 1_000_000
+#: cell; edges that a task unites before it hands them on; items of a group whose pairs are tried one by one.
+CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES, FEW = 1 << 15, 2_000_000, 2_000_000, 512, 1_000_000, 16
 #: Hashes that are looked at together when pairs of a cell are compared, and such pairs: in the first part, at most.
 BITS, FIRST, PAIRS = 1 << 13, 1 << 12, 1 << 15
+#: Pairs whose texts are held as sets at once.
+AT_HAND = 512
 #: Ids that may be broadcast (16 bytes each); more are joined by two shuffles.
 SMALL = 1_000_000
 
@@ -201,6 +204,13 @@ def commons(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sorted distinct sets have in common."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # two runs are merged
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 class Union:
     """Union-find over whole numbers; the smallest of a set is its root."""
 
@@ -274,13 +284,14 @@ class Linker:
     """Links the items of `found` (see `groups`) whose exact similarity is the threshold or more.
 
     texts: (id, chk, text) of all items, rows may repeat. shingles: sorted distinct 64-bit hashes of a text. described:
-    set sizes and signatures of many texts. n: hashes of a signature; linked(common, a, b): the exact rule on the sizes of
+    set sizes and signatures of many texts; many: their sets. n: hashes of a signature; linked(common, a, b): the exact rule on the sizes of
     the common part and both sets, whole numbers or arrays of them. Within, an item has a number of its own, `no`.
     """
 
-    def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable, described: Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]] | None = None, threshold: float = 0.8, miss: float = 1e-7):
+    def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable, described: Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]] | None = None, many: Callable[[pa.Array], list[np.ndarray]] | None = None, threshold: float = 0.8, miss: float = 1e-7):
         self.flat = described or (lambda texts, n: _one_by_one(texts, n, shingles))
-        self.shingles, self.n, self.linked, self.threshold, self.miss = shingles, n, linked, threshold, miss
+        self.many = many or (lambda texts: [shingles(x.as_py()) for x in texts])
+        self.n, self.linked, self.threshold, self.miss = n, linked, threshold, miss
         self.spark, self.paths = found.sparkSession, []
         # Beyond SMALL two plain shuffles, which adaptive execution can split where one text is very common.
         wanted = self._written(found.select("id").distinct(), "wanted")
@@ -316,7 +327,7 @@ class Linker:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs (x, y), written."""
-        n, threshold, miss, shingles, linked = self.n, self.threshold, self.miss, self.shingles, self.linked
+        n, threshold, miss, many, linked = self.n, self.threshold, self.miss, self.many, self.linked
 
         def prune(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
@@ -325,16 +336,16 @@ class Linker:
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(keep) for c in "xy"], ["x", "y"])
 
         def exact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, own = None, None
-            for batch in it:
-                x, y, tx, ty = (batch.column(batch.schema.get_field_index(c)) for c in ("x", "y", "text_x", "text_y"))
-                keep = []
-                for i, (one, text) in enumerate(zip(x.to_pylist(), tx, strict=True)):
-                    if one != last:
-                        last, own = one, shingles(text.as_py())
-                    other = shingles(ty[i].as_py())
-                    keep.append(linked(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (x, y)], ["x", "y"])
+            for whole in it:
+                for batch in (whole.slice(at, AT_HAND) for at in range(0, whole.num_rows, AT_HAND)):
+                    x, y, tx, ty = (batch.column(batch.schema.get_field_index(c)) for c in ("x", "y", "text_x", "text_y"))
+                    _, first, at = np.unique(np.concatenate((x.to_numpy(), y.to_numpy())), return_index=True, return_inverse=True)
+                    own = many(pa.concat_arrays([tx, ty]).take(pa.array(first)))
+                    size = np.array([len(s) for s in own], np.int64)
+                    one, two = at[: len(x)], at[len(x) :]
+                    shared = np.array([common(own[i], own[j]) for i, j in zip(one.tolist(), two.tolist(), strict=True)], np.int64)
+                    keep = pa.array(linked(shared, size[one], size[two]), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (x, y)], ["x", "y"])
 
         near = self._both(pairs, "size", "sig").filter(F.least("size_x", "size_y") >= (threshold - 1e-9) * F.greatest("size_x", "size_y"))
         left, path = written(near.select("x", "y", "sig_x", "sig_y").mapInArrow(prune, "x bigint, y bigint"), "survivors")
@@ -354,6 +365,13 @@ class Linker:
         several = several.groupBy("m0", "m1", "whole").agg(F.min(F.struct("g", "most", "rest")).alias("one")).select("one.*", "whole")
         return self._written(named.join(several, "g"), "open-groups")
 
+    def _pairs(self, rows: DataFrame) -> DataFrame:
+        """(x, y), x below y, of different components of an open group of FEW items at most, each pair once."""
+        own = rows.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("no", "label"))).alias("own"))
+        later = lambda a, i: F.filter(F.slice("own", i + 2, FEW), lambda b: b.label != a.label)
+        pairs = F.flatten(F.transform("own", lambda a, i: F.transform(later(a, i), lambda b: F.struct(a.no.alias("x"), b.no.alias("y")))))
+        return own.select(F.explode(pairs).alias("p")).select("p.x", "p.y").distinct()
+
     def _cells(self, rows: DataFrame) -> DataFrame:
         """The members of open groups (g, no, label, most, whole, rest), dealt into cells (g, i, j): on side 0 a block of
         those outside the largest component, on side 1 a block of the whole group, each block of about BLOCK items. Every
@@ -368,7 +386,7 @@ class Linker:
     def _across(self, rows: DataFrame) -> DataFrame:
         """Links between the components of each open group. A first pass over sketches and signatures finds the items of
         a cell that some other one may be linked with; only these meet again, with their texts."""
-        threshold, miss, n, shingles, linked, bits = self.threshold, self.miss, self.n, self.shingles, self.linked, min(64, self.n)
+        threshold, miss, n, many, linked, bits = self.threshold, self.miss, self.n, self.many, self.linked, min(64, self.n)
         # Bits agree with probability (1 + similarity) / 2; six standard deviations below that for a pair at the threshold.
         p = (1 + threshold) / 2
         most = bits * (1 - p) + 6 * (bits * p * (1 - p)) ** 0.5
@@ -411,7 +429,9 @@ class Linker:
 
             for x, y in pairs(cell, lambda x, y: root[label[x]] != root[label[y]]):
                 some, at = np.unique(np.concatenate((x, y)), return_inverse=True)
-                own = [sets[k] if k in sets else sets.setdefault(k, shingles(cell["text"][k])) for k in some.tolist()]
+                if lacking := [k for k in some.tolist() if k not in sets]:
+                    sets.update(zip(lacking, many(pa.array([cell["text"][k] for k in lacking], pa.string())), strict=True))
+                own = [sets[k] for k in some.tolist()]
                 size = np.array([len(s) for s in own], np.int64)
                 one, two = at[: len(x)], at[len(x) :]
                 good = linked(commons(own, one, two), size[one], size[two]) if len(x) else np.zeros(0, bool)
@@ -457,10 +477,9 @@ class Linker:
         stars = self._written(most.select(F.least("no", "rep").alias("x"), F.greatest("no", "rep").alias("y")).distinct(), "stars")
         labels = components(self.verified(stars))
         rest = self._open(labels)
-        pairs = rest.filter("whole = 2").groupBy("g").agg(F.min("no").alias("x"), F.max("no").alias("y")).select("x", "y").distinct()
-        more = self.verified(pairs.join(stars, ["x", "y"], "left_anti"))
+        more = self.verified(self._pairs(rest.filter(F.col("whole") <= FEW)).join(stars, ["x", "y"], "left_anti"))
         # The components so far are edges too, so that those of all links start from stars.
-        labels = components(labels.toDF("x", "y").unionByName(more).unionByName(self._across(rest.filter("whole > 2"))))
+        labels = components(labels.toDF("x", "y").unionByName(more).unionByName(self._across(rest.filter(F.col("whole") > FEW))))
         own = self.items.select("id", "chk", "no").join(labels.toDF("no", "root"), "no").select("id", "chk", "root")
         low = own.groupBy("root").agg(F.min(F.struct("id", "chk")).alias("low")).select("root", F.col("low.id").alias("rid"), F.col("low.chk").alias("rchk"))
         out, _ = written(own.join(low, "root").select("id", "chk", "rid", "rchk"), "components")

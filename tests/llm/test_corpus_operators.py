@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -244,6 +245,34 @@ def test_rows_of_one_id_lose_only_their_own_lines(spark):
         assert left == sorted(["first text of all", a, b, footer])
 
 
+def test_shingles_of_many_lines_at_once():
+    rng = random.Random(5)
+    texts = ["x", "abcd", "abcde", "aaaaaaaaaa", "ÄÖÜßé" * 3, "😀 AbC" * 4] + ["".join(rng.choice("abc dÉ") for _ in range(rng.randrange(1, 900))) for _ in range(300)]
+    got = lines.many_shingles(pa.array(texts))
+    for text, own in zip(texts, got, strict=True):
+        low = "".join(c.lower() if c.isascii() else c for c in text)
+        assert (own == lines.shingles(text)).all() and len(own) == len({low[i : i + 5] for i in range(max(1, len(low) - 4))})
+    assert [near.common(a, b) for a, b in itertools.pairwise(got)] == [len(set(a.tolist()) & set(b.tolist())) for a, b in itertools.pairwise(got)]
+    assert lines.many_shingles(pa.array([], pa.string())) == []
+
+
+def test_small_groups_are_pairs_and_large_ones_cells(spark, monkeypatch):
+    """Same classes however small a group has to be for its pairs to be tried one by one; with small ones as pairs, no cell is made."""
+    rng = random.Random(11)
+    stems = ["".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(6)]
+    near_copies = [stem[:at] + "#" + stem[at + 1 :] for stem in stems for at in rng.sample(range(70), 7)]
+    docs = frame(spark, [(i, t, None) for i, t in enumerate(near_copies)])
+    cells, seen = near.Linker._cells, []
+    monkeypatch.setattr(near.Linker, "_cells", lambda self, rows: (seen.append(rows.count()), cells(self, rows))[1])
+    found = {}
+    for few in (2, 16):
+        monkeypatch.setattr(near, "FEW", few)
+        found[few] = sorted((r.doc_id, tuple(r.removed)) for r in lines.removed(lines.places(docs)).collect())
+    assert found[2] == found[16] and len(found[2]) > 6 and seen[1] == 0
+    rows = spark.createDataFrame([(1, 4, 4), (1, 2, 9), (1, 3, 9), (2, 3, 9), (2, 4, 4), (3, 7, 7), (3, 5, 6)], "g bigint, no bigint, label bigint")
+    assert sorted(map(tuple, near.Linker._pairs(None, rows).collect())) == [(2, 4), (3, 4), (5, 7)]
+
+
 def test_remainders_of_few_words_go(spark):
     same = "these five words are common"
     rows = [(1, f"{same}\none two three", None), (2, f"{same}\nfour five six", None), (3, "seven", None), (4, f"{same}\nw1 w2 w3 w4 w5", None)]
