@@ -62,3 +62,16 @@ def rolled(h: np.ndarray, size: int) -> np.ndarray:
     for k in range(m, size):
         h = h[:-1] * _U(BASE) + first[k:]
     return mixed(h)
+
+
+def rolled_short(points: np.ndarray, size: int) -> np.ndarray:
+    """32-bit hashes of all runs of `size` symbols, given as small numbers; for MinHash, not for names."""
+    first = h = points.astype(np.uint32)
+    m, b = 1, 0x9E3779B1
+    while 2 * m <= size:
+        h, m, b = h[:-m] * np.uint32(b) + h[m:], 2 * m, b * b % (1 << 32)
+    for k in range(m, size):
+        h = h[:-1] * np.uint32(0x9E3779B1) + first[k:]
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))

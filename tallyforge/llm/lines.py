@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import near
-from tallyforge.llm._common import BLANKS, documents, remove, words_of, written
-from tallyforge.llm.hashing import BASE, distinct, mixed, rolled, table
+from tallyforge.llm._common import documents, remove, words_of, written
+from tallyforge.llm.hashing import BASE, distinct, mixed, rolled, rolled_short, table
 
 #: Bands and rows of each; code points of a shingle.
 BANDS, ROWS, POINTS = 20, 6, 5
 _U = np.uint64
+_BLANKS = " \t\n\x0b\x0c\r"
 _TABLE = table(0x110000)
 _TABLE[65:91] = _TABLE[97:123]  # A-Z count as a-z
 
@@ -40,8 +41,11 @@ def _points(raw: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _windows(raw: bytes, size: int = POINTS) -> np.ndarray:
-    h = _TABLE[_points(np.frombuffer(raw, np.uint8))]
+def _windows(raw: bytes, size: int = POINTS, *, short: bool = False) -> np.ndarray:
+    points = _points(np.frombuffer(raw, np.uint8))
+    if short:  # the same hash as in a chunk of longer lines
+        return _short(points, size) if len(points) >= size else (_windows(raw, size) >> _U(32)).astype(np.uint32)
+    h = _TABLE[points]
     if len(h) < size:  # all of it as one
         one = np.zeros(min(len(h), 1), np.uint64)
         for i in range(len(h)):
@@ -50,36 +54,42 @@ def _windows(raw: bytes, size: int = POINTS) -> np.ndarray:
     return rolled(h, size)
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray, size: int = POINTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _short(points: np.ndarray, size: int) -> np.ndarray:
+    """32-bit hashes of shingles, A-Z as a-z."""
+    letter = np.subtract(points, 65) < 26  # whole numbers without sign: what lies below 65 is far above
+    return rolled_short(points + letter.astype(np.uint8) * np.uint8(32), size)
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, size: int = POINTS, *, short: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, starts) of the shingles of lines that lie one after another, a chunk of lines at a time; shingles may
-    repeat. Lines under `size` code points are left to `_windows`."""
+    repeat. Lines under `size` code points are left to `_windows`. short: 32-bit hashes, of which more fit a chunk."""
     at, lines = 0, len(offsets) - 1
     while at < lines:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + near.CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (near.LONG if short else near.CHUNK), "right")) - 1)
         cuts = offsets[at : to + 1] - offsets[at]
         raw = data[offsets[at] : offsets[to]]
         points = _points(raw)
         # Where the lines begin, in code points.
         begun = cuts if len(points) == len(raw) else np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[cuts]
         if (np.diff(begun) >= size).all():  # hashed together; those of shingles that cross into the next line are taken out
-            h = rolled(_TABLE[points], size)
+            h = _short(points, size) if short else rolled(_TABLE[points], size)
             keep = np.ones(len(h), bool)
             for k in range(1, size):
                 keep[begun[1:-1] - k] = False
             yield h[keep], begun[:-1] - np.arange(to - at) * (size - 1)
         else:
-            parts = [_windows(raw[a:b].tobytes(), size) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            parts = [_windows(raw[a:b].tobytes(), size, short=short) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
         at = to
 
 
-def _flat(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _flat(texts: pa.Array, *, short: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, hashes, starts) of non-empty lines and their shingles, a chunk at a time; short lines apart, so that all others
     are hashed together."""
     order = np.argsort(pa.compute.utf8_length(texts).to_numpy(zero_copy_only=False) < POINTS, kind="stable")
     text = texts.take(pa.array(order)).cast(pa.large_string())
     at = 0
-    for flat, starts in _sets(np.frombuffer(text.buffers()[2] or b"", np.uint8), np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1]) if len(text) else ():
+    for flat, starts in _sets(np.frombuffer(text.buffers()[2] or b"", np.uint8), np.frombuffer(text.buffers()[1], np.int64)[: len(text) + 1], short=short) if len(text) else ():
         yield order[at : at + len(starts)], flat, starts
         at += len(starts)
 
@@ -93,16 +103,24 @@ def _sorted(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return new
 
 
-def described(texts: pa.Array, n: int, *, sized: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Set sizes (if wanted) and signatures of non-empty lines."""
+def described(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Set sizes and signatures of non-empty lines."""
     sizes, sig = np.empty(len(texts), np.int64), np.empty((len(texts), n), np.uint32)
     for own, flat, starts in _flat(texts):
         sig[own] = near.flat_signatures(flat, starts, n)
-        if sized:
-            sizes[own] = np.add.reduceat(_sorted(flat, starts).astype(np.int64), starts)
+        sizes[own] = np.add.reduceat(_sorted(flat, starts).astype(np.int64), starts)
     return sizes, sig
 
 
+def banded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (lines x BANDS) of non-empty lines, and which of them count."""
+    keys, some = np.empty((len(texts), BANDS), np.uint64), np.empty((len(texts), BANDS), bool)
+    for own, flat, starts in _flat(texts, short=True):
+        sig, held = near.by_class(flat, starts, BANDS * ROWS)
+        keys[own], some[own] = near.band_keys(sig, BANDS), np.repeat(held, BANDS // near.CLASSES, axis=1)
+    return keys, some
+
+
 def many_shingles(texts: pa.Array) -> list[np.ndarray]:
     """`shingles` of each of many non-empty lines."""
     out: list[np.ndarray] = [np.empty(0, np.uint64)] * len(texts)
@@ -121,8 +139,8 @@ def _entries(buckets: int):
             ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)
             if not len(ids):
                 continue
-            _, sig = described(batch.column(1).take(pa.array(first)), BANDS * ROWS, sized=False)
-            out = near.blobs(ids, near.band_keys(sig, BANDS), buckets)
+            keys, some = banded(batch.column(1).take(pa.array(first)))
+            out = near.blobs(ids, keys, buckets, some)
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([d for _, d in out], pa.binary())], ["bucket", "data"])
 
     return run
@@ -130,10 +148,9 @@ def _entries(buckets: int):
 
 def plain(line: Column) -> Column:
     """A line as it is named: without ASCII blanks around it. Names keep the case; shingles count A-Z as a-z."""
-    blanks = " \t\n\x0b\x0c\r"
     # Trimming walks through all of a line; most have no blank at either end, which is soon seen.
-    ends = functools.reduce(Column.__or__, [F.startswith(line, F.lit(b)) | F.endswith(line, F.lit(b)) for b in blanks])
-    return F.when(ends, F.trim(line, F.lit(blanks))).otherwise(line)
+    ends = functools.reduce(Column.__or__, [F.startswith(line, F.lit(b)) | F.endswith(line, F.lit(b)) for b in _BLANKS])
+    return F.when(ends, F.trim(line, F.lit(_BLANKS))).otherwise(line)
 
 
 def _of_text() -> Column:
@@ -152,13 +169,14 @@ def places(docs: DataFrame, *, percent: int = 80, miss: float = 1e-7) -> DataFra
     """(doc_id, own, line, rid, rchk) of every line with words: its place and the name of its component; written."""
     spark = docs.sparkSession
     lines = split(docs)
-    most = docs.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    buckets = near.bucket_count(spark, most, BANDS)
+    # Where each line is and its name: small beside the texts, counted at once and joined later.
+    named, named_path = written(lines.select("doc_id", "own", "line", "id", "chk"), "line-names")
+    buckets = near.bucket_count(spark, named.count(), BANDS)
     found, path = written(near.groups(lines.select("id", "text").mapInArrow(_entries(buckets), "bucket int, data binary")), "line-groups")
-    linker = near.Linker(found, lines.select("id", "chk", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, described=described, many=many_shingles, miss=miss)
-    placed = lines.select("doc_id", "own", "line", "id", "chk").join(linker.named(), ["id", "chk"], "left").select("doc_id", "own", "line", F.coalesce("rid", "id").alias("rid"), F.coalesce("rchk", "chk").alias("rchk"))
+    linker = near.Linker(found, lines.select("id", "text"), shingles, n=BANDS * ROWS, linked=lambda c, a, b: 100 * c >= percent * (a + b - c), threshold=percent / 100, described=described, many=many_shingles, miss=miss)
+    placed = named.join(linker.named(), ["id", "chk"], "left").select("doc_id", "own", "line", F.coalesce("rid", "id").alias("rid"), F.coalesce("rchk", "chk").alias("rchk"))
     out, _ = written(placed, "line-places")
-    remove(spark, path)
+    remove(spark, path, named_path)
     return out
 
 
@@ -181,7 +199,8 @@ def deduplicated(docs: DataFrame, *, least_words: int = 1, told: bool = False, *
     goes (0: none goes); one that loses none stays as it is. Rows that repeat both doc_id and text are one document: what is
     first in one of them stays in each. A null text stays null.
     """
-    gone = removed(places(docs, **options)).toDF("_tf_id", "_tf_own", "_tf_gone")
+    # Of the two sides, the places that go are the small one; so the texts are not sorted.
+    gone = removed(places(docs, **options)).toDF("_tf_id", "_tf_own", "_tf_gone").hint("shuffle_hash")
     rows = docs.withColumn("_tf_of", _of_text())
     rows = rows.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_tf_id")) & (F.col("_tf_of") == F.col("_tf_own")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_tf_gone", i))
@@ -195,7 +214,7 @@ def deduplicated(docs: DataFrame, *, least_words: int = 1, told: bool = False, *
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each document: its lines with words that are left, how many went and their places, and the text's SHA-256."""
     rows = deduplicated(documents(spark, sf_dir).select("doc_id", "text"), least_words=0, told=True)
-    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(f"[^{BLANKS}]")))
+    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.ltrim(x, F.lit(_BLANKS)) != ""))
     shown = F.coalesce(F.array_join(F.transform("removed_lines", lambda i: i.cast("string")), ","), F.lit(""))
     return rows.select("doc_id", left.cast("bigint").alias("n_left"), F.coalesce(F.size("removed_lines"), F.lit(0)).cast("bigint").alias("n_removed"), shown.alias("removed_lines"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 

@@ -38,8 +38,10 @@ _U = np.uint64
 CHUNK, ENTRIES, AT_ONCE, BLOCK, EDGES, FEW = 1 << 15, 2_000_000, 2_000_000, 512, 1_000_000, 16
 #: Hashes that are looked at together when pairs of a cell are compared, and such pairs: in the first part, at most.
 BITS, FIRST, PAIRS = 1 << 13, 1 << 12, 1 << 15
-#: Pairs whose texts are held as sets at once.
-AT_HAND = 512
+#: Where bands are made `by_class`: classes of the hashes of a set, each with its own part of the bands, and hashes of a chunk.
+CLASSES, LONG = 2, 1 << 16
+#: Pairs whose texts are held as sets at once; pairs of a cell that are compared one by one.
+AT_HAND, LITTLE = 512, 64
 #: Ids that may be broadcast (16 bytes each); more are joined by two shuffles.
 SMALL = 1_000_000
 
@@ -82,6 +84,33 @@ def flat_signatures(flat: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def by_class(flat: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures for banding of sets of 32-bit hashes that lie one after another (hashes may repeat), and which of the
+    CLASSES parts of a signature come from any hash at all.
+
+    A hash's last bits are its class, and each class alone makes its own part of the signature: half of the products. More
+    classes spare more, but let more short lines of little likeness share a band. A pair's similarity is the mean of those of its classes, by their sizes; as log(1 - x ** rows) is concave, classes that
+    differ in similarity make it less likely, not more, that all bands miss the pair. A class of which a set has no hash
+    has no say. Matches over a whole signature are no binomial count, so the sequential test has `flat_signatures`.
+    """
+    part = n // CLASSES
+    family, out, some = multipliers(part), np.zeros((n, len(starts)), np.uint32), np.zeros((CLASSES, len(starts)), bool)
+    kind = flat.astype(np.uint8) & np.uint8(CLASSES - 1)
+    for c in range(CLASSES):
+        own = np.flatnonzero(kind == c)
+        begun = np.searchsorted(own, starts)
+        some[c] = np.diff(np.append(begun, len(own))) > 0
+        begun, own = begun[some[c]], flat[own]
+        held, whole = np.empty_like(own), some[c].all()
+        for k in range(part if len(own) else 0):
+            np.multiply(own, family[k], out=held)
+            if whole:
+                np.minimum.reduceat(held, begun, out=out[c * part + k])
+            else:
+                out[c * part + k, some[c]] = np.minimum.reduceat(held, begun)
+    return out.T, some.T
+
+
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """64-bit keys (items x bands) of signatures cut into bands of equal rows."""
     rows = sig.shape[1] // bands
@@ -97,11 +126,15 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return bits.sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def blobs(ids: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
-    """Entries (key, id) by bucket of the key."""
+def blobs(ids: np.ndarray, keys: np.ndarray, buckets: int, some: np.ndarray | None = None) -> list[tuple[int, bytes]]:
+    """Entries (key, id) by bucket of the key; some: which of the keys count (all)."""
+    ids, keys = np.repeat(ids, keys.shape[1]), keys.ravel()
+    if some is not None and not some.all():
+        ids, keys = ids[some.ravel()], keys[some.ravel()]
     flat = np.empty(keys.size, _ENTRY)
-    flat["low"], flat["more"], flat["id"] = keys.ravel() & _U(0xFFFFFFFF), (keys.ravel() >> _U(32)) & _U(0xFFFF), np.repeat(ids, keys.shape[1])
-    bucket = (mixed(keys) % _U(buckets)).ravel().astype(np.int64)
+    flat["low"], flat["more"], flat["id"] = keys & _U(0xFFFFFFFF), (keys >> _U(32)) & _U(0xFFFF), ids
+    # 16-bit numbers are sorted by radix.
+    bucket = (mixed(keys) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     flat, cuts = flat[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
     return [(b, flat[cuts[b] : cuts[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(cuts)).tolist()]
@@ -119,16 +152,19 @@ def _grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.frombuffer(b"".join(held), _ENTRY)
         held, size = [], 0
         key = x["more"].astype(np.uint64) << _U(32) | x["low"]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, ids = key[order], x["id"][order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         low = np.minimum.reduceat(ids, first)  # a new key's item is its smallest id
         at = np.searchsorted(keys, key[first])
         old = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == key[first]) if len(keys) else np.zeros(len(first), bool)
         several = np.repeat(old | (np.diff(np.append(first, len(key))) > 1), np.diff(np.append(first, len(key))))
-        keys, reps, told = np.concatenate((keys, key[first][~old])), np.concatenate((reps, low[~old])), np.concatenate((told, np.zeros((~old).sum(), bool)))
-        order = np.argsort(keys, kind="stable")
-        keys, reps, told = keys[order], reps[order], told[order]
+        if len(keys):
+            keys, reps, told = np.concatenate((keys, key[first][~old])), np.concatenate((reps, low[~old])), np.concatenate((told, np.zeros((~old).sum(), bool)))
+            order = np.argsort(keys)
+            keys, reps, told = keys[order], reps[order], told[order]
+        else:
+            keys, reps, told = key[first], low, np.zeros(len(first), bool)
         x = np.empty(several.sum(), _KEY)
         x["key"], x["id"] = key[several], ids[several]
         x = x[np.lexsort((x["id"], x["key"]))]
@@ -283,9 +319,10 @@ def _one_by_one(texts: pa.Array, n: int, shingles: Callable[[str], np.ndarray])
 class Linker:
     """Links the items of `found` (see `groups`) whose exact similarity is the threshold or more.
 
-    texts: (id, chk, text) of all items, rows may repeat. shingles: sorted distinct 64-bit hashes of a text. described:
+    texts: (id, text) of all items, rows may repeat. shingles: sorted distinct 64-bit hashes of a text. described:
     set sizes and signatures of many texts; many: their sets. n: hashes of a signature; linked(common, a, b): the exact rule on the sizes of
-    the common part and both sets, whole numbers or arrays of them. Within, an item has a number of its own, `no`.
+    the common part and both sets, whole numbers or arrays of them. Within, an item has a number of its own, `no`: its id, or
+    where two items share an id (each pair by chance once in 2 ** 64), a number that Spark counts.
     """
 
     def __init__(self, found: DataFrame, texts: DataFrame, shingles: Callable[[str], np.ndarray], *, n: int, linked: Callable, described: Callable[[pa.Array, int], tuple[np.ndarray, np.ndarray]] | None = None, many: Callable[[pa.Array], list[np.ndarray]] | None = None, threshold: float = 0.8, miss: float = 1e-7):
@@ -295,12 +332,18 @@ class Linker:
         self.spark, self.paths = found.sparkSession, []
         # Beyond SMALL two plain shuffles, which adaptive execution can split where one text is very common.
         wanted = self._written(found.select("id").distinct(), "wanted")
-        some = self._written(texts.join(wanted.hint("broadcast" if wanted.count() <= SMALL else "merge"), "id", "left_semi"), "wanted-texts")
-        one = self._written(some.groupBy("id", "chk").agg(F.first("text").alias("text")).withColumn("no", F.monotonically_increasing_id()), "numbered")
-        self.items = self._written(one.mapInArrow(self._described(), "id bigint, chk bigint, no bigint, text string, size bigint, sketch bigint, sig binary"), "candidates")
-        named = self.items.select("id", "no")
-        found = found.join(named, "id").select("g", "no", "rep").join(named.toDF("rep", "rep_no"), "rep").select("g", "no", F.col("rep_no").alias("rep"))
-        self.found = self._written(found, "numbered-groups")
+        some = texts.select("id", "text").join(wanted.hint("broadcast" if wanted.count() <= SMALL else "merge"), "id", "left_semi")
+        some = self._written(some.select("id", names(F.col("text"))[1], "text"), "wanted-texts")
+        one = some.groupBy("id", "chk").agg(F.first("text").alias("text"))
+        self.items = self._written(one.mapInArrow(self._described(), "id bigint, chk bigint, text string, size bigint, sketch bigint, sig binary"), "candidates")
+        if self.items.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            self.items = self.items.withColumn("no", F.col("id"))
+            self.found = found.select("g", F.col("id").alias("no"), "rep")
+        else:
+            self.items = self._written(self.items.withColumn("no", F.monotonically_increasing_id()), "numbered")
+            named = self.items.select("id", "no")
+            found = found.join(named, "id").select("g", "no", "rep").join(named.toDF("rep", "rep_no"), "rep").select("g", "no", F.col("rep_no").alias("rep"))
+            self.found = self._written(found, "numbered-groups")
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         out, path = written(df, name)
@@ -314,8 +357,8 @@ class Linker:
             for batch in it:
                 col = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
                 sizes, sig = flat(col["text"], n)
-                short = sig.astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([col["id"], col["chk"], col["no"], col["text"], pa.array(sizes, pa.int64()), pa.array(sketch(sig)), pa.array([r.tobytes() for r in short], pa.binary())], ["id", "chk", "no", "text", "size", "sketch", "sig"])
+                short = sig.astype(np.uint8)  # unlike hashes agree once in 256: a pair may last longer for that, none is lost
+                yield pa.RecordBatch.from_arrays([col["id"], col["chk"], col["text"], pa.array(sizes, pa.int64()), pa.array(sketch(sig)), pa.array([r.tobytes() for r in short], pa.binary())], ["id", "chk", "text", "size", "sketch", "sig"])
 
         return run
 
@@ -331,7 +374,7 @@ class Linker:
 
         def prune(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in it:
-                a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint16).reshape(-1, n) for c in ("sig_x", "sig_y"))
+                a, b = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint8).reshape(-1, n) for c in ("sig_x", "sig_y"))
                 keep = pa.array(survivors(a, b, threshold=threshold, miss=miss))
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(keep) for c in "xy"], ["x", "y"])
 
@@ -403,7 +446,7 @@ class Linker:
             i, j = np.nonzero(fit)
             strewn = np.argsort(np.arange(len(i)) % max(1, -(-len(i) // FIRST)), kind="stable")
             a, b = left[i[strewn]], right[j[strewn]]
-            sig = np.frombuffer(b"".join(cell["sig"]), np.uint16).reshape(-1, n)
+            sig = np.frombuffer(b"".join(cell["sig"]), np.uint8).reshape(-1, n)
             at, part = 0, FIRST
             while at < len(a):
                 one, two = a[at : at + part], b[at : at + part]
@@ -434,7 +477,9 @@ class Linker:
                 own = [sets[k] for k in some.tolist()]
                 size = np.array([len(s) for s in own], np.int64)
                 one, two = at[: len(x)], at[len(x) :]
-                good = linked(commons(own, one, two), size[one], size[two]) if len(x) else np.zeros(0, bool)
+                # Bit sets of all are worth making only for many pairs.
+                shared = commons(own, one, two) if len(x) > LITTLE else np.array([common(own[i], own[j]) for i, j in zip(one.tolist(), two.tolist(), strict=True)], np.int64)
+                good = linked(shared, size[one], size[two])
                 for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
                     if held.unite(int(cell["label"][i]), int(cell["label"][j])):
                         out.append((int(cell["no"][i]), int(cell["no"][j])))
